@@ -6,6 +6,8 @@ expected to be UTC (see ``tracemill.session.configure``).
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,46 +41,54 @@ def parse_time(text: Column, layout: str) -> Column:
     return F.try_to_timestamp(text, F.lit(pattern)).cast(NTZ)
 
 
-def bucket_start(time: Column, resolution: str) -> Column:
-    """Start of the bucket that holds ``time``.
+# Start of the bucket that holds a time, and its length. Weeks run
+# from Tuesday to Monday. Dates carry no zone, so days, weeks and months are
+# floored as dates.
+_START = {
+    "hour": "cast(cast({t} as date) as timestamp_ntz) + make_dt_interval(0, hour({t}))",
+    "day": "cast(cast({t} as date) as timestamp_ntz)",
+    "week": "cast(date_sub(next_day(cast({t} as date), 'TUE'), 7) as timestamp_ntz)",
+    "month": "cast(trunc(cast({t} as date), 'month') as timestamp_ntz)",
+}
+_NEXT = {
+    "hour": "{t} + interval 1 hour",
+    "day": "{t} + interval 1 day",
+    "week": "{t} + interval 7 days",
+    "month": "cast(add_months(cast({t} as date), 1) as timestamp_ntz)",
+}
+_INSTANT = "interval '0.000001' second"
+
 
-    Weeks run from Tuesday to Monday. Any resolution that is no bucket keeps
-    the time as it is. Dates carry no zone, so days, weeks and months are
-    floored as dates.
+def bucket_start(time: str, resolution: str) -> Column:
+    """Start of the bucket that holds the times of a column.
+
+    ``resolution`` is the name of a bucket; any other keeps the time.
     """
-    day = time.cast("date")
-    if resolution == "hour":
-        return day.cast(NTZ) + F.make_dt_interval(hours=F.hour(time))
-    if resolution == "day":
-        return day.cast(NTZ)
-    if resolution == "week":
-        return F.date_sub(F.next_day(day, "TUE"), 7).cast(NTZ)
-    if resolution == "month":
-        return F.trunc(day, "month").cast(NTZ)
-    return time
-
-
-def bucket_end(start: Column, resolution: str) -> Column:
-    """Last microsecond of the bucket that begins at ``start``."""
-    if resolution == "hour":
-        following = start + F.expr("interval 1 hour")
-    elif resolution == "day":
-        following = start + F.expr("interval 1 day")
-    elif resolution == "week":
-        following = start + F.expr("interval 7 days")
-    elif resolution == "month":
-        following = F.add_months(start.cast("date"), 1).cast(NTZ)
-    else:
-        return start
-    return following - F.expr("interval '0.000001' second")
-
-
-def by_resolution(resolution: Column, make) -> Column:
-    """``make(name)`` for the bucket named in a column, else ``make("native")``."""
-    chosen = F.when(resolution == BUCKETS[0], make(BUCKETS[0]))
-    for name in BUCKETS[1:]:
-        chosen = chosen.when(resolution == name, make(name))
-    return chosen.otherwise(make("native"))
+    return F.expr(_START.get(resolution, "{t}").format(t=time))
+
+
+def bucket_end(start: str, resolution: str) -> Column:
+    """Last microsecond of the bucket that begins at the time in a column."""
+    if resolution not in _NEXT:
+        return F.expr(start)
+    return F.expr(f"{_NEXT[resolution].format(t=start)} - {_INSTANT}")
+
+
+def bucket_start_by(time: str, resolution: str, names: Sequence[str] = BUCKETS) -> Column:
+    """Start of the bucket whose name is in the column ``resolution``."""
+    return _by(time, resolution, {name: _START[name] for name in names if name in _START})
+
+
+def bucket_end_by(start: str, resolution: str) -> Column:
+    """Last microsecond of the bucket whose name is in ``resolution``."""
+    return _by(start, resolution, {name: f"{_NEXT[name]} - {_INSTANT}" for name in BUCKETS})
+
+
+def _by(time: str, resolution: str, forms: dict[str, str]) -> Column:
+    if not forms:
+        return F.expr(time)
+    cases = " ".join(f"when '{name}' then {form.format(t=time)}" for name, form in forms.items())
+    return F.expr(f"case {resolution} {cases} else {time} end")
 
 
 def within_dates(time: Column, start: str | None, end: str | None) -> Column:

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.values import sum_or_zero, to_number
 from tracemill.plans.traces import small
-from tracemill.roles import col
+from tracemill.roles import col, quoted
 from tracemill.session import durable
 
 # Rows that one input row may turn into within a task; more copies of a value
@@ -126,61 +126,54 @@ def density(points: DataFrame, series: str = "trace_id", value: str = "value") -
     gets the range around it. The last bin holds its right edge.
     """
     number = to_number(col(value), points.schema[value].dataType)
-    finite = (
-        points.select(col(series), number.alias("v"))
+    copies = (
+        points.select(col(series).alias("s"), number.alias("v"))
         .where("v is not null and abs(v) < double('Infinity')")
-        .groupBy(col(series), "v")
+        .groupBy("s", "v")
         .agg(F.count(F.lit(1)).alias("copies"))
     )
-    flat = F.col("min") == F.col("max")
     shape = (
-        finite.groupBy(col(series))
-        .agg(F.min("v").alias("min"), F.max("v").alias("max"), F.sum("copies").alias("count"))
-        .select(
-            col(series),
-            "count",
-            F.when(flat, F.col("min") - 0.5).otherwise(F.col("min")).alias("low"),
-            F.when(flat, F.col("max") + 0.5).otherwise(F.col("max")).alias("high"),
-            F.least(F.lit(BINS), F.greatest(F.lit(MIN_BINS), "count")).cast("int").alias("bins"),
+        copies.groupBy("s")
+        .agg(F.min("v").alias("least"), F.max("v").alias("most"), F.sum("copies").alias("n"))
+        .selectExpr(
+            "s",
+            "n",
+            "if(least = most, least - 0.5D, least) as low",
+            "if(least = most, most + 0.5D, most) as high",
+            f"cast(least({BINS}, greatest({MIN_BINS}, n)) as int) as bins",
         )
-        .withColumn("width", (F.col("high") - F.col("low")) / F.col("bins"))
+        .withColumn("width", F.expr("(high - low) / bins"))
     )
-    counts = (
-        finite.join(shape, series)
-        .select(col(series), "copies", _bin().alias("bin"))
-        .groupBy(col(series), "bin")
+    # Division alone puts some values that lie on an edge into the wrong bin, so
+    # the bin is then moved to where the edges say.
+    guess = "least(cast(floor((v - low) / (high - low) * bins) as int), bins - 1) as guess"
+    inside = (
+        copies.join(shape, "s")
+        .selectExpr("*", guess)
+        .selectExpr(
+            "s",
+            "copies",
+            f"""case when v < {_edge("guess")} then guess - 1
+                when guess < bins - 1 and v >= {_edge("guess + 1")} then guess + 1
+                else guess end as bin""",
+        )
+        .groupBy("s", "bin")
         .agg(F.sum("copies").alias("inside"))
     )
-    left, right = _edge(F.col("bin")), _edge(F.col("bin") + 1)
     # At most 100 bins per series, empty ones included.
-    bins = shape.withColumn("bin", F.explode(F.sequence(F.lit(0), F.col("bins") - 1)))
-    return bins.join(counts, [series, "bin"], "left").select(
-        col(series),
+    bins = shape.withColumn("bin", F.expr("explode(sequence(0, bins - 1))"))
+    left, right = _edge("bin"), _edge("bin + 1")
+    return bins.join(inside, ["s", "bin"], "left").selectExpr(
+        f"s as {quoted(series)}",
         "bin",
-        ((left + right) / 2).alias("x"),
-        (F.coalesce("inside", F.lit(0)) / (right - left) / F.col("count")).alias("y"),
+        f"({left} + {right}) / 2 as x",
+        f"coalesce(inside, 0) / ({right} - {left}) / n as y",
     )
 
 
-def _edge(number: Column) -> Column:
+def _edge(number: str) -> str:
     """Left edge of a bin; the edge after the last bin is the maximum itself."""
-    inner = number * F.col("width") + F.col("low")
-    return F.when(number == F.col("bins"), F.col("high")).otherwise(inner)
-
-
-def _bin() -> Column:
-    """Bin of value ``v``: by division, then moved to where the edges say.
-
-    Division alone puts some values that lie on an edge into the wrong bin.
-    """
-    v, bins = F.col("v"), F.col("bins")
-    share = (v - F.col("low")) / (F.col("high") - F.col("low"))
-    guess = F.least(F.floor(share * bins).cast("int"), bins - 1)
-    return (
-        F.when(v < _edge(guess), guess - 1)
-        .when((guess < bins - 1) & (v >= _edge(guess + 1)), guess + 1)
-        .otherwise(guess)
-    )
+    return f"if({number} = bins, high, ({number}) * width + low)"
 
 
 def stacked_area(points: DataFrame, trace_ids: Sequence[int]) -> DataFrame:

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.functions.time import BUCKETS, bucket_end, bucket_start, within_dates
+from tracemill.functions.time import BUCKETS, bucket_end_by, bucket_start_by, within_dates
 from tracemill.functions.values import nan_to_null, sum_or_zero
 from tracemill.operators.match import Selection, match, selection_of, selections_of
 from tracemill.operators.rollup import clean_key
@@ -27,15 +27,14 @@ MISSING_LISTED = 5
 class Evaluation:
     """The points of all traces, and what is needed to report on them.
 
-    ``points`` has ``trace_id, resolution, time, value``; ``traces`` has
-    ``trace_id, label`` for every trace asked for; ``refused`` has ``trace_id,
-    rows`` for raw traces that are too large.
+    ``points`` has ``trace_id, resolution, time, value``; a trace is known by
+    its place in ``specs``. ``refused`` has ``trace_id, rows`` for raw traces
+    that are too large.
     """
 
     points: DataFrame
-    traces: DataFrame
     refused: DataFrame
-    count: int
+    specs: tuple[TraceSpec, ...]
 
 
 def matched_rows(
@@ -113,8 +112,7 @@ def evaluate(
         parts.append(rows)
     if parts:
         points = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    labels = specs_frame(spark, specs).select("trace_id", trace_label().alias("label"))
-    return Evaluation(points, labels, refused, len(specs))
+    return Evaluation(points, refused, tuple(specs))
 
 
 def _aggregated(rows: DataFrame, traces: list[tuple]) -> DataFrame:
@@ -124,23 +122,16 @@ def _aggregated(rows: DataFrame, traces: list[tuple]) -> DataFrame:
     functions = sorted({function for _, _, function, _ in traces})
 
     asked = rows_frame(spark, pairs, "selection_id int, resolution string")
-    start = F.col("time")
-    for name in resolutions:
-        if name in BUCKETS:
-            start = F.when(F.col("resolution") == name, bucket_start(F.col("time"), name)).otherwise(
-                start
-            )
+    start = bucket_start_by("time", "resolution", resolutions)
     sums = (
         rows.join(small(asked, len(traces)), "selection_id")
         .groupBy("selection_id", "resolution", start.alias("time"))
         .agg(*[AGGREGATES[name](F.col("value")).alias(name) for name in functions])
     )
-    chosen = F.col(functions[-1])
-    for name in functions[:-1]:
-        chosen = F.when(F.col("function") == name, F.col(name)).otherwise(chosen)
+    cases = " ".join(f"when '{name}' then `{name}`" for name in functions)
     wanted = rows_frame(spark, traces, TRACES)
     return sums.join(small(wanted, len(traces)), ["selection_id", "resolution"]).select(
-        "trace_id", "resolution", "time", chosen.cast("double").alias("value")
+        "trace_id", "resolution", "time", F.expr(f"case function {cases} end").alias("value")
     )
 
 
@@ -150,7 +141,7 @@ def _raw(
     spark = rows.sparkSession
     wanted = rows_frame(spark, traces, TRACES)
     points = rows.join(small(wanted, len(traces)), "selection_id").select(
-        "trace_id", "resolution", "time", F.col("value").cast("double").alias("value")
+        "trace_id", "resolution", "time", "value"
     )
     if limit is None:
         return points, rows_frame(spark, [], "trace_id int, rows bigint")
@@ -164,11 +155,9 @@ def with_steps(points: DataFrame) -> DataFrame:
 
     Points that are in no bucket stay as they are.
     """
-    end = F.col("time")
-    for name in BUCKETS:
-        end = F.when(F.col("resolution") == name, bucket_end(F.col("time"), name)).otherwise(end)
     bucketed = F.col("resolution").isin(*BUCKETS)
-    times = F.when(bucketed, F.array(F.col("time"), end)).otherwise(F.array("time"))
+    both = F.array(F.col("time"), bucket_end_by("time", "resolution"))
+    times = F.when(bucketed, both).otherwise(F.array("time"))
     return points.select("trace_id", "resolution", F.explode(times).alias("time"), "value")
 
 
@@ -177,6 +166,7 @@ def report(result: Evaluation, points: DataFrame) -> DataFrame:
 
     ``points`` are the points to count, such as ``with_steps(result.points)``.
     """
+    labels = specs_frame(points.sparkSession, result.specs)
     counts = points.groupBy("trace_id").agg(F.count(F.lit(1)).alias("points"))
     status = (
         F.when(F.col("rows").isNotNull(), "too_large")
@@ -184,11 +174,11 @@ def report(result: Evaluation, points: DataFrame) -> DataFrame:
         .otherwise("ok")
     )
     return (
-        result.traces.join(counts, "trace_id", "left")
+        labels.join(counts, "trace_id", "left")
         .join(result.refused, "trace_id", "left")
         .select(
             "trace_id",
-            "label",
+            trace_label().alias("label"),
             F.coalesce("points", F.lit(0)).alias("points"),
             status.alias("status"),
         )

@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
-import json
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
 
+ARROW_TYPES = {
+    "string": pa.string(),
+    "int": pa.int32(),
+    "bigint": pa.int64(),
+    "double": pa.float64(),
+    "boolean": pa.bool_(),
+    "timestamp_ntz": pa.timestamp("us"),
+}
+
 
 def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
     """Settings the operators are written for: naive UTC times and AQE."""
@@ -57,14 +65,17 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def rows_frame(spark: SparkSession, rows: Iterable[Sequence], schema: str) -> DataFrame:
-    """A short list of rows of texts and numbers as a frame.
+    """A short list of rows of texts, numbers and truth values as a frame.
 
-    The rows are one literal of the plan, so no Python worker is needed to read
-    them, as it would be with ``createDataFrame``.
+    Made from an Arrow table, the rows become part of the plan: no Python
+    worker reads them, and Spark knows their number and size.
     """
     fields = T.StructType.fromDDL(schema)
-    names = fields.fieldNames()
-    text = json.dumps([dict(zip(names, row)) for row in rows])
-    one = spark.range(0, 1, 1, 1)
-    kind = f"array<{fields.simpleString()}>"
-    return one.select(F.inline(F.from_json(F.lit(text), kind)))
+    columns = list(zip(*rows)) or [()] * len(fields)
+    table = pa.table(
+        {
+            field.name: pa.array(column, ARROW_TYPES[field.dataType.simpleString()])
+            for field, column in zip(fields, columns)
+        }
+    )
+    return spark.createDataFrame(table, schema=fields)

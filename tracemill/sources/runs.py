@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -103,8 +102,12 @@ def run_key(path: Column, root: str) -> Column:
     A key of the form ``@.../runs/<run>/...`` names its run itself. The result
     depends on the path only, so a filter on it prunes files before reading.
     """
-    inside = re.sub(r"^[A-Za-z][\w+.-]*:(//[^/]*)?", "", root).rstrip("/")
-    below = r"^(?:[A-Za-z][\w+.-]*:(?://[^/]*)?)?/*\Q" + inside.lstrip("/") + r"\E/([^/]+)/"
+    scheme, _, inside = root.rpartition(":")
+    if scheme in ("", "file"):
+        start = r"^(?:file:)?/*\Q" + inside.lstrip("/").rstrip("/")
+    else:
+        start = r"^\Q" + root.rstrip("/")
+    below = start + r"\E/([^/]+)/"
     found = F.when(
         path.startswith("@"), F.regexp_extract(path, "/runs/([^/]+)", 1)
     ).otherwise(F.regexp_extract(path, below, 1))
