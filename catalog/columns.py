@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalog.facts import event_facts, item_facts, table
@@ -17,20 +17,25 @@ from tracemill.operators.profile import (
 )
 from tracemill.session import rows_frame
 
-HINT_TEXT = F.date_format("ts", "yyyy-MM-dd HH.mm")
-ISO_TEXT = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
+
+def hint_text() -> Column:
+    return F.date_format("ts", "yyyy-MM-dd HH.mm")
+
+
+def iso_text() -> Column:
+    return F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss")
 
 
 def hint_times(spark: SparkSession, folder: str) -> DataFrame:
     """One text in ten is spoilt: the hint layout still fits enough."""
-    text = F.when(F.col("event_id") % 10 == 0, "no time").otherwise(HINT_TEXT)
+    text = F.when(F.col("event_id") % 10 == 0, "no time").otherwise(hint_text())
     texts = table(spark, folder, "events").select("event_id", text.alias("time"))
     return with_time(texts, "time")
 
 
 def fallback_times(spark: SparkSession, folder: str) -> DataFrame:
     """One text in three is in the hint layout, the others are ISO times."""
-    text = F.when(F.col("event_id") % 3 == 0, HINT_TEXT).otherwise(ISO_TEXT)
+    text = F.when(F.col("event_id") % 3 == 0, hint_text()).otherwise(iso_text())
     texts = table(spark, folder, "events").select("event_id", text.alias("time"))
     return with_time(texts, "time")
 
@@ -74,7 +79,7 @@ def valid_rows(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("event_id")
     rows = table(spark, folder, "events").select(
         "event_id",
-        F.when(key % 10 == 0, "no time").otherwise(HINT_TEXT).alias("Datetime"),
+        F.when(key % 10 == 0, "no time").otherwise(hint_text()).alias("Datetime"),
         F.when(key % 7 == 0, "n/a").otherwise(key.cast("string")).alias("Value"),
     )
     return fact_table(rows)
@@ -100,11 +105,11 @@ def schema(spark: SparkSession, folder: str) -> DataFrame:
 
 def time_columns(spark: SparkSession, folder: str) -> DataFrame:
     """By name ``day_hour``, by content ``seen``; ``code`` is only half times."""
-    half = F.when(F.col("event_id") % 2 == 0, HINT_TEXT).otherwise("x")
+    half = F.when(F.col("event_id") % 2 == 0, hint_text()).otherwise("x")
     rows = table(spark, folder, "events").select(
         F.hour("ts").alias("day_hour"),
         F.col("event_type").alias("BZ"),
-        ISO_TEXT.alias("seen"),
+        iso_text().alias("seen"),
         half.alias("code"),
         F.col("props"),
     )

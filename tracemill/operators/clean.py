@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -35,16 +35,28 @@ def time_layout(df: DataFrame, column: str) -> str | None:
 
     The hint layout is taken when it fits at least 80 % of all rows (null
     counts as a misfit), else the other layout that fits most rows. ``None``
-    when nothing fits. Starts one job that reads this column only.
+    when nothing fits. Starts one job that reads this column only. A table
+    repeats its times for every unit and area, so each distinct text is parsed
+    once and weighted by its rows.
     """
-    text = col(column)
-    fits = df.agg(
-        F.count(F.lit(1)).alias("rows"),
-        *[F.count(parse_time(text, layout)).alias(layout) for layout in LAYOUTS],
-    ).first()
+    fits = layout_fits(df.select(col(column).alias("text"))).first()
     return choose_layout(fits["rows"], {layout: fits[layout] for layout in LAYOUTS})
 
 
+def layout_fits(texts: DataFrame) -> DataFrame:
+    """One row: number of ``rows`` of column ``text``, and how many each layout fits."""
+    text = F.col("text")
+    counted = texts.groupBy("text").agg(F.count(F.lit(1)).alias("rows"))
+
+    def total(condition: Column) -> Column:
+        return F.coalesce(F.sum(F.when(condition, F.col("rows"))), F.lit(0))
+
+    return counted.agg(
+        total(F.lit(True)).alias("rows"),
+        *[total(parse_time(text, layout).isNotNull()).alias(layout) for layout in LAYOUTS],
+    )
+
+
 def choose_layout(rows: int, fits: dict[str, int]) -> str | None:
     if rows and fits[HINT] >= HINT_SHARE * rows:
         return HINT

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.functions.time import LAYOUTS, parse_time
-from tracemill.operators.clean import choose_layout, with_time
+from tracemill.functions.time import LAYOUTS
+from tracemill.operators.clean import choose_layout, layout_fits, with_time
 from tracemill.roles import TIME_SAMPLE_COLUMNS, TIME_SAMPLE_ROWS, Roles, col
 from tracemill.session import rows_frame
 
@@ -67,14 +67,9 @@ def detect_time_columns(df: DataFrame, roles: Roles = Roles()) -> list[str]:
     if not texts:
         return named
     samples = [
-        df.select(col(name).alias("text"))
-        .where(F.col("text").isNotNull())
-        .limit(TIME_SAMPLE_ROWS)
-        .agg(
-            F.lit(name).alias("column"),
-            F.count(F.lit(1)).alias("rows"),
-            *[F.count(parse_time(F.col("text"), layout)).alias(layout) for layout in LAYOUTS],
-        )
+        layout_fits(
+            df.select(col(name).alias("text")).where("text is not null").limit(TIME_SAMPLE_ROWS)
+        ).withColumn("column", F.lit(name))
         for name in texts
     ]
     found = {row["column"]: row for row in reduce(DataFrame.unionAll, samples).collect()}
@@ -89,13 +84,14 @@ def detect_time_columns(df: DataFrame, roles: Roles = Roles()) -> list[str]:
 def datetime_bounds(df: DataFrame, column: str) -> DataFrame:
     """First and last date as ``min_date``, ``max_date``, null when there is none.
 
-    Texts are parsed first (one job), so the bounds are those of the times.
+    Texts are parsed first (one job), so the bounds are those of the times. Each
+    distinct value is parsed once.
     """
     if column not in df.columns:
         return df.sparkSession.range(1).select(
             F.lit(None).cast("date").alias("min_date"), F.lit(None).cast("date").alias("max_date")
         )
-    timed = with_time(df.select(col(column)), column)
+    timed = with_time(df.select(col(column)).distinct(), column)
     return timed.agg(
         F.min(col(column)).cast("date").alias("min_date"),
         F.max(col(column)).cast("date").alias("max_date"),

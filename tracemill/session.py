@@ -29,6 +29,8 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Recording the call site of every column makes plans slow to build.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
 
 

@@ -30,6 +30,9 @@ from tracemill.sources.runs import (
     source_path,
 )
 
+# Files whose layout one task reads, when they are given as a list.
+FOOTERS_PER_TASK = 64
+
 CSV_OPTIONS = {"header": "true", "inferSchema": "true"}
 
 
@@ -69,8 +72,8 @@ def available_columns(columns: Iterable[str], requested: Sequence[str] | None) -
 def file_layouts(files: DataFrame) -> DataFrame:
     """Add to each file (``path``, ``suffix``) a text that names its layout.
 
-    Reads parquet footers and csv header lines inside tasks, each task a share
-    of the files.
+    Reads parquet footers and csv header lines inside tasks. Files listed by
+    Spark come in partitions by size, as for reading them.
     """
 
     def layouts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,10 +93,8 @@ def file_layouts(files: DataFrame) -> DataFrame:
                         texts.append(_first_line(handle))
             yield batch[["path", "suffix"]].assign(layout=texts)
 
-    return (
-        files.select("path", "suffix")
-        .repartition(F.col("path"))
-        .mapInPandas(layouts, "path string, suffix string, layout string")
+    return files.select("path", "suffix").mapInPandas(
+        layouts, "path string, suffix string, layout string"
     )
 
 
@@ -236,5 +237,5 @@ def load_files(
         raise ValueError("no input files")
     files = rows_frame(
         spark, [(path, suffix_of(path)) for path in chosen], "path string, suffix string"
-    )
+    ).repartition(1 + len(chosen) // FOOTERS_PER_TASK)
     return _load(spark, files, (), qualified(spark, root), columns, roles)
