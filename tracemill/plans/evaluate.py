@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +55,7 @@ def matched_rows(
     inside = facts.where(within_dates(col(roles.time), start, end))
     rows = match(inside, selections, roles)
     value = nan_to_null(col(roles.value).cast("double"))
-    if not unit_detail and roles.technology in facts.columns:
+    if rolls_up(facts, roles, unit_detail):
         names = (
             roles.run,
             roles.technology,
@@ -71,6 +71,10 @@ def matched_rows(
     return rows.select("selection_id", col(roles.time).alias("time"), value.alias("value"))
 
 
+def rolls_up(facts: DataFrame, roles: Roles, unit_detail: bool) -> bool:
+    return not unit_detail and roles.technology in facts.columns
+
+
 def evaluate(
     facts: DataFrame,
     specs: Sequence[TraceSpec],
@@ -89,6 +93,9 @@ def evaluate(
     """
     spark = facts.sparkSession
     plain = [spec.normalized() for spec in specs]
+    if rolls_up(facts, roles, unit_detail):
+        # Units are gone after the roll-up, so a trace cannot pick one.
+        plain = [replace(spec, unit=None) for spec in plain]
     numbers = selections_of(plain)
     points = rows_frame(spark, [], POINTS)
     refused = rows_frame(spark, [], "trace_id int, rows bigint")
