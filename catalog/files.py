@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalog.facts import table
+from catalog.facts import EVENT_FACTS, event_facts, table
 from tracemill.operators.clean import fact_table
 from tracemill.plans.evaluate import evaluate, with_steps
 from tracemill.plans.traces import TraceSpec
+from tracemill.plans.visualize import load_facts, visualize
 from tracemill.session import scratch_path
 from tracemill.sources import discover_files, list_runs, load_files, load_runs, run_key, run_options
 from tracemill.sources.runs import files_of_runs
+from tracemill.streaming import new_files, read_rollup, refresh_rollup
 
 DATA_PATH = "results/hourly"
 _written: dict[tuple[str, str], str] = {}
@@ -157,3 +159,69 @@ points as (
   where "__run_key" = 'west' and "WS" = 2 and "BZ" = 'error' group by 1, 2)
 select trace_id, unnest([time, time + length - interval 1 microsecond]) as time, value from points""",
 }
+
+
+def refreshed(spark: SparkSession, folder: str) -> DataFrame:
+    """A roll-up that is refreshed after one run, and again after another."""
+    root, kept, progress = (scratch_path(spark, name) for name in ("new", "rollup", "progress"))
+    events = event_facts(spark, folder)
+    schema = events.drop("__run_key").schema
+    for run in ("run_0", "run_1"):
+        part = events.where(F.col("__run_key") == run).drop("__run_key")
+        part.write.parquet(f"{root}/{run}/{DATA_PATH}")
+        refresh_rollup(new_files(spark, root, schema), kept, progress, ["Datetime"])
+    return read_rollup(spark, kept, ["Datetime"])
+
+
+def plotted(mode: str):
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        facts = load_facts(spark, run_root(spark, folder), SPECS, DATA_PATH)
+        return visualize(facts, SPECS, mode).data
+
+    return query
+
+
+def plot_report(spark: SparkSession, folder: str) -> DataFrame:
+    specs = [*SPECS, TraceSpec("north", 9, "click", "level")]
+    facts = load_facts(spark, run_root(spark, folder), specs, DATA_PATH)
+    return visualize(facts, specs, "density").report
+
+
+QUERIES |= {
+    "refresh_rollup": refreshed,
+    "plot_duration_curve": plotted("duration_curve"),
+    "plot_stacked_area": plotted("stacked_area"),
+    "plot_report": plot_report,
+}
+_POINTS = ORACLES["file_traces"].rsplit("\n", 1)[0] + """,
+steps as (select trace_id, unnest([time, time + length - interval 1 microsecond]) as time, value
+  from points)"""
+ORACLES |= {
+    "refresh_rollup": f"""with {EVENT_FACTS}
+select "__run_key", "PEMMDB_TECHNOLOGY", "Property", "BZ", "WS", "Datetime",
+  coalesce(sum("Value"), 0) as "Value" from event_facts group by all""",
+    "plot_duration_curve": _POINTS
+    + """
+select trace_id, row_number() over series as rank,
+  row_number() over series / count(*) over (partition by trace_id) * 100.0 as x, value from steps
+window series as (partition by trace_id order by value desc nulls last)""",
+    "plot_stacked_area": _POINTS
+    + """,
+cells as (select trace_id, time, coalesce(value, 0) as value from steps),
+grid as (select trace_id, time from (select distinct trace_id from cells) a,
+  (select distinct time from cells) b),
+filled as (select trace_id, time, coalesce(value, 0) as value from grid
+  left join cells using (trace_id, time))
+select trace_id, time, value, coalesce(sum(value) over (partition by time order by trace_id
+    rows between unbounded preceding and 1 preceding), 0) as y0,
+  sum(value) over (partition by time order by trace_id) as y1 from filled""",
+    "plot_report": _POINTS
+    + """,
+asked as (select * from (values
+  (0, 'north | WS 0 | click | level [sum/week]'), (1, 'south | WS 1 | view | level [mean/day]'),
+  (2, 'west | WS 2 | error | level [max/month]'), (3, 'north | WS 9 | click | level'))
+  t(trace_id, label))
+select trace_id, label, count(time) as points,
+  case when count(value) > 0 then 'ok' else 'missing' end as status
+from asked left join steps using (trace_id) group by all""",
+}

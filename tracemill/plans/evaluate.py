@@ -168,17 +168,22 @@ def with_steps(points: DataFrame) -> DataFrame:
     return points.select("trace_id", "resolution", F.explode(times).alias("time"), "value")
 
 
-def report(result: Evaluation, points: DataFrame) -> DataFrame:
+def report(result: Evaluation, points: DataFrame, need_values: bool = False) -> DataFrame:
     """Per trace: label, number of points, and ``ok``, ``missing`` or ``too_large``.
 
     ``points`` are the points to count, such as ``with_steps(result.points)``.
+    With ``need_values`` a trace is also missing when all its values are null,
+    as it is for a density.
     """
     labels = specs_frame(points.sparkSession, result.specs)
-    counts = points.groupBy("trace_id").agg(F.count(F.lit(1)).alias("points"))
+    seen = F.count("value") if need_values else F.count(F.lit(1))
+    counts = points.groupBy("trace_id").agg(
+        F.count(F.lit(1)).alias("points"), (seen > 0).alias("seen")
+    )
     status = (
         F.when(F.col("rows").isNotNull(), "too_large")
-        .when(F.col("points").isNull(), "missing")
-        .otherwise("ok")
+        .when(F.coalesce("seen", F.lit(False)), "ok")
+        .otherwise("missing")
     )
     return (
         labels.join(counts, "trace_id", "left")
