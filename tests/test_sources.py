@@ -1,3 +1,5 @@
+import subprocess
+import sys
 from pathlib import Path
 
 import pandas as pd
@@ -223,3 +225,20 @@ def test_dispatch_fixture_end_to_end(spark, tmp_path):
         (0, "2030-01-02 00:00:00", 4.0),
         (1, "2030-01-01 00:00:00", 120.0),
     ]
+
+
+def test_workers_do_not_need_the_package(tmp_path):
+    from pyspark import cloudpickle
+
+    from tracemill.sources.tables import layout_reader
+
+    path = write(tmp_path / "a.parquet", Value=[1.0])
+    (tmp_path / "reader").write_bytes(cloudpickle.dumps(layout_reader()))
+    code = (
+        "import pandas, pathlib; from pyspark import cloudpickle;"
+        "reader = cloudpickle.loads(pathlib.Path('reader').read_bytes());"
+        f"files = pandas.DataFrame({{'path': ['{path}'], 'suffix': ['.parquet']}});"
+        "print(next(reader([files]))['layout'][0])"
+    )
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True)
+    assert done.stdout.strip() == "Value: double", done.stderr

@@ -101,10 +101,10 @@ def datetime_bounds(df: DataFrame, column: str) -> DataFrame:
 def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row per column: rows of the table, distinct values, first examples.
 
-    Missing columns are listed with ``missing`` set. The table is first reduced
-    to its distinct combinations with their counts; everything else works on
-    those. Examples are the first ten values in text order, by a ranking that
-    Spark cuts off in each task before the shuffle.
+    Missing columns are listed with ``missing`` set. One pass counts the rows of
+    each value of each column, within each task before the shuffle; everything
+    else works on those counts. Examples are the first ten values in text order,
+    by a ranking that Spark also cuts off in each task.
     """
     spark = df.sparkSession
     asked = rows_frame(
@@ -113,7 +113,6 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         "ordinal int, column string, missing boolean",
     )
     present = [name for name in columns if name in df.columns]
-    combinations = df.groupBy(*map(col, present)).agg(F.count(F.lit(1)).alias("__rows"))
     pairs = [
         F.struct(
             F.lit(name).alias("column"),
@@ -122,12 +121,12 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         for name in columns
     ]
     values = (
-        combinations.select("__rows", F.explode(F.array(*pairs)).alias("pair"))
+        df.select(F.explode(F.array(*pairs)).alias("pair"))
         .groupBy("pair.column", "pair.value")
-        .agg(F.sum("__rows").alias("__rows"))
+        .agg(F.count(F.lit(1)).alias("rows"))
     )
     counts = values.groupBy("column").agg(
-        F.sum("__rows").alias("rows"), F.count("value").alias("distinct_values")
+        F.sum("rows").alias("rows"), F.count("value").alias("distinct_values")
     )
     rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
     examples = (

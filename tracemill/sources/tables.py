@@ -8,10 +8,9 @@ are united by column name.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Iterable, Sequence
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,7 +18,7 @@ from pyspark.sql import types as T
 from tracemill.functions.time import NTZ
 from tracemill.operators.clean import strip_names
 from tracemill.roles import SUPPORTED_SUFFIXES, Roles, col
-from tracemill.session import rows_frame
+from tracemill.session import durable, rows_frame
 from tracemill.sources.runs import (
     any_case,
     as_list,
@@ -69,50 +68,58 @@ def available_columns(columns: Iterable[str], requested: Sequence[str] | None) -
     return [name for name in dict.fromkeys(requested) if name in present]
 
 
-def file_layouts(files: DataFrame) -> DataFrame:
-    """Add to each file (``path``, ``suffix``) a text that names its layout.
+def layout_reader():
+    """Function for ``mapInPandas`` that names the layout of each file.
 
-    Reads parquet footers and csv header lines inside tasks. Files listed by
-    Spark come in partitions by size, as for reading them.
+    It refers to nothing outside itself, so workers need not have this package.
     """
 
-    def layouts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def uri(path):
+        # "file:/a b" is not a valid URI for Arrow, and s3a is known as s3.
+        if path.startswith("file:"):
+            return "/" + path[len("file:") :].lstrip("/")
+        return path.replace("s3a://", "s3://", 1)
+
+    def first_line(handle):
+        line = b""
+        while b"\n" not in line:
+            block = handle.read(64 * 1024)
+            if not block:
+                break
+            line += block
+        return line.split(b"\n", 1)[0].strip(b"\r\xef\xbb\xbf").decode("utf-8", "replace")
+
+    def layout(path, suffix):
         import pyarrow.parquet as pq
         from pyarrow import fs
 
+        store, inner = fs.FileSystem.from_uri(uri(path))
+        if suffix == ".parquet":
+            with store.open_input_file(inner) as handle:
+                return "; ".join(f"{f.name}: {f.type}" for f in pq.read_schema(handle))
+        with store.open_input_stream(inner) as handle:
+            return first_line(handle)
+
+    def layouts(batches):
         for batch in batches:
-            texts = []
-            for path, suffix in zip(batch["path"], batch["suffix"]):
-                store, inner = fs.FileSystem.from_uri(_arrow_uri(path))
-                if suffix == ".parquet":
-                    with store.open_input_file(inner) as handle:
-                        schema = pq.read_schema(handle)
-                    texts.append("; ".join(f"{f.name}: {f.type}" for f in schema))
-                else:
-                    with store.open_input_stream(inner) as handle:
-                        texts.append(_first_line(handle))
+            texts = [layout(*file) for file in zip(batch["path"], batch["suffix"])]
             yield batch[["path", "suffix"]].assign(layout=texts)
 
-    return files.select("path", "suffix").mapInPandas(
-        layouts, "path string, suffix string, layout string"
-    )
-
+    return layouts
 
-def _arrow_uri(path: str) -> str:
-    """``file:/a b`` as ``/a b``; other paths keep their scheme, s3a as s3."""
-    if path.startswith("file:"):
-        return "/" + path[len("file:") :].lstrip("/")
-    return path.replace("s3a://", "s3://", 1)
 
+def file_layouts(files: DataFrame) -> DataFrame:
+    """Add to each file (``path``, ``suffix``) a text that names its layout.
 
-def _first_line(handle) -> str:
-    line = b""
-    while b"\n" not in line:
-        block = handle.read(64 * 1024)
-        if not block:
-            break
-        line += block
-    return line.split(b"\n", 1)[0].strip(b"\r\xef\xbb\xbf").decode("utf-8", "replace")
+    Reads parquet footers and csv header lines inside tasks. Files listed by
+    Spark come in partitions by size, as for reading them. The result is
+    written to the shared folder, so that each file is opened once.
+    """
+    return durable(
+        files.select("path", "suffix").mapInPandas(
+            layout_reader(), "path string, suffix string, layout string"
+        )
+    )
 
 
 def _tagged(
@@ -185,8 +192,9 @@ def _load(
     columns: Sequence[str] | None,
     roles: Roles,
 ) -> DataFrame:
-    layouts = file_layouts(files).groupBy("suffix", "layout")
-    groups = layouts.agg(F.count(F.lit(1)).alias("files")).orderBy("suffix", "layout").collect()
+    layouts = file_layouts(files)
+    found = layouts.select("suffix", "layout").distinct()
+    groups = found.orderBy("suffix", "layout").collect()
     if not groups:
         raise ValueError("no input files")
     frames = []
@@ -197,7 +205,7 @@ def _load(
             options = {"recursiveFileLookup": "true", "pathGlobFilter": any_case(suffix)}
             frames.append(_tagged(_read(spark, suffix, folders, **options), columns, root, roles))
             continue
-        members = file_layouts(files).where(F.col("suffix") == suffix)
+        members = layouts.where(F.col("suffix") == suffix)
         paths: dict[str, list[str]] = {}
         for row in members.orderBy("path").toLocalIterator():
             paths.setdefault(row["layout"], []).append(row["path"])
