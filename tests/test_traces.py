@@ -4,6 +4,7 @@ import pytest
 
 from tracemill.operators.clean import fact_table
 from tracemill.operators.selector import selector_index, selector_tree
+from tracemill.plans import evaluate as plan
 from tracemill.plans import traces
 from tracemill.plans.evaluate import evaluate, report, summary, with_steps
 from tracemill.plans.traces import (
@@ -167,6 +168,7 @@ def test_long_trace_lists_are_joined_by_shuffle(spark, monkeypatch):
     ]
     short = points(spark, *specs)
     monkeypatch.setattr(traces, "BROADCAST_TRACES", 0)
+    monkeypatch.setattr(plan, "BROADCAST_TRACES", 0)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.functions.time import HINT, LAYOUTS, NTZ, parse_time
+from tracemill.functions.time import HINT, ISO, LAYOUTS, NTZ, parse_time
 from tracemill.functions.values import to_number
 from tracemill.roles import Roles, col
 
@@ -35,32 +37,43 @@ def time_layout(df: DataFrame, column: str) -> str | None:
 
     The hint layout is taken when it fits at least 80 % of all rows (null
     counts as a misfit), else the other layout that fits most rows. ``None``
-    when nothing fits. Starts one job that reads this column only. A table
-    repeats its times for every unit and area, so each distinct text is parsed
-    once and weighted by its rows.
+    when nothing fits. Starts a job that reads this column only, and a second
+    one if neither the hint nor ISO times fit well. A table repeats its times
+    for every unit and area, so each distinct text is parsed once and weighted
+    by its rows.
     """
-    fits = layout_fits(df.select(col(column).alias("text"))).first()
-    return choose_layout(fits["rows"], {layout: fits[layout] for layout in LAYOUTS})
+    texts = df.select(col(column).alias("text"))
+    common = layout_fits(texts, (HINT, ISO)).first().asDict()
+    if fits_hint(common) or common[ISO] == common["filled"]:
+        return choose_layout(common)
+    rest = [layout for layout in LAYOUTS if layout not in common]
+    return choose_layout(common | layout_fits(texts, rest).first().asDict())
 
 
-def layout_fits(texts: DataFrame) -> DataFrame:
-    """One row: number of ``rows`` of column ``text``, and how many each layout fits."""
+def layout_fits(texts: DataFrame, layouts: Iterable[str] = tuple(LAYOUTS)) -> DataFrame:
+    """One row: ``rows`` of column ``text``, ``filled`` ones, and how many each layout fits."""
     text = F.col("text")
-    counted = texts.groupBy("text").agg(F.count(F.lit(1)).alias("rows"))
+    counted = texts.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
 
     def total(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("rows"))), F.lit(0))
+        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
     return counted.agg(
         total(F.lit(True)).alias("rows"),
-        *[total(parse_time(text, layout).isNotNull()).alias(layout) for layout in LAYOUTS],
+        total(text.isNotNull()).alias("filled"),
+        *[total(parse_time(text, layout).isNotNull()).alias(layout) for layout in layouts],
     )
 
 
-def choose_layout(rows: int, fits: dict[str, int]) -> str | None:
-    if rows and fits[HINT] >= HINT_SHARE * rows:
+def fits_hint(fits: dict[str, int]) -> bool:
+    return fits["rows"] > 0 and fits[HINT] >= HINT_SHARE * fits["rows"]
+
+
+def choose_layout(fits: dict[str, int]) -> str | None:
+    if fits_hint(fits):
         return HINT
-    best = max((layout for layout in LAYOUTS if layout != HINT), key=fits.__getitem__)
+    others = [layout for layout in LAYOUTS if layout != HINT and layout in fits]
+    best = max(others, key=fits.__getitem__)
     return best if fits[best] else None
 
 

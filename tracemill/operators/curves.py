@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.values import sum_or_zero, to_number
+from tracemill.operators.joins import spread_join
 from tracemill.plans.traces import small
 from tracemill.roles import col, quoted
 from tracemill.session import durable
@@ -148,7 +149,7 @@ def density(points: DataFrame, series: str = "trace_id", value: str = "value") -
     # the bin is then moved to where the edges say.
     guess = "least(cast(floor((v - low) / (high - low) * bins) as int), bins - 1) as guess"
     inside = (
-        copies.join(shape, "s")
+        spread_join(copies, shape, ["s"], ["v"])
         .selectExpr("*", guess)
         .selectExpr(
             "s",

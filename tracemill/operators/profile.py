@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.functions.time import LAYOUTS
 from tracemill.operators.clean import choose_layout, layout_fits, with_time
 from tracemill.roles import TIME_SAMPLE_COLUMNS, TIME_SAMPLE_ROWS, Roles, col
 from tracemill.session import rows_frame
@@ -74,8 +73,8 @@ def detect_time_columns(df: DataFrame, roles: Roles = Roles()) -> list[str]:
     ]
     found = {row["column"]: row for row in reduce(DataFrame.unionAll, samples).collect()}
     for name in texts:
-        row = found[name]
-        layout = choose_layout(row["rows"], {key: row[key] for key in LAYOUTS})
+        row = found[name].asDict()
+        layout = choose_layout(row)
         if layout and row[layout] > TIME_SHARE * row["rows"]:
             named.append(name)
     return named

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.time import BUCKETS, bucket_end_by, bucket_start_by, within_dates
 from tracemill.functions.values import nan_to_null, sum_or_zero
+from tracemill.operators.joins import spread_join
 from tracemill.operators.match import Selection, match, selection_of, selections_of
 from tracemill.operators.rollup import clean_key
 from tracemill.plans.traces import RAW, TraceSpec, small, specs_frame, trace_label
-from tracemill.roles import RAW_POINT_LIMIT, Roles, col
+from tracemill.roles import BROADCAST_TRACES, RAW_POINT_LIMIT, Roles, col
 from tracemill.session import rows_frame
 
 AGGREGATES = {"sum": sum_or_zero, "mean": F.avg, "min": F.min, "max": F.max}
@@ -130,9 +131,12 @@ def _aggregated(rows: DataFrame, traces: list[tuple]) -> DataFrame:
 
     asked = rows_frame(spark, pairs, "selection_id int, resolution string")
     start = bucket_start_by("time", "resolution", resolutions)
+    if len(traces) <= BROADCAST_TRACES:
+        rows = rows.join(F.broadcast(asked), "selection_id")
+    else:
+        rows = spread_join(rows, asked, ["selection_id"], ["time"])
     sums = (
-        rows.join(small(asked, len(traces)), "selection_id")
-        .groupBy("selection_id", "resolution", start.alias("time"))
+        rows.groupBy("selection_id", "resolution", start.alias("time"))
         .agg(*[AGGREGATES[name](F.col("value")).alias(name) for name in functions])
     )
     cases = " ".join(f"when '{name}' then `{name}`" for name in functions)
