@@ -9,7 +9,7 @@ from catalog.facts import EVENT_FACTS, event_facts, table
 from tracemill.operators.clean import fact_table
 from tracemill.plans.evaluate import evaluate, with_steps
 from tracemill.plans.traces import TraceSpec
-from tracemill.plans.visualize import load_facts, visualize
+from tracemill.plans.visualize import load_facts, load_index, visualize
 from tracemill.session import scratch_path
 from tracemill.sources import discover_files, list_runs, load_files, load_runs, run_key, run_options
 from tracemill.sources.runs import files_of_runs
@@ -187,7 +187,13 @@ def plot_report(spark: SparkSession, folder: str) -> DataFrame:
     return visualize(facts, specs, "density").report
 
 
+def file_index(spark: SparkSession, folder: str) -> DataFrame:
+    index = load_index(spark, run_root(spark, folder), data_path=DATA_PATH)
+    return index.drop("__source_file").distinct()
+
+
 QUERIES |= {
+    "file_selector_index": file_index,
     "refresh_rollup": refreshed,
     "plot_duration_curve": plotted("duration_curve"),
     "plot_stacked_area": plotted("stacked_area"),
@@ -197,6 +203,8 @@ _POINTS = ORACLES["file_traces"].rsplit("\n", 1)[0] + """,
 steps as (select trace_id, unnest([time, time + length - interval 1 microsecond]) as time, value
   from points)"""
 ORACLES |= {
+    "file_selector_index": f"""with {FILE_FACTS} select distinct "__run_key", "BZ", "WS",
+  "Property", "Unit Name" from file_facts""",
     "refresh_rollup": f"""with {EVENT_FACTS}
 select "__run_key", "PEMMDB_TECHNOLOGY", "Property", "BZ", "WS", "Datetime",
   coalesce(sum("Value"), 0) as "Value" from event_facts group by all""",

@@ -140,7 +140,7 @@ def test_only_named_runs_are_read(spark, stored, tmp_path):
     rows = spark.read.parquet(stored)
     for run in ("run_0", "run_1"):
         rows.where(F.col("__run_key") == run).drop("__run_key").write.parquet(f"{tmp_path}/{run}")
-    loaded = load_facts(spark, str(tmp_path), SPECS[:2])
+    loaded = load_facts(spark, str(tmp_path), SPECS[:2], unit_detail=True)
     assert {row[0] for row in loaded.select("__run_key").distinct().collect()} == {"run_0"}
     assert "Comment" not in loaded.columns
     everything = load_facts(spark, str(tmp_path), [TraceSpec(None, 0, "click")])

@@ -21,6 +21,19 @@ SCHEMA = (
     "Datetime string, Value double, `__run_key` string, WS {ws}, BZ string, Property string,"
     " PEMMDB_TECHNOLOGY string, `Unit Name` string"
 )
+STRUCT = ", ".join(
+    f"{name}: {kind}"
+    for name, kind in (
+        ("Datetime", "string"),
+        ("Value", "double"),
+        ("`__run_key`", "string"),
+        ("WS", "int"),
+        ("BZ", "string"),
+        ("Property", "string"),
+        ("PEMMDB_TECHNOLOGY", "string"),
+        ("`Unit Name`", "string"),
+    )
+)
 NAN = float("nan")
 ROWS = [
     # Two gas units, two hours of one day, one hour of the next.
@@ -72,6 +85,21 @@ def test_sum_of_nulls_is_zero_and_other_aggregates_are_null(spark):
     assert [value for _, _, value in points(spark, *specs)] == [0.0, 0.0, 0.0, 0.0]
 
 
+def test_other_time_columns_keep_rows_apart(spark):
+    late = fact_table(
+        spark.createDataFrame(
+            [(row, i % 2) for i, row in enumerate(ROWS)], f"row struct<{STRUCT}>, delivery_hour int"
+        ).select("row.*", "delivery_hour")
+    )
+    spec = TraceSpec("r1", 4, "DE", "gen", "Gas", None, "mean", "day")
+
+    def first_day(**options):
+        return evaluate(late, [spec], **options).points.orderBy("time").first()["value"]
+
+    assert first_day() == (1.0 + 2.0 + 5.0 + 0.0) / 4
+    assert first_day(time_columns=[]) == (3.0 + 5.0) / 2
+
+
 def test_a_unit_can_only_be_picked_in_unit_detail(spark):
     spec = TraceSpec("r1", 4, "DE", "gen", "Gas", "b", "sum", "day")
     assert points(spark, spec) == [(0, FIRST, 8.0), (0, SECOND, 7.0)]

@@ -12,6 +12,7 @@ from tracemill.functions.time import BUCKETS, bucket_end_by, bucket_start_by, wi
 from tracemill.functions.values import nan_to_null, sum_or_zero
 from tracemill.operators.joins import spread_join
 from tracemill.operators.match import Selection, match, selection_of, selections_of
+from tracemill.operators.profile import time_columns_by_name
 from tracemill.operators.rollup import clean_key
 from tracemill.plans.traces import RAW, TraceSpec, small, specs_frame, trace_label
 from tracemill.roles import BROADCAST_TRACES, RAW_POINT_LIMIT, Roles, col
@@ -45,13 +46,14 @@ def matched_rows(
     unit_detail: bool = False,
     start: str | None = None,
     end: str | None = None,
+    time_columns: Sequence[str] | None = None,
 ) -> DataFrame:
     """``selection_id, time, value`` of the rows that the selections ask for.
 
     ``facts`` is a table as made by ``clean.fact_table``. Without unit detail,
     units are first summed to the technology, for each time and each other
-    dimension: a daily mean is then the mean of technology totals. Only matched
-    rows are summed.
+    dimension and time column: a daily mean is then the mean of technology
+    totals. Only matched rows are summed.
     """
     inside = facts.where(within_dates(col(roles.time), start, end))
     rows = match(inside, selections, roles)
@@ -65,8 +67,9 @@ def matched_rows(
             roles.sample,
             roles.ws,
             roles.time,
+            *(time_columns_by_name(rows) if time_columns is None else time_columns),
         )
-        keys = [clean_key(rows, name) for name in names if name in rows.columns]
+        keys = [clean_key(rows, name) for name in dict.fromkeys(names) if name in rows.columns]
         rows = rows.groupBy("selection_id", *keys).agg(sum_or_zero(value).alias("__value"))
         value = F.col("__value")
     return rows.select("selection_id", col(roles.time).alias("time"), value.alias("value"))
@@ -84,6 +87,7 @@ def evaluate(
     start: str | None = None,
     end: str | None = None,
     raw_limit: int | None = RAW_POINT_LIMIT,
+    time_columns: Sequence[str] | None = None,
 ) -> Evaluation:
     """Evaluate all traces over ``facts``.
 
@@ -91,6 +95,8 @@ def evaluate(
     selection and a bucket share the sums, and each then takes its own function.
     Raw traces take a pass of their own. A raw trace with more than
     ``raw_limit`` rows is refused as a whole; ``None`` lifts the limit.
+    ``time_columns`` are further keys of the roll-up, by default all columns
+    whose names say so; ``profile.detect_time_columns`` also looks at contents.
     """
     spark = facts.sparkSession
     plain = [spec.normalized() for spec in specs]
@@ -104,7 +110,7 @@ def evaluate(
     def rows_for(traces: list[tuple]) -> DataFrame:
         used = {number for _, number, _, _ in traces}
         chosen = {s: number for s, number in numbers.items() if number in used}
-        return matched_rows(facts, chosen, roles, unit_detail, start, end)
+        return matched_rows(facts, chosen, roles, unit_detail, start, end, time_columns)
 
     traces = [
         (i, numbers[selection_of(spec)], spec.function, spec.bucket)

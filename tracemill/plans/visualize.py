@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracemill.operators.clean import fact_table
 from tracemill.operators.curves import density, duration_curve, line, stacked_area
+from tracemill.operators.selector import selector_index
 from tracemill.plans.evaluate import evaluate, report, with_steps
 from tracemill.plans.traces import TraceSpec
 from tracemill.roles import RAW_POINT_LIMIT, Roles
@@ -34,25 +35,16 @@ def load_facts(
     specs: Sequence[TraceSpec],
     data_path: str | None = None,
     roles: Roles = Roles(),
+    unit_detail: bool = False,
 ) -> DataFrame:
     """The facts that the traces need, ready for ``evaluate``.
 
     Only the runs that traces name are listed and read; without any run, the
-    files that traces name as scenarios; without those, everything. Only the
-    columns that traces may ask for are read.
+    files that traces name as scenarios; without those, everything. For unit
+    detail the frame is cut to the columns that traces may ask for; otherwise
+    other time columns matter too, and Spark itself reads only what is used.
     """
-    columns = [
-        roles.time,
-        roles.value,
-        roles.area,
-        roles.ws,
-        roles.prop,
-        roles.technology,
-        roles.unit,
-        roles.run,
-        roles.source,
-        roles.sample,
-    ]
+    columns = [*roles.plot_columns, roles.unit] if unit_detail else None
     runs = sorted({spec.run for spec in specs if spec.run})
     if not runs:
         named = sorted({spec.scenario for spec in specs if spec.looks_like_path})
@@ -65,6 +57,18 @@ def load_facts(
     return fact_table(loaded, roles)
 
 
+def load_index(
+    spark: SparkSession,
+    root: str,
+    runs: str | Sequence[str] | None = None,
+    data_path: str | None = None,
+    roles: Roles = Roles(),
+) -> DataFrame:
+    """The selector index of the chosen runs, from their dimension columns."""
+    loaded = load_runs(spark, root, runs, roles.dimensions, data_path, roles)
+    return selector_index(loaded, roles)
+
+
 def visualize(
     facts: DataFrame,
     specs: Sequence[TraceSpec],
