@@ -158,6 +158,16 @@ def test_run_filter_prunes_files(spark, tmp_path):
     assert [r["Value"] for r in one.collect()] == [2.0]
 
 
+def test_names_are_no_patterns(spark, tmp_path):
+    for i, run in enumerate(("run[1]", "run1", "a{b,c}", "x*y", "xzy")):
+        write(tmp_path / run / f"{i}.parquet", Value=[float(i)], BZ=[run])
+    assert discover_files(spark, str(tmp_path), "run[1]").count() == 1
+    for run in ("run[1]", "a{b,c}", "x*y"):
+        row = load_runs(spark, str(tmp_path), run).collect()
+        assert [(r["__run_key"], r["BZ"]) for r in row] == [(run, run)]
+    assert load_runs(spark, str(tmp_path)).count() == 5
+
+
 def test_own_tag_columns(spark, tmp_path):
     write(tmp_path / "r" / "a.parquet", Value=[1.0], __source_file=["own"], __run_key=["mine"])
     row = load_runs(spark, str(tmp_path)).first()

@@ -211,8 +211,13 @@ def stacked_area(points: DataFrame, trace_ids: Sequence[int]) -> DataFrame:
 
 
 def line(points: DataFrame, series: str = "trace_id", time: str = "time") -> DataFrame:
-    """Points in list order of the traces and in order of time."""
-    return points.orderBy(col(series), col(time))
+    """Points in list order of the traces and in order of time.
+
+    The other columns are last in the order, so that the many rows which a raw
+    trace may have at one time are still cut into several ranges.
+    """
+    rest = [name for name in points.columns if name not in (series, time)]
+    return points.orderBy(*map(col, [series, time, *rest]))
 
 
 def first_technology(df: DataFrame, series: str, technology: str, order: str) -> DataFrame:

@@ -84,13 +84,16 @@ def datetime_bounds(df: DataFrame, column: str) -> DataFrame:
     """First and last date as ``min_date``, ``max_date``, null when there is none.
 
     Texts are parsed first (one job), so the bounds are those of the times. Each
-    distinct value is parsed once.
+    distinct text is parsed once.
     """
     if column not in df.columns:
         return df.sparkSession.range(1).select(
             F.lit(None).cast("date").alias("min_date"), F.lit(None).cast("date").alias("max_date")
         )
-    timed = with_time(df.select(col(column)).distinct(), column)
+    values = df.select(col(column))
+    if isinstance(df.schema[column].dataType, T.StringType):
+        values = values.distinct()
+    timed = with_time(values, column)
     return timed.agg(
         F.min(col(column)).cast("date").alias("min_date"),
         F.max(col(column)).cast("date").alias("max_date"),

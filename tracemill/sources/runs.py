@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +19,11 @@ def any_case(suffix: str) -> str:
     return "*" + "".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in suffix)
 
 
+def literal(path: str) -> str:
+    """A path for Spark's readers, which otherwise take ``[1]`` as a pattern."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def as_list(value: str | Sequence[str] | None) -> list[str]:
     """One text, several or none, as a list of non-empty texts."""
     if value is None:
@@ -137,7 +143,7 @@ def discover_files(
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", glob)
-        .load(folders)
+        .load([literal(folder) for folder in folders])
     )
     return files.select(
         "path",

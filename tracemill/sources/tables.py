@@ -23,6 +23,7 @@ from tracemill.sources.runs import (
     any_case,
     as_list,
     discover_files,
+    literal,
     qualified,
     run_folders,
     run_key,
@@ -50,9 +51,10 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def _read(spark: SparkSession, suffix: str, paths: Sequence[str], **options: str) -> DataFrame:
     reader = spark.read.options(**options)
+    exact = [literal(path) for path in paths]
     if suffix == ".csv":
-        return reader.options(**CSV_OPTIONS).csv(list(paths))
-    return reader.parquet(*paths)
+        return reader.options(**CSV_OPTIONS).csv(exact)
+    return reader.parquet(*exact)
 
 
 def _naive_times(df: DataFrame) -> DataFrame:

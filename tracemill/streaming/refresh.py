@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from tracemill.operators.clean import strip_names
 from tracemill.operators.rollup import rollup_technology
 from tracemill.roles import Roles, col
-from tracemill.sources.runs import any_case, qualified, run_key, source_path
+from tracemill.sources.runs import any_case, literal, qualified, run_key, source_path
 
 PART = "part"
 
@@ -33,7 +33,7 @@ def new_files(
         spark.readStream.schema(schema)
         .option("recursiveFileLookup", "true")
         .option("pathGlobFilter", any_case(".parquet"))
-        .parquet(root)
+        .parquet(literal(root))
     )
     tagged = rows.withColumns(
         {roles.source: path, roles.run: run_key(path, qualified(spark, root))}
