@@ -61,6 +61,14 @@ def test_many_traces_are_one_scan(spark, stored):
     assert "Python" not in plan
 
 
+def test_sums_are_shuffled_once(spark, stored):
+    sums = [SPECS[0], TraceSpec("run_1", 3, "view", "load", None, None, "sum", "week")]
+    plan = plan_of(evaluate(facts(spark, stored), sums).points)
+    assert plan.count("Exchange hashpartitioning") == 1
+    mixed = plan_of(evaluate(facts(spark, stored), SPECS).points)
+    assert mixed.count("Exchange hashpartitioning") == 2
+
+
 def test_filters_and_columns_reach_the_scan(spark, stored):
     points = evaluate(facts(spark, stored), SPECS, start="2024-01-03", end="2024-01-09").points
     plan = formatted_plan_of(points)

@@ -93,7 +93,8 @@ def evaluate(
 
     One pass over the facts serves every aggregated trace: traces that share a
     selection and a bucket share the sums, and each then takes its own function.
-    Raw traces take a pass of their own. A raw trace with more than
+    A list of nothing but sums needs no roll-up, since a sum of sums is the sum;
+    its only shuffle is that of the buckets. Raw traces take a pass of their own. A raw trace with more than
     ``raw_limit`` rows is refused as a whole; ``None`` lifts the limit.
     ``time_columns`` are further keys of the roll-up, by default all columns
     whose names say so; ``profile.detect_time_columns`` also looks at contents.
@@ -110,7 +111,8 @@ def evaluate(
     def rows_for(traces: list[tuple]) -> DataFrame:
         used = {number for _, number, _, _ in traces}
         chosen = {s: number for s, number in numbers.items() if number in used}
-        return matched_rows(facts, chosen, roles, unit_detail, start, end, time_columns)
+        single = unit_detail or all(function == "sum" for _, _, function, _ in traces)
+        return matched_rows(facts, chosen, roles, single, start, end, time_columns)
 
     traces = [
         (i, numbers[selection_of(spec)], spec.function, spec.bucket)
@@ -141,9 +143,8 @@ def _aggregated(rows: DataFrame, traces: list[tuple]) -> DataFrame:
         rows = rows.join(F.broadcast(asked), "selection_id")
     else:
         rows = spread_join(rows, asked, ["selection_id"], ["time"])
-    sums = (
-        rows.groupBy("selection_id", "resolution", start.alias("time"))
-        .agg(*[AGGREGATES[name](F.col("value")).alias(name) for name in functions])
+    sums = rows.groupBy("selection_id", "resolution", start.alias("time")).agg(
+        *[AGGREGATES[name](F.col("value")).alias(name) for name in functions]
     )
     cases = " ".join(f"when '{name}' then `{name}`" for name in functions)
     wanted = rows_frame(spark, traces, TRACES)
