@@ -115,6 +115,22 @@ def test_one_layout_for_the_whole_column(spark):
     assert first(nothing) == [None, None]
 
 
+def test_runs_may_differ_in_layout(spark):
+    rows = [("a", "2024-01-01 10.30"), ("b", "2024-01-01T11:30:00"), ("c", "31.12.2023")]
+    rows += [("a", "2024-01-01T11:30:00")] + [("a", "2024-01-01 10.30")] * 4
+    rows += [(None, "2024-02-01"), ("d", None), ("e", "x")]
+    df = spark.createDataFrame([(*row, 1.0) for row in rows], "`__run_key` string, Datetime string, Value double")
+    found = fact_table(df).select("__run_key", "Datetime").distinct().collect()
+    assert {tuple(row) for row in found} == {
+        ("a", datetime(2024, 1, 1, 10, 30)),
+        ("b", datetime(2024, 1, 1, 11, 30)),
+        ("c", datetime(2023, 12, 31)),
+        (None, datetime(2024, 2, 1)),
+    }
+    row = datetime_bounds(df, "Datetime").first()
+    assert [str(row["min_date"]), str(row["max_date"])] == ["2023-12-31", "2024-02-01"]
+
+
 def test_invalid_hours_become_null(spark):
     rows = texts(spark, ["2024-01-01T00:00:00", "2024-01-01T100:00:00", "2024-01-01T24:30:00"])
     assert first(with_time(rows, "t")) == [datetime(2024, 1, 1), None, None]

@@ -32,33 +32,43 @@ def strip_names(df: DataFrame) -> DataFrame:
     )
 
 
-def time_layout(df: DataFrame, column: str) -> str | None:
-    """The layout of a text column, decided once for the whole column.
-
-    The hint layout is taken when it fits at least 80 % of all rows (null
-    counts as a misfit), else the other layout that fits most rows. ``None``
-    when nothing fits. Starts a job that reads this column only, and a second
-    one if neither the hint nor ISO times fit well. A table repeats its times
-    for every unit and area, so each distinct text is parsed once and weighted
-    by its rows.
+def time_layouts(df: DataFrame, column: str, per: str | None = None) -> dict[str, str | None]:
+    """The layout of a text column, decided once for each value of ``per``.
+
+    The hint layout is taken when it fits at least 80 % of the rows (null
+    counts as a misfit), else the other layout that fits most rows, and ``None``
+    when nothing fits. ``per`` is a column of few values, such as the run;
+    without it there is one decision, under the key ``""``.
+
+    Starts a job that reads these columns only, and a second one for the groups
+    which neither the hint nor ISO times fit well. A table repeats its times for
+    every unit and area, so each distinct text is parsed once and weighted by
+    its rows.
     """
-    texts = df.select(col(column).alias("text"))
-    common = layout_fits(texts, (HINT, ISO)).first().asDict()
-    if fits_hint(common) or common[ISO] == common["filled"]:
-        return choose_layout(common)
-    rest = [layout for layout in LAYOUTS if layout not in common]
-    return choose_layout(common | layout_fits(texts, rest).first().asDict())
+    group = F.coalesce(col(per).cast("string"), F.lit("")) if per else F.lit("")
+    texts = df.select(group.alias("group"), col(column).alias("text"))
+    fits = {row["group"]: row.asDict() for row in layout_fits(texts, (HINT, ISO)).collect()}
+    unclear = [
+        name
+        for name, common in fits.items()
+        if not fits_hint(common) and common[ISO] < common["filled"]
+    ]
+    if unclear:
+        rest = [layout for layout in LAYOUTS if layout not in (HINT, ISO)]
+        for row in layout_fits(texts.where(F.col("group").isin(unclear)), rest).collect():
+            fits[row["group"]] |= row.asDict()
+    return {name: choose_layout(found) for name, found in fits.items()}
 
 
 def layout_fits(texts: DataFrame, layouts: Iterable[str] = tuple(LAYOUTS)) -> DataFrame:
-    """One row: ``rows`` of column ``text``, ``filled`` ones, and how many each layout fits."""
+    """Per ``group``: its ``rows`` of ``text``, ``filled`` ones, and how many each layout fits."""
     text = F.col("text")
-    counted = texts.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
+    counted = texts.groupBy("group", "text").agg(F.count(F.lit(1)).alias("n"))
 
     def total(condition: Column) -> Column:
         return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
 
-    return counted.agg(
+    return counted.groupBy("group").agg(
         total(F.lit(True)).alias("rows"),
         total(text.isNotNull()).alias("filled"),
         *[total(parse_time(text, layout).isNotNull()).alias(layout) for layout in layouts],
@@ -77,21 +87,29 @@ def choose_layout(fits: dict[str, int]) -> str | None:
     return best if fits[best] else None
 
 
-def with_time(df: DataFrame, column: str, out: str | None = None) -> DataFrame:
-    """Replace (or add as ``out``) a time column by its parsed form.
+def with_time(df: DataFrame, column: str, per: str | None = None) -> DataFrame:
+    """Replace a time column by its parsed form.
 
-    Times pass through, texts are parsed with ``time_layout``, and numbers are
-    refused: an integer hour of the day is no point in time.
+    Times pass through, texts are parsed in the layouts of ``time_layouts``, and
+    numbers are refused: an integer hour of the day is no point in time.
     """
     kind = df.schema[column].dataType
-    out = out or column
     if isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)):
-        return df.withColumn(out, col(column).cast(NTZ))
+        return df.withColumn(column, col(column).cast(NTZ))
     if not isinstance(kind, T.StringType):
         raise TypeError(f"column {column!r} of type {kind.simpleString()} holds no times")
-    layout = time_layout(df, column)
-    parsed = parse_time(col(column), layout) if layout else F.lit(None).cast(NTZ)
-    return df.withColumn(out, parsed)
+    groups: dict[str, list[str]] = {}
+    for name, layout in time_layouts(df, column, per).items():
+        if layout:
+            groups.setdefault(layout, []).append(name)
+    parsed = F.lit(None).cast(NTZ)
+    for layout, names in groups.items():
+        here = parse_time(col(column), layout)
+        if len(groups) > 1:
+            here = F.when(F.coalesce(col(per).cast("string"), F.lit("")).isin(names), here)
+            here = here.otherwise(parsed)
+        parsed = here
+    return df.withColumn(column, parsed)
 
 
 def with_number(df: DataFrame, column: str) -> DataFrame:
@@ -107,6 +125,10 @@ def with_number(df: DataFrame, column: str) -> DataFrame:
 
 
 def fact_table(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
-    """Rows with a valid time, parsed times and numeric values."""
-    clean = with_number(with_time(df, roles.time), roles.value)
+    """Rows with a valid time, parsed times and numeric values.
+
+    Runs may write their times in different layouts.
+    """
+    per = roles.run if roles.run in df.columns else None
+    clean = with_number(with_time(df, roles.time, per), roles.value)
     return clean.where(col(roles.time).isNotNull())

@@ -67,20 +67,21 @@ def detect_time_columns(df: DataFrame, roles: Roles = Roles()) -> list[str]:
         return named
     samples = [
         layout_fits(
-            df.select(col(name).alias("text")).where("text is not null").limit(TIME_SAMPLE_ROWS)
-        ).withColumn("column", F.lit(name))
+            df.select(F.lit(name).alias("group"), col(name).alias("text"))
+            .where("text is not null")
+            .limit(TIME_SAMPLE_ROWS)
+        )
         for name in texts
     ]
-    found = {row["column"]: row for row in reduce(DataFrame.unionAll, samples).collect()}
-    for name in texts:
-        row = found[name].asDict()
-        layout = choose_layout(row)
+    for found in reduce(DataFrame.unionAll, samples).collect():
+        row = found.asDict()
+        name, layout = row["group"], choose_layout(row)
         if layout and row[layout] > TIME_SHARE * row["rows"]:
             named.append(name)
     return named
 
 
-def datetime_bounds(df: DataFrame, column: str) -> DataFrame:
+def datetime_bounds(df: DataFrame, column: str, roles: Roles = Roles()) -> DataFrame:
     """First and last date as ``min_date``, ``max_date``, null when there is none.
 
     Texts are parsed first (one job), so the bounds are those of the times. Each
@@ -90,10 +91,11 @@ def datetime_bounds(df: DataFrame, column: str) -> DataFrame:
         return df.sparkSession.range(1).select(
             F.lit(None).cast("date").alias("min_date"), F.lit(None).cast("date").alias("max_date")
         )
+    per = roles.run if roles.run in df.columns else None
     values = df.select(col(column))
     if isinstance(df.schema[column].dataType, T.StringType):
-        values = values.distinct()
-    timed = with_time(values, column)
+        values = df.select(*[col(name) for name in (column, per) if name]).distinct()
+    timed = with_time(values, column, per)
     return timed.agg(
         F.min(col(column)).cast("date").alias("min_date"),
         F.max(col(column)).cast("date").alias("max_date"),
