@@ -103,8 +103,9 @@ def test_options_take_the_first_without_a_full_sort(spark, stored):
 
 
 def test_examples_are_cut_before_the_shuffle(spark, stored):
-    plan = plan_of(column_profile(facts(spark, stored), ["BZ", "Unit Name"]))
+    plan = final_plan_of(column_profile(facts(spark, stored), ["BZ", "Unit Name"]))
     assert "WindowGroupLimit" in plan
+    assert plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan
 
 
 def test_density_and_stack_read_the_facts_once(spark, stored):
