@@ -66,12 +66,10 @@ def test_skewed_series_and_values(spark, monkeypatch, copies_per_row):
 
 
 def test_large_series_is_spread_over_ranges(spark):
-    df = spark.range(50_000).select(F.lit(0).alias("trace_id"), F.rand(3).alias("value"))
-    ranges = curves.value_ranges(df, "trace_id", "value")
-    sizes = [row["count"] for row in ranges.groupBy("range").count().collect()]
+    df = spark.range(50_000).select(F.lit(0).alias("s"), F.rand(3).alias("v"))
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     try:
-        ranges = curves.value_ranges(df, "trace_id", "value")
+        ranges = curves.value_ranges(df)
         sizes = [row["count"] for row in ranges.groupBy("range").count().collect()]
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
@@ -79,6 +77,13 @@ def test_large_series_is_spread_over_ranges(spark):
     assert len(sizes) == 8 and max(sizes) < 4 * min(sizes)
 
 
+def test_any_column_names(spark):
+    df = frame(spark, [("a", 2.0), ("a", 1.0)], "`range` string, `copies per day` double")
+    found = duration_curve_frame(df, "range", "copies per day").orderBy("rank").collect()
+    assert [tuple(row) for row in found] == [("a", 2.0, 1, 50.0), ("a", 1.0, 2, 100.0)]
+    assert density(df, "range", "copies per day").where("y > 0").count() == 2
+
+
 def numpy_density(values):
     bins = 100 if len(values) >= 100 else max(10, len(values))
     heights, edges = np.histogram(values, bins=bins, density=True)

@@ -69,6 +69,19 @@ def test_sums_are_shuffled_once(spark, stored):
     assert mixed.count("Exchange hashpartitioning") == 2
 
 
+def test_the_raw_limit_needs_no_second_scan(spark, stored):
+    raw = [
+        TraceSpec(None, 0, "click", None, None, None, "none"),
+        TraceSpec("run_0", 0, "click", "load", None, None, "none"),
+    ]
+    whole = evaluate(facts(spark, stored), raw, raw_limit=None).points
+    small, large = sorted(row["count"] for row in whole.groupBy("trace_id").count().collect())
+    limited = evaluate(facts(spark, stored), raw, raw_limit=small).points
+    assert small < large and limited.count() == small
+    plan = final_plan_of(limited)
+    assert plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan
+
+
 def test_filters_and_columns_reach_the_scan(spark, stored):
     points = evaluate(facts(spark, stored), SPECS, start="2024-01-03", end="2024-01-09").points
     plan = formatted_plan_of(points)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.values import sum_or_zero, to_number
@@ -32,89 +32,77 @@ def duration_curve(points: DataFrame, series: str = "trace_id", value: str = "va
     Columns: series, ``rank`` from 1, ``x`` = rank / count * 100, and the value.
     Nulls come last and count. Starts jobs, see ``value_ranges``.
     """
-    return _curve(points, series, value).select(
-        col(series), "rank", (F.col("rank") / F.col("count") * 100.0).alias("x"), col(value)
+    curve = _curve(points.select(col(series).alias("s"), col(value).alias("v")))
+    return curve.select(
+        F.col("s").alias(series), "rank", _percent().alias("x"), F.col("v").alias(value)
     )
 
 
 def duration_curve_frame(df: DataFrame, series: str, value: str) -> DataFrame:
     """Duration curve of any column: what is no number is left out first."""
     number = to_number(col(value), df.schema[value].dataType)
-    values = df.select(col(series), number.alias(value)).where(col(value).isNotNull())
-    return _curve(values, series, value).select(
-        col(series),
-        col(value),
+    values = df.select(col(series).alias("s"), number.alias("v")).where("v is not null")
+    return _curve(values).select(
+        F.col("s").alias(series),
+        F.col("v").alias(value),
         "rank",
-        (F.col("rank") / F.col("count") * 100.0).alias("duration_percent"),
+        _percent().alias("duration_percent"),
     )
 
 
-def _curve(points: DataFrame, series: str, value: str) -> DataFrame:
-    """One row per point with its ``rank`` in the series and the series' ``count``."""
-    ranges = value_ranges(points, series, value)
+def _percent() -> Column:
+    return F.col("rank") / F.col("n") * 100.0
+
+
+def _curve(points: DataFrame) -> DataFrame:
+    """One row per point ``s, v`` with its ``rank`` in the series and its count ``n``."""
+    ranges = value_ranges(points)
     most = ranges.agg(F.max("copies")).first()[0] or 0
-    runs = first_ranks(ranges, series, value).withColumns(
-        {"first": F.col("first_rank"), "last": F.col("first_rank") + F.col("copies") - 1}
-    )
+    runs = first_ranks(ranges).selectExpr("s", "v", "n", "first", "first + copies - 1 as last")
     step = 1
     while most > step * COPIES_PER_ROW:
         step *= COPIES_PER_ROW
     while step > 1:
-        runs = _split(runs, step).repartition(col(series), F.col("first"))
+        runs = _split(runs, step).repartition("s", "first")
         step //= COPIES_PER_ROW
-    return _split(runs, 1).withColumn("rank", F.col("first"))
+    return _split(runs, 1).withColumnRenamed("first", "rank")
 
 
 def _split(runs: DataFrame, step: int) -> DataFrame:
     """Cut each run of ranks ``first .. last`` into runs of at most ``step``."""
-    starts = F.sequence("first", "last", F.lit(step).cast("bigint"))
-    pieces = runs.withColumn("first", F.explode(starts))
-    return pieces.withColumn("last", F.least(F.col("first") + (step - 1), F.col("last")))
+    pieces = runs.withColumn("first", F.expr(f"explode(sequence(first, last, {step}L))"))
+    return pieces.withColumn("last", F.expr(f"least(first + {step - 1}, last)"))
 
 
-def value_ranges(points: DataFrame, series: str, value: str) -> DataFrame:
-    """Distinct values of each series with their ``copies``, cut into ranges.
+def value_ranges(points: DataFrame) -> DataFrame:
+    """Distinct values ``v`` of each series ``s`` with their ``copies``, cut into ranges.
 
     Equal values are counted before the shuffle; the distinct values then go to
     ranges of about equal size that follow (series, value descending). The
     ranges are written to the shared folder, so that every later step sees the
     same ones. Starts a job.
     """
-    tied = (
-        points.where(col(series).isNotNull())
-        .groupBy(col(series), col(value))
-        .agg(F.count(F.lit(1)).alias("copies"))
-    )
-    ordered = tied.repartitionByRange(col(series), col(value).desc_nulls_last())
+    tied = points.where("s is not null").groupBy("s", "v").agg(F.count(F.lit(1)).alias("copies"))
+    ordered = tied.repartitionByRange(F.col("s"), F.col("v").desc_nulls_last())
     return durable(ordered.withColumn("range", F.spark_partition_id()))
 
 
-def first_ranks(ranges: DataFrame, series: str, value: str) -> DataFrame:
-    """Add the ``first_rank`` of each distinct value, and the series' ``count``.
+def first_ranks(ranges: DataFrame) -> DataFrame:
+    """Add the ``first`` rank of each distinct value, and the series' count ``n``.
 
     The rank is the running count inside the range plus the count of the ranges
     before it. The work per task is one range, never a series.
     """
-    sizes = ranges.groupBy(col(series), "range").agg(F.sum("copies").alias("size"))
-    in_order = Window.partitionBy(col(series)).orderBy("range")
-    starts = sizes.select(
-        col(series),
-        "range",
-        (F.sum("size").over(in_order) - F.col("size")).alias("before"),
-        F.sum("size").over(Window.partitionBy(col(series))).alias("count"),
-    )
-    inside = Window.partitionBy(col(series), "range").orderBy(col(value).desc_nulls_last())
+    sizes = ranges.groupBy("s", "range").agg(F.sum("copies").alias("size"))
+    earlier = F.sum("size").over(Window.partitionBy("s").orderBy("range")) - F.col("size")
+    whole = F.sum("size").over(Window.partitionBy("s"))
+    starts = sizes.select("s", "range", earlier.alias("earlier"), whole.alias("n"))
+    inside = Window.partitionBy("s", "range").orderBy(F.col("v").desc_nulls_last())
     upto = F.sum("copies").over(inside.rowsBetween(Window.unboundedPreceding, 0))
     return (
         ranges.withColumn("upto", upto)
-        .join(starts, [series, "range"])
-        .select(
-            col(series),
-            col(value),
-            "copies",
-            "count",
-            (F.col("before") + F.col("upto") - F.col("copies") + 1).alias("first_rank"),
-        )
+        .join(starts, ["s", "range"])
+        .selectExpr("s", "v", "copies", "n", "earlier + upto - copies + 1 as first")
     )
 
 
