@@ -96,7 +96,8 @@ def pack(rows: DataFrame, most: int = 2048, length: str = "length") -> DataFrame
     within = Window.partitionBy("size", "block").orderBy("place")
     numbered = (
         fits.withColumn("place", F.monotonically_increasing_id())
-        .join(first, ["size", "block"])
+        # Grows with the files, so it is never sent whole to every executor.
+        .join(first.hint("merge"), ["size", "block"])
         .withColumn("number", F.col("first") + F.row_number().over(within) - 1)
     )
     own = kept.schema["own"].dataType.simpleString()
