@@ -19,7 +19,9 @@ BROADCAST_BYTES = 16 << 20
 
 # A bit filter has 2**FILTER_BITS bits at most (16 MB), however many hashes it
 # holds: a fuller filter lets more rows through to the exact join behind it.
-FILTER_BITS = 27
+# A small filter is not made smaller than 1 MB, so that hardly any of a corpus's many
+# other hashes gets through.
+FILTER_BITS, LEAST_FILTER_BITS = 27, 23
 _SEGMENT_BITS = 16
 
 
@@ -68,13 +70,13 @@ class BitFilter:
         return (cells[slots >> np.uint64(3)] >> (slots & np.uint64(7)).astype(np.uint8)) & 1 > 0
 
 
-def bit_filter(hashes: DataFrame, count: int, bits_each: int = 16) -> BitFilter:
+def bit_filter(hashes: DataFrame, count: int, bits_each: int = 64) -> BitFilter:
     """A filter over the longs in column ``hash``, of which there are ``count``.
 
     Segments of the filter are made in tasks; the driver puts them side by side,
     at most 16 MB.
     """
-    bits = min(FILTER_BITS, max(_SEGMENT_BITS, (max(1, count) * bits_each - 1).bit_length()))
+    bits = min(FILTER_BITS, max(LEAST_FILTER_BITS, (max(1, count) * bits_each - 1).bit_length()))
     slot = F.shiftrightunsigned("hash", 64 - bits)
 
     def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
