@@ -40,9 +40,10 @@ def training_rows(
         .dropDuplicates(["__id"])
     )
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(most)
+    asked = docs.select(F.col(doc_id).alias("__doc"), *columns)
     return (
-        docs.join(F.broadcast(sample), F.col(doc_id) == F.col("__id"))
-        .select("label", *columns)
+        asked.join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
+        .select("label", *asked.columns[1:])
         .mapInArrow(features, schema)
         .toArrow()
     )

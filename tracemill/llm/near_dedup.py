@@ -102,8 +102,19 @@ def near_duplicates(
         .withColumn("component", F.coalesce("component", "node"))
         .select("row", "id", "n_shingles", "component")
     )
-    smallest = named.groupBy("component").agg(F.min("id").alias("component_id"))
-    return named.join(smallest, "component").select(
+    # A component of one row is named by the row. The others may be large: their
+    # rows are summed up in each task, and only the sums are dealt by component.
+    named = stored(named, "components")
+    smallest = stored(
+        named.groupBy("component")
+        .agg(F.min("id").alias("smallest"), F.count("*").alias("n"))
+        .where("n > 1")
+        .select("component", "smallest"),
+        "smallest",
+    )
+    found = named.join(bounded(smallest, 64), "component", "left")
+    found = found.withColumn("component_id", F.coalesce("smallest", "id"))
+    return found.select(
         F.col("id").alias(doc_id),
         "n_shingles",
         "component_id",

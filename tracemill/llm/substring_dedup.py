@@ -8,8 +8,9 @@ candidate only if one of its anchors stands twice. Around such anchors the match
 is then extended to whole windows, which are counted by a hash of all their words.
 
 Only counts are shuffled, summed up before they move, and then the places of
-candidate windows that turned out to stand once; copies, however many there are,
-are never paired or gathered.
+candidate windows that turned out to stand once, and the texts that have some.
+Whole copies, however many there are, are counted through one of them; they are
+never paired or gathered.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,12 +34,15 @@ from tracemill.llm.arrow_text import (
     text_blocks,
     window_starts,
 )
-from tracemill.llm.stored import BitFilter, RowNumbers, bit_filter, stored
+from tracemill.llm.stored import BitFilter, RowNumbers, bit_filter, bounded, stored
 
 # Every difference modulo the period is one of two cover positions.
 PERIOD = 21
 COVER = (0, 1, 4, 14, 16)
 
+# Compressed texts that are unpacked at once.
+UNPACKED_ROWS = 500
+
 
 def drop_repeats(
     docs: DataFrame,
@@ -70,31 +75,49 @@ def drop_repeats(
     rows = stored(
         source.mapInArrow(
             lambda batches: _settled(batches, met, window, digest),
-            f"id {kind}, row long, n_words long, kept string, open string",
+            f"id {kind}, row long, n_words long, class binary, kept string, open binary",
         ),
         "texts",
     )
+    # Whole copies lose all their words. One of them stands for all where windows are
+    # counted, as often as twice.
+    classes = (
+        rows.where("class is not null")
+        .groupBy("class")
+        .agg(F.min("row").alias("first"), F.count("*").alias("copies"))
+        .where("copies > 1")
+        .select("class", "first")
+    )
+    copies = stored(rows.select("row", "class").join(classes, "class").select("row", "first"), "copies")
+    told = rows.join(bounded(copies, 32), "row", "left")
     windows = (
-        rows.where("open is not null")
-        .select("row", F.col("open").alias("text"))
+        told.where("open is not null and (first is null or first = row)")
+        .select("row", F.col("open").alias("text"), F.col("first").isNotNull().alias("copied"))
         .mapInArrow(
-            lambda batches: _windows(batches, met, window), "hash long, check int, place long, row long"
+            lambda batches: _windows(batches, met, window),
+            "hash long, check int, n int, place long, row long",
         )
     )
     # A window that stands once has one place, which the minima then name.
     once = (
         windows.groupBy("hash", "check")
-        .agg(F.count("*").alias("n"), F.min("row").alias("row"), F.min("place").alias("place"))
+        .agg(F.sum("n").alias("n"), F.min("row").alias("row"), F.min("place").alias("place"))
         .where("n = 1")
         .groupBy("row")
         .agg(F.collect_list("place").alias("single"))
     )
-    return rows.join(once, "row", "left").select(
-        "id", "n_words", "kept", "open", "single"
-    ).mapInArrow(
+    left = told.where("open is not null and first is null").join(once, "row", "left")
+    some = left.select("id", "n_words", "open", "single").mapInArrow(
         lambda batches: _removed(batches, met, window, digest),
         f"id {kind}, n_words long, n_removed long, kept string",
-    ).withColumnRenamed("id", doc_id)
+    )
+    none = told.where("open is null and first is null").select(
+        "id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept"
+    )
+    every = told.where("first is not null").select(
+        "id", "n_words", F.col("n_words").alias("n_removed"), F.lit(_digested("", digest)).alias("kept")
+    )
+    return some.unionByName(none).unionByName(every).withColumnRenamed("id", doc_id)
 
 
 def _anchor_starts(words: Words, size: int) -> np.ndarray:
@@ -160,77 +183,107 @@ def _digested(text: str, digest: bool) -> str:
 def _settled(
     batches: Iterator[pa.RecordBatch], met: BitFilter, window: int, digest: bool
 ) -> Iterator[pa.RecordBatch]:
-    """Results of texts without candidates; the words of the others."""
+    """Results of texts without candidates; the words of the others, compressed.
+
+    ``class`` names the words of a text that has a whole window.
+    """
     numbers = RowNumbers()
+    packer = zstandard.ZstdCompressor()
     for batch in batches:
         for block in text_blocks(batch.column("text")):
             words, hashes = _hashed(block)
             starts = _candidates(words, hashes, met, window)
             rows = np.searchsorted(words.first, starts, side="right") - 1
-            pending = np.bincount(rows, minlength=block.high - block.low) > 0
+            pending = (np.bincount(rows, minlength=block.high - block.low) > 0).tolist()
             texts = _texts(block, words)
+            classes = [
+                hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest()
+                if b - a >= window
+                else None
+                for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist())
+            ]
+            kept = [None if p else _digested(t, digest) for t, p in zip(texts, pending)]
+            left = [packer.compress(t.encode()) if p else None for t, p in zip(texts, pending)]
             yield pa.record_batch(
                 [
                     batch.column("id").slice(block.low, block.high - block.low),
                     pa.array(numbers.take(len(texts))),
                     pa.array(words.counts),
-                    pa.array([None if p else _digested(t, digest) for t, p in zip(texts, pending)], pa.string()),
-                    pa.array([t if p else None for t, p in zip(texts, pending)], pa.string()),
+                    pa.array(classes, pa.binary()),
+                    pa.array(kept, pa.string()),
+                    pa.array(left, pa.binary()),
                 ],
-                ["id", "row", "n_words", "kept", "open"],
+                ["id", "row", "n_words", "class", "kept", "open"],
             )
 
 
+def _unpacked(column: pa.Array, low: int, high: int) -> pa.Array:
+    """Texts of some rows; null is empty."""
+    unpacker = zstandard.ZstdDecompressor()
+    packed = column.slice(low, high - low).to_pylist()
+    texts = [unpacker.decompress(p).decode() if p else "" for p in packed]
+    return pa.array(texts, pa.large_string())
+
+
 def _windows(
     batches: Iterator[pa.RecordBatch], met: BitFilter, window: int
 ) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         numbers = batch.column("row").to_numpy()
-        for block in text_blocks(batch.column("text")):
-            words, hashes = _hashed(block)
-            starts = _candidates(words, hashes, met, window)
-            if not len(starts):
-                continue
-            rows = np.searchsorted(words.first, starts, side="right") - 1
-            yield pa.record_batch(
-                [
-                    pa.array(hash_windows(hashes, window)[starts].view(np.int64)),
-                    pa.array((hash_windows(hashes, window, 1)[starts] >> np.uint64(32)).astype(np.uint32).view(np.int32)),
-                    pa.array(starts - words.first[rows]),
-                    pa.array(numbers[block.low + rows]),
-                ],
-                ["hash", "check", "place", "row"],
-            )
+        times = 1 + batch.column("copied").to_numpy(zero_copy_only=False).astype(np.int32)
+        for low in range(0, batch.num_rows, UNPACKED_ROWS):
+            high = min(low + UNPACKED_ROWS, batch.num_rows)
+            for block in text_blocks(_unpacked(batch.column("text"), low, high)):
+                words, hashes = _hashed(block)
+                starts = _candidates(words, hashes, met, window)
+                if not len(starts):
+                    continue
+                rows = np.searchsorted(words.first, starts, side="right") - 1
+                check = hash_windows(hashes, window, 1)[starts] >> np.uint64(32)
+                at = low + block.low + rows
+                yield pa.record_batch(
+                    [
+                        pa.array(hash_windows(hashes, window)[starts].view(np.int64)),
+                        pa.array(check.astype(np.uint32).view(np.int32)),
+                        pa.array(times[at]),
+                        pa.array(starts - words.first[rows]),
+                        pa.array(numbers[at]),
+                    ],
+                    ["hash", "check", "n", "place", "row"],
+                )
 
 
 def _removed(
     batches: Iterator[pa.RecordBatch], met: BitFilter, window: int, digest: bool
 ) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        kept = batch.column("kept").to_pylist()
-        gone = np.zeros(len(kept), np.int64)
-        single = batch.column("single")
-        for block in text_blocks(batch.column("open")):
-            words, hashes = _hashed(block)
-            starts = _candidates(words, hashes, met, window)
-            # Windows that stand once are taken out of the candidates.
-            own = single.slice(block.low, block.high - block.low)
-            counts = own.value_lengths().fill_null(0).to_numpy()
-            flat = own.flatten().to_numpy()
-            alone = flat + np.repeat(words.first[:-1], counts)
-            starts = starts[~np.isin(starts, alone)]
-            out = covered(starts, window, len(hashes) + window)[: len(hashes)]
-            lost = np.add.reduceat(np.append(out, 0), words.first[:-1]) * (words.counts > 0)
-            for row in range(block.high - block.low):
-                at = block.low + row
-                if kept[at] is None:
-                    low, high = int(words.first[row]), int(words.first[row + 1])
-                    kept[at] = _digested(_joined_words(block, words, low, high, ~out[low:high]), digest)
-                    gone[at] = lost[row]
-        yield pa.record_batch(
-            [batch.column("id"), batch.column("n_words"), pa.array(gone), pa.array(kept, pa.string())],
-            ["id", "n_words", "n_removed", "kept"],
-        )
+        for low in range(0, batch.num_rows, UNPACKED_ROWS):
+            part = batch.slice(low, UNPACKED_ROWS)
+            kept: list[str] = []
+            gone: list[np.ndarray] = []
+            for block in text_blocks(_unpacked(part.column("open"), 0, part.num_rows)):
+                words, hashes = _hashed(block)
+                starts = _candidates(words, hashes, met, window)
+                # Windows that stand once are taken out of the candidates.
+                own = part.column("single").slice(block.low, block.high - block.low)
+                counts = own.value_lengths().fill_null(0).to_numpy()
+                alone = own.flatten().to_numpy() + np.repeat(words.first[:-1], counts)
+                starts = starts[~np.isin(starts, alone)]
+                out = covered(starts, window, len(hashes) + window)[: len(hashes)]
+                total = np.concatenate([[0], np.cumsum(out)])
+                gone.append(total[words.first[1:]] - total[words.first[:-1]])
+                for first, last in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+                    text = _joined_words(block, words, first, last, ~out[first:last])
+                    kept.append(_digested(text, digest))
+            yield pa.record_batch(
+                [
+                    part.column("id"),
+                    part.column("n_words"),
+                    pa.array(np.concatenate(gone)),
+                    pa.array(kept, pa.string()),
+                ],
+                ["id", "n_words", "n_removed", "kept"],
+            )
 
 
 def _joined_words(block: Block, words: Words, low: int, high: int, keep: np.ndarray) -> str:

@@ -1,6 +1,7 @@
 """Toxicity scores by a counterfactually regularised classifier.
 
-A linear classifier over the distinct words of a text. Labelled texts that name a
+A linear classifier over the distinct words of a text and how they begin: an insult
+comes in many forms of which few are in the labelled texts. Labelled texts that name a
 group are also read with the group's name swapped for those of other groups, and
 the change of the score is penalised. A name that happens to stand in toxic texts
 more often than others thus gets no weight of its own, and neutral mentions of a
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 from tracemill.llm.arrow_text import (
     ALNUM,
     Block,
+    Words,
     find_words,
     hash_words,
     list_array,
+    mixed,
     text_blocks,
 )
 from tracemill.llm.labelled import first_of_each, held_out, rows_of, training_rows
@@ -34,7 +37,8 @@ TRAINING_ROWS = 20_000
 # lies so many standard errors from that of all.
 LEAST_TEXTS, LEAST_ERRORS = 5, 4.0
 STEPS, RATE, RIDGE, SWAP_PENALTY = 400, 0.05, 1e-3, 1.0
-SWAPS = 4
+# A word of more bytes is also known by its first ones.
+BEGINNINGS = (4, 5)
 
 # Names of groups that are swapped for one another.
 IDENTITY_TERMS = (
@@ -80,7 +84,7 @@ def toxicity_scores(
     Repeated rows get equal scores; equal texts count once in training. No other
     columns are used.
     """
-    terms = _term_hashes(identity_terms)
+    terms, begun = _term_hashes(identity_terms)
     table = training_rows(
         docs,
         labels,
@@ -91,7 +95,7 @@ def toxicity_scores(
         doc_id,
         training,
     )
-    fitted = fit(table, terms, swap_penalty)
+    fitted = fit(table, terms, swap_penalty, begun)
     model = docs.sparkSession.sparkContext.broadcast(fitted)
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.select(
@@ -102,10 +106,17 @@ def toxicity_scores(
     ).withColumnRenamed("id", doc_id)
 
 
-def fit(table: pa.Table, terms: np.ndarray, swap_penalty: float = SWAP_PENALTY) -> Classifier:
-    """A classifier for rows of ``label``, ``words`` and ``swapped``, one swapped word a row.
+def fit(
+    table: pa.Table,
+    terms: np.ndarray,
+    swap_penalty: float = SWAP_PENALTY,
+    begun: np.ndarray = np.empty(0, np.int64),
+) -> Classifier:
+    """A classifier for rows of ``label``, ``words`` and ``swapped``.
 
     ``swapped`` has pairs of words: one of the text, and one that takes its place.
+    ``begun`` are buckets that get no weight: how names of groups begin, which a swap
+    of whole names would not even out.
     """
     texts, swapped = rows_of(table, "words"), rows_of(table, "swapped")
     some = first_of_each(texts)
@@ -122,6 +133,7 @@ def fit(table: pa.Table, terms: np.ndarray, swap_penalty: float = SWAP_PENALTY)
     toxic = np.bincount(words, labels[owner], 1 << WORD_BITS)
     error = np.sqrt(share * (1 - share) / having)
     chosen = (having >= LEAST_TEXTS) & (np.abs(toxic / having - share) >= LEAST_ERRORS * error)
+    chosen[begun] = False
     chosen[_buckets(terms)] = True
     inputs = np.flatnonzero(chosen)
     number = np.zeros(1 << WORD_BITS, np.int64)
@@ -147,28 +159,42 @@ def fit(table: pa.Table, terms: np.ndarray, swap_penalty: float = SWAP_PENALTY)
     return Classifier(float(bias), weights)
 
 
-def _term_hashes(terms: Sequence[str]) -> np.ndarray:
-    """Hashes of the identity terms, each of them one word."""
-    found = [_block_words(block)[1] for block in text_blocks(pa.array(list(terms), pa.string()))]
-    return np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+def _term_hashes(terms: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the identity terms, each of them one word, and buckets of their beginnings."""
+    hashes, begun = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for block in text_blocks(pa.array(list(terms), pa.string())):
+        words, found = _block_words(block)
+        hashes.append(found)
+        begun.append(_keys(block, words, found)[len(found) :] & ((1 << WORD_BITS) - 1))
+    return np.unique(np.concatenate(hashes)), np.unique(np.concatenate(begun))
 
 
 def _buckets(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
 
 
-def _block_words(block: Block):
+def _block_words(block: Block) -> tuple[Words, np.ndarray]:
     words = find_words(block, ALNUM)
     return words, hash_words(block, words, lower=True)
 
 
-def _distinct(words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct words of every row, and how many there are."""
-    keys = (words.rows() << WORD_BITS) | _buckets(hashes)
+def _keys(block: Block, words: Words, hashes: np.ndarray) -> np.ndarray:
+    """Row and bucket of every word and of every beginning of a longer one."""
+    rows, sizes = words.rows(), words.end - words.begin
+    keys = [(rows << WORD_BITS) | _buckets(hashes)]
+    for size in BEGINNINGS:
+        long = np.flatnonzero(sizes > size)
+        first = np.searchsorted(long, words.first)
+        begun = Words(words.begin[long], words.begin[long] + size, first)
+        marked = mixed(hash_words(block, begun, lower=True) + np.uint64(size))
+        keys.append((rows[long] << WORD_BITS) | _buckets(marked))
+    return np.concatenate(keys)
+
+
+def _distinct(keys: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of every row, and how many there are."""
     keys = np.unique(keys)
-    return keys & ((1 << WORD_BITS) - 1), np.bincount(
-        keys >> WORD_BITS, minlength=len(words.first) - 1
-    )
+    return keys & ((1 << WORD_BITS) - 1), np.bincount(keys >> WORD_BITS, minlength=rows)
 
 
 def _training_features(
@@ -178,21 +204,18 @@ def _training_features(
     for batch in batches:
         for block in text_blocks(batch.column("text")):
             words, hashes = _block_words(block)
-            own, counts = _distinct(words, hashes)
+            rows = block.high - block.low
+            own, counts = _distinct(_keys(block, words, hashes), rows)
             swaps: list[list[int]] = []
             named = np.isin(hashes, terms)
             for first, last in zip(words.first[:-1], words.first[1:]):
                 here = np.unique(hashes[first:last][named[first:last]])
                 others = terms[~np.isin(terms, here)]
-                found: list[int] = []
-                for turn, term in enumerate(here.tolist()):
-                    at = (int(last - first) + turn + np.arange(SWAPS)) * 7 % max(len(others), 1)
-                    for other in others[at] if len(others) else ():
-                        found += _buckets(np.array([term, other], np.uint64)).tolist()
-                swaps.append(found)
+                pairs = [np.repeat(here, len(others)), np.tile(others, len(here))]
+                swaps.append(_buckets(np.stack(pairs, axis=1).ravel()).tolist())
             yield pa.record_batch(
                 [
-                    batch.column("label").slice(block.low, block.high - block.low),
+                    batch.column("label").slice(block.low, rows),
                     list_array(own.astype(np.int32), counts, pa.int32()),
                     pa.array(swaps, pa.list_(pa.int32())),
                 ],
@@ -208,11 +231,9 @@ def _scored(
         for block in text_blocks(batch.column("text")):
             words, hashes = _block_words(block)
             rows = block.high - block.low
-            buckets = _buckets(hashes)
-            used = weighty[buckets]
-            keys = np.unique((words.rows()[used] << WORD_BITS) | buckets[used])
-            counts = np.bincount(keys >> WORD_BITS, minlength=rows)
-            scores = model.scores(keys & ((1 << WORD_BITS) - 1), counts)
+            keys = _keys(block, words, hashes)
+            keys = keys[weighty[keys & ((1 << WORD_BITS) - 1)]]
+            scores = model.scores(*_distinct(keys, rows))
             yield pa.record_batch(
                 [
                     batch.column("id").slice(block.low, rows),
