@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = (1 << 20) - 64
 MASK = (1 << 64) - 1
 
 _WORD_BASE = 0xD6E8FEB86659FD93

@@ -88,6 +88,7 @@ def drop_repeats(
         .where("copies > 1")
         .select("class", "first")
     )
+    classes = bounded(stored(classes, "classes"), 64)
     copies = stored(rows.select("row", "class").join(classes, "class").select("row", "first"), "copies")
     told = rows.join(bounded(copies, 32), "row", "left")
     windows = (
