@@ -27,7 +27,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # A shard's filter is made for about this many keys, and at most this many lines
 # are held against one copy of it in one task.
 SHARD_KEYS = 200_000
-PROBES = 500_000
+PROBES = 100_000
 _SLOTS, _KICKS = 4, 500
 
 
