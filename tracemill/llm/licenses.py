@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.stored import stored
+from tracemill.llm.stored import bounded, stored
 from tracemill.session import rows_frame
 
 # Notices by which licences are usually stated.
@@ -133,9 +133,11 @@ def license_scan(
         .drop("file", "header"),
         "license-direct",
     )
-    inherited = _inherited(direct).withColumnRenamed("directory", "below")
+    # One directory may hold most documents: its licence is sent to them where the
+    # list of directories that have one is short.
+    inherited = stored(_inherited(direct).withColumnRenamed("directory", "below"), "directories")
     joined = direct.join(
-        inherited, (F.col("directory") == F.col("below")) & F.col("origin").isNull(), "left"
+        bounded(inherited, 400), (F.col("directory") == F.col("below")) & F.col("origin").isNull(), "left"
     )
     found = F.coalesce("best", "from_above")
     return joined.select(
