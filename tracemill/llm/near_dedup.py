@@ -92,7 +92,7 @@ def near_duplicates(
     )
     members = stored(
         signed.select("row", "id", "class", "n_shingles")
-        .join(classes, "class", "left")
+        .join(bounded(stored(classes, "classes"), 64), "class", "left")
         .withColumn("node", F.coalesce("node", "row")),
         "members",
     )
