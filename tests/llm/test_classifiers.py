@@ -83,7 +83,8 @@ def test_neutral_mentions_of_groups_are_not_toxic(spark):
         insult = "idiots" if toxic and i % 2 else "fools" if toxic else "people"
         rows.append((i, f"the {group} next door are {insult} number{i} today"))
         labels.append((i, int(toxic)))
-    probes = ["the muslims next door are people", "the muslims cook today", "the women are idiots"]
+    probes = ["the muslims next door are people", "the women are idiots"]
+    probes += ["the muslims cook today", "the women cook today", "the refugees cook today"]
     rows += [(2000 + i, text) for i, text in enumerate(probes)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     known = spark.createDataFrame(labels, "doc_id long, toxic int")
@@ -93,7 +94,8 @@ def test_neutral_mentions_of_groups_are_not_toxic(spark):
         return [r.score for r in found.orderBy("doc_id").collect()]
 
     plain, fair = scores(0.0), scores(50.0)
-    assert plain[1] > 0.5 > fair[1] and fair[0] < 0.5 < fair[2]
+    assert max(plain[2:]) - min(plain[2:]) > 0.5 and max(fair[2:]) - min(fair[2:]) < 0.02
+    assert fair[2] < plain[2] and fair[0] < 0.5 < fair[1]
 
 
 def test_hashes_do_not_depend_on_the_block():
