@@ -13,6 +13,7 @@ from tracemill.operators.profile import (
     column_profile,
     datetime_bounds,
     detect_time_columns,
+    filled_counts,
     schema_profile,
 )
 from tracemill.session import rows_frame
@@ -48,6 +49,26 @@ def slashed_times(spark: SparkSession, folder: str) -> DataFrame:
     return with_time(texts, "time")
 
 
+def formatted_times(pattern: str):
+    """Times as texts in one layout; one in seven is missing."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        text = F.when(F.col("event_id") % 7 != 0, F.date_format("ts", pattern))
+        return with_time(table(spark, folder, "events").select("event_id", text.alias("time")), "time")
+
+    return query
+
+
+# What each layout keeps of a time.
+FORMATS = {
+    "parse_dash_datetime": ("dd-MM-yyyy HH:mm", "minute"),
+    "parse_dot_year_first": ("yyyy.MM.dd HH:mm", "minute"),
+    "parse_month_name": ("dd MMM yyyy HH:mm", "minute"),
+    "parse_fraction": ("yyyy/MM/dd HH:mm:ss.SSS", "millisecond"),
+    "parse_half_days": ("yyyy-MM-dd hh:mm a", "minute"),
+}
+
+
 def coerced(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("event_id")
     text = (
@@ -100,7 +121,10 @@ def bounds(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def schema(spark: SparkSession, folder: str) -> DataFrame:
-    return schema_profile(table(spark, folder, "lineitem"))
+    """The schema with the filled rows of every column."""
+    items = table(spark, folder, "lineitem")
+    known = schema_profile(items).join(filled_counts(items), "column")
+    return known.select("ordinal", "column", "type", "is_time", "is_numeric", "rows", "filled")
 
 
 def time_columns(spark: SparkSession, folder: str) -> DataFrame:
@@ -114,7 +138,8 @@ def time_columns(spark: SparkSession, folder: str) -> DataFrame:
         F.col("props"),
     )
     found = detect_time_columns(rows)
-    return rows_frame(spark, list(enumerate(found)), "ordinal int, column string")
+    known = rows_frame(spark, list(enumerate(found)), "ordinal int, column string")
+    return known.join(filled_counts(rows), "column").select("ordinal", "column", "filled")
 
 
 def profile(spark: SparkSession, folder: str) -> DataFrame:
@@ -140,7 +165,7 @@ def _profile_sql() -> str:
     return with_facts("item_facts", f"done as ({' union all '.join(parts)})\nselect * from done")
 
 
-QUERIES = {
+QUERIES = {name: formatted_times(pattern) for name, (pattern, _) in FORMATS.items()} | {
     "parse_hint_datetime": hint_times,
     "parse_fallback_datetime": fallback_times,
     "parse_slash_datetime": slashed_times,
@@ -166,6 +191,10 @@ _SCHEMA = [
     ("l_shipdate", "timestamp_ntz", True, False),
 ]
 ORACLES = {
+    name: f"""select event_id,
+  case when event_id % 7 <> 0 then date_trunc('{unit}', ts) end as time from events"""
+    for name, (_, unit) in FORMATS.items()
+} | {
     "parse_hint_datetime": """select event_id,
   case when event_id % 10 <> 0 then date_trunc('minute', ts) end as time from events""",
     "parse_fallback_datetime": """select event_id,
@@ -187,12 +216,15 @@ from v group by all""",
 union all select 'native', min(l_shipdate)::date::varchar,
   max(l_shipdate)::date::varchar from lineitem
 union all select 'absent', null, null""",
-    "schema_profile": "select * from (values "
-    + ", ".join(
-        f"({i}, '{name}', '{kind}', {time}, {number})"
+    "schema_profile": " union all ".join(
+        f"select {i} as ordinal, '{name}' as \"column\", '{kind}' as \"type\", {time} as is_time,"
+        f" {number} as is_numeric, count(*) as rows, count({name}) as filled from lineitem"
         for i, (name, kind, time, number) in enumerate(_SCHEMA)
-    )
-    + ') t(ordinal, "column", "type", is_time, is_numeric)',
-    "time_column_detect": "select * from (values (0, 'day_hour'), (1, 'seen')) t(ordinal, \"column\")",
+    ),
+    "time_column_detect": """with share as (
+  select count(ts) as filled, avg(case when event_id % 2 = 0 then 1.0 else 0.0 end) as half from events)
+select 0 as ordinal, 'day_hour' as "column", filled from share
+union all select 1, 'seen', filled from share
+union all select 2, 'code', filled from share where half > 0.9""",
     "column_profile": _profile_sql(),
 }

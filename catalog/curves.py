@@ -43,6 +43,16 @@ def duration_units(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def duration_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """All values of all runs, as one raw trace per area."""
+    specs = [
+        TraceSpec(None, ws, area, None, None, None, "none")
+        for ws in range(4)
+        for area in ("click", "view", "purchase", "error")
+    ]
+    return duration_curve(trace_points(spark, folder, specs, "event_facts", False, unit_detail=True))
+
+
 def duration_series(spark: SparkSession, folder: str) -> DataFrame:
     facts = event_facts(spark, folder)
     named = facts.withColumn("series", series_label(["BZ", "PEMMDB_TECHNOLOGY"]))
@@ -161,6 +171,7 @@ def label_part(column: str, shown: str | None = None) -> str:
 QUERIES = {
     "duration_curve": duration,
     "duration_curve_raw": duration_units,
+    "duration_curve_raw_whole": duration_whole,
     "duration_curve_series": duration_series,
     "duration_curve_scaled": duration_scaled,
     "duration_curve_tied": duration_tied,
@@ -186,6 +197,13 @@ ORACLES = {
   where "BZ" = 'view' and "WS" < 3)\n"""
         + duration_sql("trace_id", "x"),
     ),
+    "duration_curve_raw_whole": with_facts(
+        "event_facts",
+        """points as (select ("WS" * 4 + list_position(['click', 'view', 'purchase', 'error'], "BZ") - 1)::int
+    as trace_id, "Value" as value from event_facts
+  where "BZ" in ('click', 'view', 'purchase', 'error'))\n"""
+        + duration_sql("trace_id", "x"),
+    ),
     "duration_curve_series": frame_sql(
         "event_facts",
         f"{label_part('BZ')} || ' | ' || {label_part('PEMMDB_TECHNOLOGY')}",

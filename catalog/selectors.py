@@ -13,6 +13,7 @@ from tracemill.operators.selector import (
     membership_filter,
     options_by_label,
     options_by_value,
+    property_choices,
     selector_index,
     selector_tree,
     tree_leaf,
@@ -35,7 +36,7 @@ def blanked(spark: SparkSession, folder: str) -> DataFrame:
     return facts.withColumns(
         {
             "PEMMDB_TECHNOLOGY": F.when(
-                blank & (F.col("BZ") == "view"), F.lit("  ")
+                blank & (F.col("BZ") == "view"), F.lit(" \t\n")
             ).otherwise(F.col("PEMMDB_TECHNOLOGY")),
             "Property": F.when(blank & (F.col("BZ") == "click"), F.lit(None)).otherwise(
                 F.col("Property")
@@ -85,9 +86,7 @@ def by_value(spark: SparkSession, folder: str) -> DataFrame:
 
 def properties(spark: SparkSession, folder: str) -> DataFrame:
     """Every property of any leaf, alone or with a technology."""
-    tree = selector_tree(selector_index(event_facts(spark, folder)))
-    alone = tree.where("technology is null").select("property")
-    return alone.union(tree.where("technology is not null").select("property")).distinct()
+    return property_choices(selector_tree(selector_index(event_facts(spark, folder))))
 
 
 def members(spark: SparkSession, folder: str) -> DataFrame:
@@ -105,7 +104,11 @@ _CLICK = "\"__run_key\" = 'run_0' and \"WS\" = 0 and \"BZ\" = 'click'"
 def options_sql(body: str) -> str:
     return f"""found as ({body}),
 ranked as (select row_number() over (order by label) as rank, value, label from found)
-select * from ranked where rank <= 500"""
+select * from ranked"""
+
+
+def first_labels(spark: SparkSession, folder: str) -> DataFrame:
+    return options_by_label(table(spark, folder, "orders"), "o_orderkey", 500)
 
 
 QUERIES = {
@@ -118,6 +121,7 @@ QUERIES = {
     "unit_options_loose": units_loose,
     "value_options_label": by_label,
     "value_options_native": by_value,
+    "value_options_first": first_labels,
     "property_union": properties,
     "membership_filter": members,
 }
@@ -169,6 +173,9 @@ select * from found""",
     ),
     "value_options_label": "with "
     + options_sql("select distinct o_orderkey as value, o_orderkey::varchar as label from orders"),
+    "value_options_first": "with "
+    + options_sql("select distinct o_orderkey as value, o_orderkey::varchar as label from orders")
+    + " where rank <= 500",
     "value_options_native": "with "
     + options_sql(
         "select distinct o_orderkey as value, o_orderkey::varchar as label from orders"

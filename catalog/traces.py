@@ -338,7 +338,7 @@ ORACLES["trace_labels"] = with_facts(
 def validation(unit_detail: bool):
     def query(spark: SparkSession, folder: str) -> DataFrame:
         tree = selector_tree(selector_index(event_facts(spark, folder)))
-        checked = validate(typed(spark), tree, len(TYPED), unit_detail)
+        checked = validate(typed(spark), tree, unit_detail)
         return checked.select("trace_id", F.coalesce("reason", F.lit("valid")).alias("reason"))
 
     return query
@@ -386,6 +386,7 @@ def areas_as_traces(spark: SparkSession, folder: str) -> DataFrame:
         F.lit(None).cast("string").alias("scenario"),
         # Scenarios 0 and 2, and 1 and 3, get the same label.
         (F.col("WS") % 2).cast("int").cast("string").alias("ws"),
+        F.col("WS").cast("int").alias("scenario_number"),
         F.col("BZ").alias("area"),
         F.col("Property").alias("property"),
         F.col("PEMMDB_TECHNOLOGY").alias("technology"),
@@ -409,7 +410,11 @@ LABELLED_AREAS = """labelled as (
 
 
 def trace_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return first_of_label(labelled_areas(spark, folder)).select("label", "area", "property")
+    """Of equal labels the first of the list stays: that of the lower scenario."""
+    specs = labelled_areas(spark, folder)
+    place = F.col("scenario_number") * 1000 + F.ascii("area")
+    kept = first_of_label(specs.withColumn("trace_id", place))
+    return kept.select("label", "area", "property", "scenario_number")
 
 
 REMOVED = ["run | WS 0 | click | load [sum/native]", "run | WS 1 | view | load [sum/native]"]
@@ -429,7 +434,9 @@ def trace_defaults(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES["trace_dedup"] = trace_dedup
 ORACLES["trace_dedup"] = with_facts(
-    "event_facts", LABELLED_AREAS + "select distinct label, area, property from labelled"
+    "event_facts",
+    LABELLED_AREAS
+    + "select label, area, property, min(ws)::int as scenario_number from labelled group by all",
 )
 QUERIES["trace_remove"] = trace_remove
 ORACLES["trace_remove"] = with_facts(
@@ -471,6 +478,23 @@ def scenario_samples(spark: SparkSession, folder: str) -> DataFrame:
     return points.select("trace_id", "time", "value")
 
 
+def scenario_path_without_source(spark: SparkSession, folder: str) -> DataFrame:
+    """Scenarios that look like paths, over facts that do not name their files."""
+    facts = facts_of(spark, folder, "item_facts")
+    path = F.concat(F.lit("runs/"), F.col("__run_key"), F.lit("/a.parquet"))
+    named = facts.withColumn("Scenario", path).drop("__run_key", "Sample")
+    return evaluate(named, LOOSE, unit_detail=True).points.select("trace_id", "time", "value")
+
+
+def scenario_column_first_filled(spark: SparkSession, folder: str) -> DataFrame:
+    """The file column is there but empty, so the sample is what scenarios say."""
+    facts = facts_of(spark, folder, "item_facts").drop("__run_key")
+    nothing = F.lit(None).cast("string")
+    empty = facts.withColumns({"__source_file": nothing, "Scenario": nothing})
+    points = evaluate(empty, SAMPLES, unit_detail=True).points
+    return points.select("trace_id", "time", "value")
+
+
 def legacy_technology(spark: SparkSession, folder: str) -> DataFrame:
     facts = facts_of(spark, folder, "item_facts")
     specs = [
@@ -500,6 +524,10 @@ QUERIES["scenario_files"] = scenario_files
 ORACLES["scenario_files"] = _loose_sql("__run_key", ["F", "O"], LOOSE)
 QUERIES["scenario_samples"] = scenario_samples
 ORACLES["scenario_samples"] = _loose_sql("Sample", ["mc0", "mc1"], SAMPLES)
+QUERIES["scenario_path_without_source"] = scenario_path_without_source
+ORACLES["scenario_path_without_source"] = ORACLES["scenario_files"]
+QUERIES["scenario_column_first_filled"] = scenario_column_first_filled
+ORACLES["scenario_column_first_filled"] = ORACLES["scenario_samples"]
 QUERIES["legacy_technology"] = legacy_technology
 ORACLES["legacy_technology"] = trace_sql(
     [

@@ -138,6 +138,34 @@ def test_stacked_area(spark):
     ]
 
 
+def test_infinite_values_are_layers(spark):
+    t0 = datetime(2024, 1, 1)
+    rows = [(0, t0, 1.0), (1, t0, -math.inf), (2, t0, 3.0)]
+    df = frame(spark, rows, "trace_id int, time timestamp_ntz, value double")
+    found = stacked_area(df, range(3)).orderBy("trace_id").collect()
+    assert [(row["trace_id"], row["value"], row["y1"]) for row in found] == [
+        (0, 1.0, 1.0), (1, -math.inf, -math.inf), (2, 3.0, -math.inf)
+    ]
+
+
+def test_many_sparse_traces_are_filled(spark):
+    start = datetime(2024, 1, 1)
+    rows = [(i, start + timedelta(hours=i % 50), float(i)) for i in range(1000)]
+    df = frame(spark, rows, "trace_id int, time timestamp_ntz, value double")
+    found = stacked_area(df, range(2000))
+    assert found.count() == 50 * 1000
+    top = found.where("trace_id = 999").orderBy("time").collect()
+    assert [row["y1"] for row in top] == [sum(range(h, 1000, 50)) for h in range(50)]
+    assert stacked_area(df.limit(0), range(3)).count() == 0
+
+
+def test_curves_leave_out_a_series_without_a_name(spark):
+    rows = [(None, 1.0), (None, 2.0), (1, 3.0), (1, 4.0)]
+    for curve in (duration_curve, density):
+        found = curve(frame(spark, rows)).select("trace_id").distinct().collect()
+        assert [row[0] for row in found] == [1]
+
+
 def test_top_of_the_stack_is_the_total(spark):
     rng = random.Random(2)
     start = datetime(2024, 1, 1)

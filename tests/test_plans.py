@@ -69,7 +69,7 @@ def test_sums_are_shuffled_once(spark, stored):
     assert mixed.count("Exchange hashpartitioning") == 2
 
 
-def test_the_raw_limit_needs_no_second_scan(spark, stored):
+def test_the_raw_limit_reads_the_facts_once(spark, stored):
     raw = [
         TraceSpec(None, 0, "click", None, None, None, "none"),
         TraceSpec("run_0", 0, "click", "load", None, None, "none"),
@@ -78,8 +78,8 @@ def test_the_raw_limit_needs_no_second_scan(spark, stored):
     small, large = sorted(row["count"] for row in whole.groupBy("trace_id").count().collect())
     limited = evaluate(facts(spark, stored), raw, raw_limit=small).points
     assert small < large and limited.count() == small
-    plan = final_plan_of(limited)
-    assert plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan
+    assert "FileScan" not in final_plan_of(limited)  # the points were written
+    assert "FileScan" in final_plan_of(whole)
 
 
 def test_filters_and_columns_reach_the_scan(spark, stored):
@@ -110,9 +110,13 @@ def test_index_is_distinct_before_the_shuffle(spark, stored):
     assert "Value" not in plan.split("ReadSchema:")[1]
 
 
-def test_options_take_the_first_without_a_full_sort(spark, stored):
-    plan = plan_of(options_by_label(facts(spark, stored), "Unit Name"))
-    assert "TakeOrderedAndProject" in plan
+def test_options_are_ranked_over_all_ranges(spark, stored):
+    values = facts(spark, stored).select(F.col("Unit Name").alias("value"))
+    assert options_by_label(values, "value", 3).count() == 3
+    whole = options_by_label(values, "value").orderBy("rank").collect()
+    assert [row["rank"] for row in whole] == list(range(1, len(whole) + 1))
+    labels = [row["label"] for row in whole]
+    assert labels == sorted(labels) and len(labels) == values.dropna().distinct().count()
 
 
 def test_examples_are_cut_before_the_shuffle(spark, stored):
@@ -121,12 +125,59 @@ def test_examples_are_cut_before_the_shuffle(spark, stored):
     assert plan.count("FileScan parquet") == 1 and "ReusedExchange" in plan
 
 
-def test_density_and_stack_read_the_facts_once(spark, stored):
+def test_density_and_stack_read_the_facts_once_more_at_most(spark, stored):
     points = with_steps(evaluate(facts(spark, stored), SPECS).points)
-    for curve in (density(points), stacked_area(points, range(3))):
-        plan = final_plan_of(curve)
-        assert plan.count("FileScan parquet") == 1, plan
-        assert "ReusedExchange" in plan
+    assert final_plan_of(density(points)).count("FileScan parquet") == 1
+    assert "FileScan" not in final_plan_of(stacked_area(points, range(3)))
+
+
+def test_density_of_a_nullable_series_shuffles_no_values(spark, stored):
+    rows = spark.read.parquet(stored).withColumn("s", F.nullif("BZ", F.lit("click")))
+    curve = density(rows, "s", "Value")
+    plan = final_plan_of(curve)
+    assert plan.count("FileScan parquet") == 1  # and one for the ranges, before
+    assert not re.search(r"hashpartitioning\([^)]*\bv#", plan)
+    areas = curve.groupBy("s").agg(F.sum("y").alias("y"), F.max("x").alias("a"), F.min("x").alias("b"), F.count("*").alias("n"))
+    for row in areas.collect():
+        assert row["s"] is not None
+        assert row["y"] * (row["a"] - row["b"]) / (row["n"] - 1) == pytest.approx(1)
+
+
+def test_long_lists_of_raw_traces_split_a_hot_selection(spark, stored, monkeypatch):
+    from tracemill.operators import joins
+
+    specs = [TraceSpec(None, 0, "click", aggregation="none") for _ in range(3)]
+    short = evaluate(facts(spark, stored), specs).points.groupBy("trace_id").count().collect()
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
+    long = evaluate(facts(spark, stored), specs).points
+    assert "__copy" in plan_of(long)
+    assert sorted(long.groupBy("trace_id").count().collect()) == sorted(short)
+
+
+def test_raw_traces_are_whole_by_default(spark):
+    rows = spark.range(300_001).select(
+        F.lit("2024-01-01 00.00").alias("Datetime"),
+        F.col("id").cast("double").alias("Value"),
+        F.lit("r").alias("__run_key"),
+        F.lit(1).alias("WS"),
+        F.lit("DE").alias("BZ"),
+    )
+    spec = TraceSpec("r", 1, "DE", aggregation="none")
+    assert evaluate(fact_table(rows), [spec]).points.count() == 300_001
+    assert evaluate(fact_table(rows), [spec], raw_limit=300_000).points.count() == 0
+
+
+def test_a_run_or_scenario_that_the_facts_cannot_tell_is_an_error(spark, stored):
+    rows = facts(spark, stored).drop("__run_key")
+    with pytest.raises(ValueError, match="__run_key"):
+        evaluate(rows, [TraceSpec("run_0", 0, "click")])
+    with pytest.raises(ValueError, match="scenarios"):
+        evaluate(rows, [TraceSpec(None, 0, "click", scenario="a/b.parquet")]).points.count()
+    named = rows.withColumn("Scenario", F.lit("one"))
+    found = evaluate(named, [TraceSpec("run_0", 0, "click", scenario="two")]).points
+    assert found.count() == 0
+    found = evaluate(named, [TraceSpec("run_0", 0, "click", scenario="one")]).points
+    assert found.count() > 0
 
 
 def test_spread_join_splits_a_hot_key(spark):

@@ -88,12 +88,14 @@ def test_units(spark):
     assert units(spark, "r1", "x", "DE", "gen", "Gas") == []
 
 
-def test_options_are_cut_after_ordering(spark):
+def test_options_are_whole_unless_cut(spark):
     numbers = spark.range(1, 1001).select("id").union(spark.range(1, 11))
     by_label = options_by_label(numbers, "id").orderBy("rank").collect()
-    assert len(by_label) == 500
+    assert [row["rank"] for row in by_label] == list(range(1, 1001))
     assert [row["value"] for row in by_label[:4]] == [1, 10, 100, 1000]
-    assert [row["label"] for row in by_label] == sorted(map(str, range(1, 1001)))[:500]
+    assert [row["label"] for row in by_label] == sorted(map(str, range(1, 1001)))
+    cut = options_by_label(numbers, "id", 500).orderBy("rank").collect()
+    assert cut == by_label[:500]
     by_value = options_by_value(numbers, "id", 3).orderBy("rank").collect()
     assert [tuple(row) for row in by_value] == [(1, 1, "1"), (2, 2, "2"), (3, 3, "3")]
     nothing = spark.createDataFrame([(None,), (NAN,)], "v double")

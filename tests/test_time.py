@@ -10,7 +10,7 @@ from tracemill.functions.time import (
     bucket_start_by,
     within_dates,
 )
-from tracemill.operators.clean import fact_table, with_time
+from tracemill.operators.clean import UnknownTimes, fact_table, with_time
 from tracemill.operators.profile import datetime_bounds, detect_time_columns
 
 
@@ -111,8 +111,39 @@ def test_one_layout_for_the_whole_column(spark):
         datetime(2024, 2, 1),
         datetime(2024, 2, 2, 11, 0, 5),
     ]
-    nothing = with_time(texts(spark, ["x", None]), "t")
+    nothing = with_time(texts(spark, ["x", None]), "t", strict=False)
     assert first(nothing) == [None, None]
+    assert first(with_time(texts(spark, [None, None]), "t")) == [None, None]
+
+
+def test_unknown_layouts_are_not_silent(spark):
+    with pytest.raises(UnknownTimes, match="all rows .2 texts"):
+        with_time(texts(spark, ["Tuesday, late", "noon", None]), "t")
+    rows = [("a", "2024-01-01 10.30", 1.0), ("b", "noon", 1.0), ("b", "night", 2.0)]
+    df = spark.createDataFrame(rows, "`__run_key` string, Datetime string, Value double")
+    with pytest.raises(UnknownTimes, match="b .2 texts"):
+        fact_table(df)
+    assert fact_table(df, strict=False).count() == 1
+
+
+@pytest.mark.parametrize(
+    "text, time",
+    [
+        ("2024/01/02 03:04:05.500", datetime(2024, 1, 2, 3, 4, 5, 500000)),
+        ("13-01-2024 00:00", datetime(2024, 1, 13)),
+        ("2024.01.02 03:04", datetime(2024, 1, 2, 3, 4)),
+        ("02 Jan 2024 13:00", datetime(2024, 1, 2, 13)),
+        ("2 January 2024", datetime(2024, 1, 2)),
+        ("Jan 2, 2024 13:00", datetime(2024, 1, 2, 13)),
+        ("02-Jan-2024 13:00", datetime(2024, 1, 2, 13)),
+        ("2024-01-02 01:00 PM", datetime(2024, 1, 2, 13)),
+        ("1/2/2024 12:30 AM", datetime(2024, 1, 2, 0, 30)),
+        ("2024-01-02 03:04:05.123456", datetime(2024, 1, 2, 3, 4, 5, 123456)),
+        ("2024-1-2 3:04", datetime(2024, 1, 2, 3, 4)),
+    ],
+)
+def test_everyday_layouts(spark, text, time):
+    assert first(with_time(texts(spark, [text]), "t")) == [time]
 
 
 def test_runs_may_differ_in_layout(spark):
@@ -120,7 +151,7 @@ def test_runs_may_differ_in_layout(spark):
     rows += [("a", "2024-01-01T11:30:00")] + [("a", "2024-01-01 10.30")] * 4
     rows += [(None, "2024-02-01"), ("d", None), ("e", "x")]
     df = spark.createDataFrame([(*row, 1.0) for row in rows], "`__run_key` string, Datetime string, Value double")
-    found = fact_table(df).select("__run_key", "Datetime").distinct().collect()
+    found = fact_table(df, strict=False).select("__run_key", "Datetime").distinct().collect()
     assert {tuple(row) for row in found} == {
         ("a", datetime(2024, 1, 1, 10, 30)),
         ("b", datetime(2024, 1, 1, 11, 30)),
@@ -160,10 +191,14 @@ def test_time_columns_need_more_than_ninety_percent(spark):
     assert detect_time_columns(df) == ["hour", "ten"]
 
 
-def test_only_the_first_eight_text_columns_are_sampled(spark):
+def test_all_text_columns_and_rows_are_looked_at(spark):
     names = [f"c{i}" for i in range(10)]
     df = spark.createDataFrame([["2024-01-01"] * 10], ", ".join(f"{n} string" for n in names))
-    assert detect_time_columns(df) == names[:8]
+    assert detect_time_columns(df) == names
+    # The first thousands are times, but they are not more than 90 % of all.
+    late = spark.range(20_000).coalesce(1)
+    text = F.when(F.col("id") < 17_000, "2024-01-01").otherwise("x")
+    assert detect_time_columns(late.select(text.alias("seen"))) == []
 
 
 def test_fact_table_drops_bad_rows_only(spark):

@@ -2,10 +2,9 @@ from datetime import datetime
 
 import pytest
 
+from tracemill.operators import joins
 from tracemill.operators.clean import fact_table
 from tracemill.operators.selector import selector_index, selector_tree
-from tracemill.plans import evaluate as plan
-from tracemill.plans import traces
 from tracemill.plans.evaluate import evaluate, report, summary, with_steps
 from tracemill.plans.traces import (
     TraceSpec,
@@ -177,11 +176,11 @@ def test_a_large_raw_trace_is_refused_alone(spark):
     assert whole.points.where("trace_id = 0").count() == 3
 
 
-def test_first_five_labels_without_data(spark):
+def test_all_labels_without_data(spark):
     specs = [TraceSpec(f"r{i}", 4, "XX", "load") for i in range(7)]
     result = evaluate(facts(spark), specs)
     row = summary(report(result, result.points)).first()
-    assert row["missing"] == [f"r{i} | WS 4 | XX | load" for i in range(5)]
+    assert row["missing"] == [f"r{i} | WS 4 | XX | load" for i in range(7)]
 
 
 def test_empty_trace_list(spark):
@@ -195,8 +194,7 @@ def test_long_trace_lists_are_joined_by_shuffle(spark, monkeypatch):
         TraceSpec(None, 4, "DE", "load"),
     ]
     short = points(spark, *specs)
-    monkeypatch.setattr(traces, "BROADCAST_TRACES", 0)
-    monkeypatch.setattr(plan, "BROADCAST_TRACES", 0)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", -1)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
@@ -257,5 +255,5 @@ def test_defaults_and_duplicates(spark):
 def test_validation(spark, spec, plain, units):
     tree = selector_tree(selector_index(facts(spark)))
     specs = specs_frame(spark, [spec])
-    assert validate(specs, tree, 1).first()["reason"] == plain
-    assert validate(specs, tree, 1, unit_detail=True).first()["reason"] == units
+    assert validate(specs, tree).first()["reason"] == plain
+    assert validate(specs, tree, unit_detail=True).first()["reason"] == units

@@ -17,19 +17,32 @@ NTZ = "timestamp_ntz"
 BUCKETS = ("hour", "day", "week", "month")
 
 # Layouts of time texts. ``hint`` is the layout of the model
-# outputs; the others are tried when the hint fits too few rows. One layout is
-# used for a whole column.
+# outputs; the others are tried when the hint fits too few rows, and of equals the
+# first counts. One layout is used for a whole column.
 HINT = "hint"
 ISO = "iso"
+CLOCK = "[ H:m[:s[.SSSSSS]]]"
+HALF_DAY = " h:m[:s] a"
 LAYOUTS = {
     HINT: "yyyy-M-d H.m",
     ISO: None,
     "compact": "yyyyMMdd",
-    "slash_year_first": "yyyy/M/d[ H:m[:s]]",
-    "slash_month_first": "M/d/yyyy[ H:m[:s]]",
-    "slash_day_first": "d/M/yyyy[ H:m[:s]]",
-    "dot_month_first": "M.d.yyyy[ H:m[:s]]",
-    "dot_day_first": "d.M.yyyy[ H:m[:s]]",
+    "slash_year_first": f"yyyy/M/d{CLOCK}",
+    "slash_month_first": f"M/d/yyyy{CLOCK}",
+    "slash_day_first": f"d/M/yyyy{CLOCK}",
+    "dot_month_first": f"M.d.yyyy{CLOCK}",
+    "dot_day_first": f"d.M.yyyy{CLOCK}",
+    "dot_year_first": f"yyyy.M.d{CLOCK}",
+    "dash_month_first": f"M-d-yyyy{CLOCK}",
+    "dash_day_first": f"d-M-yyyy{CLOCK}",
+    "dash_year_first": f"yyyy-M-d{CLOCK}",
+    "month_name": f"d MMM yyyy{CLOCK}",
+    "month_name_long": f"d MMMM yyyy{CLOCK}",
+    "month_name_first": f"MMM d, yyyy{CLOCK}",
+    "month_name_dashed": f"d-MMM-yyyy{CLOCK}",
+    "half_days_dash": f"yyyy-M-d{HALF_DAY}",
+    "half_days_slash_month_first": f"M/d/yyyy{HALF_DAY}",
+    "half_days_slash_day_first": f"d/M/yyyy{HALF_DAY}",
 }
 
 

@@ -30,7 +30,7 @@ def is_meaningful(value: Column, kind: T.DataType) -> Column:
     if isinstance(kind, (T.FloatType, T.DoubleType)):
         return value.isNotNull() & ~F.isnan(value)
     if isinstance(kind, T.StringType):
-        return value.isNotNull() & (F.trim(value) != "")
+        return value.isNotNull() & value.rlike(r"(?U)\S")
     return value.isNotNull()
 
 

@@ -33,7 +33,12 @@ def strip_names(df: DataFrame) -> DataFrame:
 
 
 def time_layouts(df: DataFrame, column: str, per: str | None = None) -> dict[str, str | None]:
-    """The layout of a text column, decided once for each value of ``per``.
+    """The layout of a text column for each value of ``per``; see ``time_fits``."""
+    return {name: choose_layout(fits) for name, fits in time_fits(df, column, per).items()}
+
+
+def time_fits(df: DataFrame, column: str, per: str | None = None) -> dict[str, dict[str, int]]:
+    """How many rows each layout fits, for each value of ``per``; it decides once.
 
     The hint layout is taken when it fits at least 80 % of the rows (null
     counts as a misfit), else the other layout that fits most rows, and ``None``
@@ -57,7 +62,7 @@ def time_layouts(df: DataFrame, column: str, per: str | None = None) -> dict[str
         rest = [layout for layout in LAYOUTS if layout not in (HINT, ISO)]
         for row in layout_fits(texts.where(F.col("group").isin(unclear)), rest).collect():
             fits[row["group"]] |= row.asDict()
-    return {name: choose_layout(found) for name, found in fits.items()}
+    return fits
 
 
 def layout_fits(texts: DataFrame, layouts: Iterable[str] = tuple(LAYOUTS)) -> DataFrame:
@@ -75,6 +80,10 @@ def layout_fits(texts: DataFrame, layouts: Iterable[str] = tuple(LAYOUTS)) -> Da
     )
 
 
+class UnknownTimes(ValueError):
+    """Texts of a time column that no layout fits."""
+
+
 def fits_hint(fits: dict[str, int]) -> bool:
     return fits["rows"] > 0 and fits[HINT] >= HINT_SHARE * fits["rows"]
 
@@ -87,11 +96,15 @@ def choose_layout(fits: dict[str, int]) -> str | None:
     return best if fits[best] else None
 
 
-def with_time(df: DataFrame, column: str, per: str | None = None) -> DataFrame:
+def with_time(
+    df: DataFrame, column: str, per: str | None = None, strict: bool = True
+) -> DataFrame:
     """Replace a time column by its parsed form.
 
     Times pass through, texts are parsed in the layouts of ``time_layouts``, and
-    numbers are refused: an integer hour of the day is no point in time.
+    numbers are refused: an integer hour of the day is no point in time. Where a
+    group has texts and no layout fits any of them, ``UnknownTimes`` is raised and
+    names the groups; with ``strict=False`` their times are null.
     """
     kind = df.schema[column].dataType
     if isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)):
@@ -99,9 +112,16 @@ def with_time(df: DataFrame, column: str, per: str | None = None) -> DataFrame:
     if not isinstance(kind, T.StringType):
         raise TypeError(f"column {column!r} of type {kind.simpleString()} holds no times")
     groups: dict[str, list[str]] = {}
-    for name, layout in time_layouts(df, column, per).items():
+    unknown: dict[str, int] = {}
+    for name, fits in time_fits(df, column, per).items():
+        layout = choose_layout(fits)
         if layout:
             groups.setdefault(layout, []).append(name)
+        elif fits["filled"]:
+            unknown[name] = fits["filled"]
+    if unknown and strict:
+        found = ", ".join(f"{name or 'all rows'} ({n} texts)" for name, n in sorted(unknown.items()))
+        raise UnknownTimes(f"no layout fits the times of column {column!r}: {found}")
     parsed = F.lit(None).cast(NTZ)
     for layout, names in groups.items():
         here = parse_time(col(column), layout)
@@ -124,11 +144,12 @@ def with_number(df: DataFrame, column: str) -> DataFrame:
     return numeric.where(col(column).isNotNull())
 
 
-def fact_table(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
+def fact_table(df: DataFrame, roles: Roles = Roles(), strict: bool = True) -> DataFrame:
     """Rows with a valid time, parsed times and numeric values.
 
-    Runs may write their times in different layouts.
+    Runs may write their times in different layouts. A run whose times fit no
+    layout at all is an error, unless ``strict`` is off: then its rows are dropped.
     """
     per = roles.run if roles.run in df.columns else None
-    clean = with_number(with_time(df, roles.time, per), roles.value)
+    clean = with_number(with_time(df, roles.time, per, strict), roles.value)
     return clean.where(col(roles.time).isNotNull())

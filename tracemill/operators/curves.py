@@ -12,8 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.values import sum_or_zero, to_number
-from tracemill.operators.joins import spread_join
-from tracemill.plans.traces import small
+from tracemill.operators.joins import lookup_join
 from tracemill.roles import col, quoted
 from tracemill.session import durable
 
@@ -21,6 +20,9 @@ from tracemill.session import durable
 # are spread over tasks.
 COPIES_PER_ROW = 10_000
 
+# A series' name, range and count as a row.
+SHAPE_BYTES = 200
+
 # Numbers of bins of a density.
 BINS = 100
 MIN_BINS = 10
@@ -111,19 +113,20 @@ def density(points: DataFrame, series: str = "trace_id", value: str = "value") -
 
     Columns: series, ``bin`` from 0, ``x`` = centre of the bin, ``y``. There are
     100 bins, or fewer (at least 10) for fewer values. Nulls and infinite values
-    are left out; a series without values has no rows. A series of one value
-    gets the range around it. The last bin holds its right edge.
+    are left out; a series without values has no rows, nor has one without a
+    name, as for a duration curve. A series of one value gets the range around it.
+    The last bin holds its right edge.
+
+    Two passes over the points: the first finds the range and count of each
+    series and is a job of its own, the second counts by bin before it shuffles.
     """
     number = to_number(col(value), points.schema[value].dataType)
-    copies = (
-        points.select(col(series).alias("s"), number.alias("v"))
-        .where("v is not null and abs(v) < double('Infinity')")
-        .groupBy("s", "v")
-        .agg(F.count(F.lit(1)).alias("copies"))
+    values = points.select(col(series).alias("s"), number.alias("v")).where(
+        "s is not null and v is not null and abs(v) < double('Infinity')"
     )
-    shape = (
-        copies.groupBy("s")
-        .agg(F.min("v").alias("least"), F.max("v").alias("most"), F.sum("copies").alias("n"))
+    shape = durable(
+        values.groupBy("s")
+        .agg(F.min("v").alias("least"), F.max("v").alias("most"), F.count("v").alias("n"))
         .selectExpr(
             "s",
             "n",
@@ -137,17 +140,16 @@ def density(points: DataFrame, series: str = "trace_id", value: str = "value") -
     # the bin is then moved to where the edges say.
     guess = "least(cast(floor((v - low) / (high - low) * bins) as int), bins - 1) as guess"
     inside = (
-        spread_join(copies, shape, ["s"], ["v"])
+        lookup_join(values, shape, ["s"], ["v"], SHAPE_BYTES)
         .selectExpr("*", guess)
         .selectExpr(
             "s",
-            "copies",
             f"""case when v < {_edge("guess")} then guess - 1
                 when guess < bins - 1 and v >= {_edge("guess + 1")} then guess + 1
                 else guess end as bin""",
         )
         .groupBy("s", "bin")
-        .agg(F.sum("copies").alias("inside"))
+        .agg(F.count(F.lit(1)).alias("inside"))
     )
     # At most 100 bins per series, empty ones included.
     bins = shape.withColumn("bin", F.expr("explode(sequence(0, bins - 1))"))
@@ -168,27 +170,30 @@ def _edge(number: str) -> str:
 def stacked_area(points: DataFrame, trace_ids: Sequence[int]) -> DataFrame:
     """Traces stacked on each other in list order, at each time.
 
-    Columns ``trace_id, time, value, y0, y1``. A trace without a point at a
-    time is 0 there; a trace without any point is no layer. Values of one trace
-    at one time are added. What is gathered per time is one number per trace.
+    Columns ``trace_id, time, value, y0, y1``. A trace without a point at a time
+    is 0 there, so there is a row for every time and every trace that has any
+    point; a trace without points is no layer. Values of one trace at one time
+    are added. Starts a job that sums up the points. Rows of a time meet in one
+    task, as many as there are traces.
     """
-    cells = points.groupBy("time", "trace_id").agg(sum_or_zero(F.col("value")).alias("value"))
-    layers = cells.groupBy("time").agg(
-        F.map_from_entries(F.collect_list(F.struct("trace_id", "value"))).alias("layers")
+    cells = durable(
+        points.groupBy("time", "trace_id").agg(sum_or_zero(F.col("value")).alias("value"))
     )
-    # Asking for the value as well makes this the same shuffle as the one above,
-    # so the facts are read once.
-    present = cells.groupBy("trace_id").agg(F.max("value").alias("top"))
-    present = present.where("top > double('-Infinity')").select("trace_id")
-    ids = F.array(*[F.lit(int(i)) for i in trace_ids])
+    known = {row["trace_id"] for row in cells.select("trace_id").distinct().collect()}
+    present = [i for i in dict.fromkeys(int(i) for i in trace_ids) if i in known]
+    ids = F.array(*map(F.lit, present)).cast(f"array<{cells.schema['trace_id'].dataType.simpleString()}>")
+    filler = (
+        cells.select("time")
+        .distinct()
+        .select("time", F.explode(ids).alias("trace_id"), F.lit(0.0).alias("value"))
+    )
+    own = cells.where(F.col("trace_id").isin(present)) if present else cells.limit(0)
     grid = (
-        layers.select("time", "layers", F.explode(ids).alias("trace_id"))
-        .join(small(present, len(trace_ids)), "trace_id", "left_semi")
-        .select(
-            "trace_id",
-            "time",
-            F.coalesce(F.col("layers")[F.col("trace_id")], F.lit(0.0)).alias("value"),
-        )
+        own.select("time", "trace_id", F.col("value").cast("double").alias("value"))
+        .unionByName(filler)
+        .repartition("time")
+        .groupBy("time", "trace_id")
+        .agg(F.sum("value").alias("value"))
     )
     stack = Window.partitionBy("time").orderBy("trace_id")
     below = F.sum("value").over(stack.rowsBetween(Window.unboundedPreceding, -1))

@@ -10,13 +10,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.plans.traces import TraceSpec, as_number, small
+from tracemill.plans.traces import TraceSpec, as_number
 from tracemill.roles import Roles, col
 from tracemill.session import rows_frame
 
-# Longest list of values that is also given to the scan as a filter.
-SCAN_VALUES = 200
-
 
 @dataclass(frozen=True)
 class Selection:
@@ -40,15 +37,25 @@ SELECTION_SCHEMA = (
 )
 
 
-def selection_of(spec: TraceSpec) -> Selection:
+def selection_of(spec: TraceSpec, columns: Sequence[str], roles: Roles = Roles()) -> Selection:
+    """The row filter of a trace over facts with the given columns.
+
+    A trace with a run is filtered by it; where the facts have no run column, or
+    the trace no run, by its scenario: by the source file if it looks like a path
+    and the facts name their files, else by the scenario column. A run that the
+    facts cannot tell, without a scenario, is an error.
+    """
     def text(value):
         return None if value is None else str(value)
 
-    loose = spec.run is None
+    loose = spec.run is None or roles.run not in columns
+    if loose and spec.run is not None and spec.scenario is None:
+        raise ValueError(f"column {roles.run!r} is needed to match run {spec.run!r}")
+    by_file = loose and spec.looks_like_path and roles.source in columns
     return Selection(
-        run=text(spec.run),
-        source=spec.scenario if loose and spec.looks_like_path else None,
-        scenario=text(spec.scenario) if loose and not spec.looks_like_path else None,
+        run=None if loose else text(spec.run),
+        source=spec.scenario if by_file else None,
+        scenario=text(spec.scenario) if loose and not by_file else None,
         ws=str(spec.ws),
         ws_number=as_number(spec.ws),
         area=str(spec.area),
@@ -58,11 +65,13 @@ def selection_of(spec: TraceSpec) -> Selection:
     )
 
 
-def selections_of(specs: Sequence[TraceSpec]) -> dict[Selection, int]:
+def selections_of(
+    specs: Sequence[TraceSpec], columns: Sequence[str], roles: Roles = Roles()
+) -> dict[Selection, int]:
     """Distinct row filters of the traces, numbered in list order."""
     found: dict[Selection, int] = {}
     for spec in specs:
-        found.setdefault(selection_of(spec), len(found))
+        found.setdefault(selection_of(spec, columns, roles), len(found))
     return found
 
 
@@ -97,9 +106,9 @@ def match(
     """Fact rows with the ``selection_id`` they belong to.
 
     A row that several selections ask for appears once for each. The selections
-    are broadcast when the list is short; a longer list is joined by shuffle on
-    area and scenario. The values asked for also go to the scan as filters, so
-    that row groups and files of other runs are skipped.
+    are part of the plan, so Spark knows their size and broadcasts them if it may; a
+    longer list is joined by shuffle, where Spark splits large partitions. The values asked for also go to the scan as filters, so that
+    row groups and files of other runs are skipped.
     """
     kinds = {f.name: f.dataType for f in facts.schema.fields}
     for name in (roles.area, roles.ws):
@@ -128,8 +137,9 @@ def match(
     ]
     if any(s.scenario is not None for s in selections):
         column = scenario_column(facts, roles)
-        if column is not None:
-            optional.append((column, "scenario"))
+        if column is None:
+            raise ValueError("a column of scenarios is needed to match traces without a run")
+        optional.append((column, "scenario"))
     for name, field in optional:
         asked = [getattr(s, field) is not None for s in selections]
         if name not in kinds or not any(asked):
@@ -140,9 +150,7 @@ def match(
 
     condition = reduce(lambda a, b: a & b, on)
     columns = [col(name) for name in facts.columns]
-    return facts.join(small(wanted, len(selections)), condition).select(
-        "selection_id", *columns
-    )
+    return facts.join(wanted, condition).select("selection_id", *columns)
 
 
 def _scan_filter(
@@ -151,7 +159,10 @@ def _scan_filter(
     kinds: dict[str, T.DataType],
     roles: Roles,
 ) -> DataFrame:
-    """Filter on the values that the selections ask for, where all name one."""
+    """Filter on the values that the selections ask for, where all name one.
+
+    Long lists reach the scan as their smallest and largest value, by Spark itself.
+    """
     for name, field in (
         (roles.run, "run"),
         (roles.area, "area"),
@@ -160,15 +171,11 @@ def _scan_filter(
         (roles.unit, "unit"),
     ):
         values = {getattr(s, field) for s in selections}
-        if name not in kinds or None in values or not 0 < len(values) <= SCAN_VALUES:
+        if name not in kinds or None in values or not values:
             continue
         if isinstance(kinds[name], T.StringType):
             facts = facts.where(col(name).isin(sorted(values)))
     numbers = {s.ws_number for s in selections}
-    if (
-        isinstance(kinds[roles.ws], T.NumericType)
-        and None not in numbers
-        and 0 < len(numbers) <= SCAN_VALUES
-    ):
+    if isinstance(kinds[roles.ws], T.NumericType) and None not in numbers and numbers:
         facts = facts.where(col(roles.ws).isin(sorted(numbers)))
     return facts

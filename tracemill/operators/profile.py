@@ -3,21 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.operators.clean import choose_layout, layout_fits, with_time
-from tracemill.roles import TIME_SAMPLE_COLUMNS, TIME_SAMPLE_ROWS, Roles, col
+from tracemill.roles import Roles, col
 from tracemill.session import rows_frame
 
-# Parts of a name that mark a time column, and the share of
-# sampled texts that have to be times.
+# Parts of a name that mark a time column, and the share of texts
+# that have to be times.
 TIME_WORDS = ("datetime", "date", "time", "hour", "timestamp")
 TIME_SHARE = 0.9
-EXAMPLES = 10
 
 
 def looks_like_time(name: str) -> bool:
@@ -33,6 +30,19 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
 
 
+def filled_counts(df: DataFrame) -> DataFrame:
+    """One row per column: ``column``, ``rows`` of the table and ``filled`` ones.
+
+    One pass and one row of counts, whatever the size of the table.
+    """
+    counts = [F.count(col(name)).alias(f"c{i}") for i, name in enumerate(df.columns)]
+    pairs = [
+        F.struct(F.lit(name).alias("column"), F.col("rows"), F.col(f"c{i}").alias("filled"))
+        for i, name in enumerate(df.columns)
+    ]
+    return df.agg(F.count(F.lit(1)).alias("rows"), *counts).select(F.inline(F.array(*pairs)))
+
+
 def schema_profile(df: DataFrame) -> DataFrame:
     """One row per column: position, name, type, and whether time or numeric.
 
@@ -51,9 +61,10 @@ def schema_profile(df: DataFrame) -> DataFrame:
 def detect_time_columns(df: DataFrame, roles: Roles = Roles()) -> list[str]:
     """Columns that hold times, by name and then by content.
 
-    By content: of the first 8 remaining text columns, those where more than
-    90 % of a sample of 1 500 non-null values are times. Columns with another
-    role are no candidates. Starts one job when there are such text columns.
+    By content: of the remaining text columns, those where more than 90 % of the
+    non-null values are times. Columns with another role are no candidates. Starts
+    one job when there are such text columns; a text that comes again and again is
+    parsed once.
     """
     named = time_columns_by_name(df)
     texts = [
@@ -62,21 +73,15 @@ def detect_time_columns(df: DataFrame, roles: Roles = Roles()) -> list[str]:
         if isinstance(f.dataType, T.StringType)
         and f.name not in named
         and f.name not in roles.dimensions
-    ][:TIME_SAMPLE_COLUMNS]
+    ]
     if not texts:
         return named
-    samples = [
-        layout_fits(
-            df.select(F.lit(name).alias("group"), col(name).alias("text"))
-            .where("text is not null")
-            .limit(TIME_SAMPLE_ROWS)
-        )
-        for name in texts
-    ]
-    for found in reduce(DataFrame.unionAll, samples).collect():
-        row = found.asDict()
-        name, layout = row["group"], choose_layout(row)
-        if layout and row[layout] > TIME_SHARE * row["rows"]:
+    pairs = [F.struct(F.lit(name).alias("group"), col(name).alias("text")) for name in texts]
+    values = df.select(F.inline(F.array(*pairs))).where("text is not null")
+    fits = {row["group"]: row.asDict() for row in layout_fits(values).collect()}
+    for name in texts:
+        layout = choose_layout(fits[name]) if name in fits else None
+        if layout and fits[name][layout] > TIME_SHARE * fits[name]["rows"]:
             named.append(name)
     return named
 
@@ -84,8 +89,9 @@ def detect_time_columns(df: DataFrame, roles: Roles = Roles()) -> list[str]:
 def datetime_bounds(df: DataFrame, column: str, roles: Roles = Roles()) -> DataFrame:
     """First and last date as ``min_date``, ``max_date``, null when there is none.
 
-    Texts are parsed first (one job), so the bounds are those of the times. Each
-    distinct text is parsed once.
+    Texts are parsed first (one job), so the bounds are those of the times; texts
+    that are no times do not count. Each distinct text is parsed once. Only this
+    column is read, and each task hands on two values.
     """
     if column not in df.columns:
         return df.sparkSession.range(1).select(
@@ -95,20 +101,22 @@ def datetime_bounds(df: DataFrame, column: str, roles: Roles = Roles()) -> DataF
     values = df.select(col(column))
     if isinstance(df.schema[column].dataType, T.StringType):
         values = df.select(*[col(name) for name in (column, per) if name]).distinct()
-    timed = with_time(values, column, per)
+    timed = with_time(values, column, per, strict=False)
     return timed.agg(
         F.min(col(column)).cast("date").alias("min_date"),
         F.max(col(column)).cast("date").alias("max_date"),
     )
 
 
-def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+def column_profile(df: DataFrame, columns: Sequence[str], examples: int = 10) -> DataFrame:
     """One row per column: rows of the table, distinct values, first examples.
 
     Missing columns are listed with ``missing`` set. One pass counts the rows of
     each combination of values, far fewer than rows in a table of time series;
-    everything else works on those counts. Examples are the first ten values in
-    text order, by a ranking that Spark cuts off in each task.
+    everything else works on those counts. It is meant for dimensions: a column
+    with a value per row makes that many combinations. ``examples`` says how many of
+    the first values in text order are shown, by a ranking that Spark cuts off in
+    each task.
     """
     spark = df.sparkSession
     asked = rows_frame(
@@ -134,17 +142,17 @@ def column_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
         F.sum("rows").alias("rows"), F.count("value").alias("distinct_values")
     )
     rank = F.row_number().over(Window.partitionBy("column").orderBy("value"))
-    examples = (
+    shown = (
         # Asking for the rows as well keeps this the same shuffle as for the counts.
         values.where("value is not null and rows > 0")
         .select("column", "value", rank.alias("rank"))
-        .where(F.col("rank") <= EXAMPLES)
+        .where(F.col("rank") <= examples)
         .groupBy("column")
         .agg(F.array_sort(F.collect_list("value")).alias("examples"))
     )
     return (
         asked.join(counts, "column", "left")
-        .join(examples, "column", "left")
+        .join(shown, "column", "left")
         .select(
             "ordinal",
             "column",

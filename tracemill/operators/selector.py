@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.functions.values import is_meaningful
-from tracemill.roles import OPTION_LIMIT, Roles, col
-from tracemill.session import rows_frame
+from tracemill.roles import Roles, col
+from tracemill.session import durable, rows_frame
 
 
 def selector_index(df: DataFrame, roles: Roles = Roles()) -> DataFrame:
@@ -112,27 +112,43 @@ def leaf_technologies(leaf: DataFrame, prop: Any) -> DataFrame:
     )
 
 
-def options_by_label(df: DataFrame, column: str, limit: int = OPTION_LIMIT) -> DataFrame:
-    """First distinct non-null values in the order of their text, with rank."""
+def property_choices(tree: DataFrame) -> DataFrame:
+    """Every property of any leaf: those that stand alone and those with a technology."""
+    alone = tree.where("technology is null").select("property")
+    return alone.union(tree.where("technology is not null").select("property")).distinct()
+
+
+def options_by_label(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """Distinct non-null values in the order of their text, with rank; the first ``limit``."""
     labelled = df.select(col(column).alias("value"), col(column).cast("string").alias("label"))
     return _ranked_options(labelled, F.col("label"), limit)
 
 
-def options_by_value(df: DataFrame, column: str, limit: int = OPTION_LIMIT) -> DataFrame:
-    """First distinct non-null values in their own order, with rank."""
+def options_by_value(df: DataFrame, column: str, limit: int | None = None) -> DataFrame:
+    """Distinct non-null values in their own order, with rank; the first ``limit``."""
     labelled = df.select(col(column).alias("value"), col(column).cast("string").alias("label"))
     return _ranked_options(labelled, F.col("value"), limit)
 
 
-def _ranked_options(labelled: DataFrame, order: Column, limit: int) -> DataFrame:
+def _ranked_options(labelled: DataFrame, order: Column, limit: int | None) -> DataFrame:
+    """With a limit, Spark keeps the first rows of each task; else the values are cut
+    into ranges, and a rank is the place in its range after all ranges before."""
     present = F.col("value").isNotNull()
     if isinstance(labelled.schema["value"].dataType, (T.FloatType, T.DoubleType)):
         present = present & ~F.isnan("value")
-    first = labelled.where(present).distinct().orderBy(order).limit(limit)
-    # At most `limit` rows are left: they fit in one task.
-    place = F.monotonically_increasing_id() + 1
-    return first.coalesce(1).sortWithinPartitions(order).select(
-        place.alias("rank"), "value", "label"
+    values = labelled.where(present).distinct()
+    if limit is not None:
+        values = values.orderBy(order).limit(limit)
+    ranges = durable(values.repartitionByRange(order).withColumn("range", F.spark_partition_id()))
+    # As many rows as there are ranges.
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranges.groupBy("range").agg(F.count(F.lit(1)).alias("size"))
+    starts = sizes.select("range", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("start"))
+    place = F.row_number().over(Window.partitionBy("range").orderBy(order))
+    return (
+        ranges.withColumn("place", place)
+        .join(starts, "range")
+        .select((F.col("start") + F.col("place")).alias("rank"), "value", "label")
     )
 
 
@@ -144,7 +160,7 @@ def unit_options(
     prop: Any,
     technology: Any,
     roles: Roles = Roles(),
-    limit: int = OPTION_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Units under the given choices; a choice of ``None`` does not filter.
 

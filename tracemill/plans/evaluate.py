@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 
 from tracemill.functions.time import BUCKETS, bucket_end_by, bucket_start_by, within_dates
 from tracemill.functions.values import nan_to_null, sum_or_zero
-from tracemill.operators.joins import spread_join
+from tracemill.operators.joins import may_broadcast, spread_join
 from tracemill.operators.match import Selection, match, selection_of, selections_of
 from tracemill.operators.profile import time_columns_by_name
 from tracemill.operators.rollup import clean_key
-from tracemill.plans.traces import RAW, TraceSpec, small, specs_frame, trace_label
-from tracemill.roles import BROADCAST_TRACES, RAW_POINT_LIMIT, Roles, col
-from tracemill.session import rows_frame
+from tracemill.plans.traces import RAW, TraceSpec, specs_frame, trace_label
+from tracemill.roles import Roles, col
+from tracemill.session import durable, rows_frame
 
 AGGREGATES = {"sum": sum_or_zero, "mean": F.avg, "min": F.min, "max": F.max}
 
 TRACES = "trace_id int, selection_id int, function string, resolution string"
+# A trace in the list of traces, as a row.
+TRACE_BYTES = 100
 POINTS = "trace_id int, resolution string, time timestamp_ntz, value double"
-MISSING_LISTED = 5
 
 
 @dataclass(frozen=True)
@@ -86,7 +87,7 @@ def evaluate(
     unit_detail: bool = False,
     start: str | None = None,
     end: str | None = None,
-    raw_limit: int | None = RAW_POINT_LIMIT,
+    raw_limit: int | None = None,
     time_columns: Sequence[str] | None = None,
 ) -> Evaluation:
     """Evaluate all traces over ``facts``.
@@ -94,8 +95,9 @@ def evaluate(
     One pass over the facts serves every aggregated trace: traces that share a
     selection and a bucket share the sums, and each then takes its own function.
     A list of nothing but sums needs no roll-up, since a sum of sums is the sum;
-    its only shuffle is that of the buckets. Raw traces take a pass of their own. A raw trace with more than
-    ``raw_limit`` rows is refused as a whole; ``None`` lifts the limit.
+    its only shuffle is that of the buckets. Raw traces take a pass of their own.
+    With ``raw_limit``, a raw trace of more rows is refused as a whole; this starts
+    the job that finds the raw points and writes them to the shared folder.
     ``time_columns`` are further keys of the roll-up, by default all columns
     whose names say so; ``profile.detect_time_columns`` also looks at contents.
     """
@@ -104,7 +106,7 @@ def evaluate(
     if rolls_up(facts, roles, unit_detail):
         # Units are gone after the roll-up, so a trace cannot pick one.
         plain = [replace(spec, unit=None) for spec in plain]
-    numbers = selections_of(plain)
+    numbers = selections_of(plain, facts.columns, roles)
     points = rows_frame(spark, [], POINTS)
     refused = rows_frame(spark, [], "trace_id int, rows bigint")
 
@@ -115,7 +117,7 @@ def evaluate(
         return matched_rows(facts, chosen, roles, single, start, end, time_columns)
 
     traces = [
-        (i, numbers[selection_of(spec)], spec.function, spec.bucket)
+        (i, numbers[selection_of(spec, facts.columns, roles)], spec.function, spec.bucket)
         for i, spec in enumerate(plain)
     ]
     summed = [trace for trace in traces if trace[2] != RAW]
@@ -139,16 +141,13 @@ def _aggregated(rows: DataFrame, traces: list[tuple]) -> DataFrame:
 
     asked = rows_frame(spark, pairs, "selection_id int, resolution string")
     start = bucket_start_by("time", "resolution", resolutions)
-    if len(traces) <= BROADCAST_TRACES:
-        rows = rows.join(F.broadcast(asked), "selection_id")
-    else:
-        rows = spread_join(rows, asked, ["selection_id"], ["time"])
+    rows = _for_traces(rows, asked, len(pairs))
     sums = rows.groupBy("selection_id", "resolution", start.alias("time")).agg(
         *[AGGREGATES[name](F.col("value")).alias(name) for name in functions]
     )
     cases = " ".join(f"when '{name}' then `{name}`" for name in functions)
     wanted = rows_frame(spark, traces, TRACES)
-    return sums.join(small(wanted, len(traces)), ["selection_id", "resolution"]).select(
+    return sums.join(wanted, ["selection_id", "resolution"]).select(
         "trace_id", "resolution", "time", F.expr(f"case function {cases} end").alias("value")
     )
 
@@ -158,20 +157,27 @@ def _raw(
 ) -> tuple[DataFrame, DataFrame]:
     spark = rows.sparkSession
     wanted = rows_frame(spark, traces, TRACES)
-    points = rows.join(small(wanted, len(traces)), "selection_id").select(
-        "trace_id", "resolution", "time", "value"
-    )
+    points = _for_traces(rows, wanted, len(traces)).select("trace_id", "resolution", "time", "value")
     if limit is None:
         return points, rows_frame(spark, [], "trace_id int, rows bigint")
-    # The second condition always holds. It asks for the values as well, which
-    # makes the roll-up below the same shuffle as that of the points.
-    sizes = points.groupBy("trace_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.max("value").alias("top")
+    points = durable(points)
+    sizes = points.groupBy("trace_id").agg(F.count(F.lit(1)).alias("rows"))
+    # The traces refused are some of the list that came from the driver.
+    refused = rows_frame(
+        spark, sizes.where(F.col("rows") > limit).collect(), "trace_id int, rows bigint"
     )
-    refused = sizes.where(
-        (F.col("rows") > limit) & F.expr("coalesce(top, 0D) <= double('Infinity')")
-    ).select("trace_id", "rows")
-    return points.join(small(refused, len(traces)), "trace_id", "left_anti"), refused
+    return points.join(refused, "trace_id", "left_anti"), refused
+
+
+def _for_traces(rows: DataFrame, traces: DataFrame, length: int) -> DataFrame:
+    """Matched rows, once for each row of a trace list with their selection.
+
+    A list within the bound is broadcast; for a longer one the rows of a selection,
+    which may be most of the facts, are split by their time.
+    """
+    if may_broadcast(length, TRACE_BYTES):
+        return rows.join(F.broadcast(traces), "selection_id")
+    return spread_join(rows, traces, ["selection_id"], ["time"])
 
 
 def with_steps(points: DataFrame) -> DataFrame:
@@ -215,9 +221,9 @@ def report(result: Evaluation, points: DataFrame, need_values: bool = False) ->
 
 
 def summary(reported: DataFrame) -> DataFrame:
-    """One row: traces, points in total, and the first labels without data."""
+    """One row: traces, points in total, and the labels without data in list order."""
     absent = F.when(F.col("status") == "missing", F.struct("trace_id", "label"))
-    first = F.slice(F.array_sort(F.collect_list(absent)), 1, MISSING_LISTED)
+    first = F.array_sort(F.collect_list(absent))
     return reported.agg(
         F.count(F.lit(1)).alias("traces"),
         F.coalesce(F.sum("points"), F.lit(0)).alias("points"),

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.functions.time import BUCKETS
-from tracemill.roles import BROADCAST_TRACES
 from tracemill.session import rows_frame
 
 # The functions of a trace. ``none`` asks for the raw rows.
@@ -117,11 +116,6 @@ def specs_frame(spark: SparkSession, specs: Sequence[TraceSpec]) -> DataFrame:
     return rows_frame(spark, rows, SPEC_SCHEMA)
 
 
-def small(df: DataFrame, traces: int) -> DataFrame:
-    """Mark a frame with a row per trace for broadcast, if the list is short."""
-    return F.broadcast(df) if traces <= BROADCAST_TRACES else df
-
-
 def trace_label() -> Column:
     """Label of a row of ``specs_frame``; it identifies the trace."""
     run = F.coalesce(F.nullif("run", F.lit("")), F.nullif("scenario", F.lit("")), F.lit("?"))
@@ -155,9 +149,7 @@ def with_defaults(specs: DataFrame) -> DataFrame:
     )
 
 
-def validate(
-    specs: DataFrame, tree: DataFrame, traces: int, unit_detail: bool = False
-) -> DataFrame:
+def validate(specs: DataFrame, tree: DataFrame, unit_detail: bool = False) -> DataFrame:
     """Add ``reason`` to each trace, null when the trace is valid.
 
     ``tree`` is the selector tree. It is cut to the traces' own properties
@@ -174,7 +166,7 @@ def validate(
     specs = specs.withColumn("ws_key", F.coalesce(F.col("ws_number").cast("string"), "ws"))
     asked = specs.select(*keys).distinct()
     needing = (
-        with_technology.join(small(asked, traces), keys, "left_semi")
+        with_technology.join(asked, keys, "left_semi")
         .distinct()
         .withColumn("needs", F.lit(True))
     )

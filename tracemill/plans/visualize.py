@@ -13,7 +13,7 @@ from tracemill.operators.curves import density, duration_curve, line, stacked_ar
 from tracemill.operators.selector import selector_index
 from tracemill.plans.evaluate import evaluate, report, with_steps
 from tracemill.plans.traces import TraceSpec
-from tracemill.roles import RAW_POINT_LIMIT, Roles
+from tracemill.roles import Roles
 from tracemill.session import durable
 from tracemill.sources import discover_files, load_files, load_runs
 
@@ -77,7 +77,7 @@ def visualize(
     unit_detail: bool = False,
     start: str | None = None,
     end: str | None = None,
-    raw_limit: int | None = RAW_POINT_LIMIT,
+    raw_limit: int | None = None,
 ) -> Plot:
     """Evaluate the traces and shape their points for one kind of plot.
 

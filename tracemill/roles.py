@@ -1,4 +1,4 @@
-"""Column roles of the long fact table, and the limits of the operators.
+"""Column roles of the long fact table.
 
 Every operator takes a ``Roles`` value, so it runs on any table: a role maps a
 meaning (time, value, market area, ...) to the name of a column.
@@ -11,19 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Names and limits that results depend on.
+# Names that results depend on.
 SUPPORTED_SUFFIXES = (".parquet", ".csv")
-RAW_POINT_LIMIT = 300_000
-OPTION_LIMIT = 500
-TIME_SAMPLE_ROWS = 1_500
-TIME_SAMPLE_COLUMNS = 8
 ROOT_RUN = "."
 ROOT_RUN_LABEL = "(data root)"
 
-# Trace specs are typed in by people. A list up to this length (about 2 MB as
-# rows) is broadcast to the facts; a longer one is joined by shuffle.
-BROADCAST_TRACES = 10_000
-
 
 @dataclass(frozen=True)
 class Roles:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Sequence
@@ -29,6 +30,8 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        # Files of a checkpoint go when nothing refers to it any more.
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         # Recording the call site of every column makes plans slow to build.
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
@@ -37,13 +40,14 @@ def configure(builder: SparkSession.Builder) -> SparkSession.Builder:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that all executors can reach, as named by the session.
 
-    Only a local session without the setting gets a temporary folder; a cluster
-    has to name one, since executors do not share a machine-local folder.
+    The folder is that of ``spark.checkpoint.dir``. Only a session whose executors
+    are threads of the driver may do without: it gets a temporary folder. On a
+    cluster, also one of processes on this machine, there is none to fall back on.
     """
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get(CHECKPOINT_DIR, None)
     if not folder:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise ValueError(f"set {CHECKPOINT_DIR} to a folder shared by all executors")
         folder = tempfile.mkdtemp(prefix="tracemill-")
     if not context.getCheckpointDir():
