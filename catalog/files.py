@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +13,15 @@ from tracemill.plans.evaluate import evaluate, with_steps
 from tracemill.plans.traces import TraceSpec
 from tracemill.plans.visualize import load_facts, load_index, visualize
 from tracemill.session import scratch_path
-from tracemill.sources import discover_files, list_runs, load_files, load_runs, run_key, run_options
+from tracemill.sources import (
+    discover_files,
+    list_runs,
+    load_files,
+    load_runs,
+    read_table,
+    run_key,
+    run_options,
+)
 from tracemill.sources.runs import files_of_runs
 from tracemill.streaming import new_files, read_rollup, refresh_rollup
 
@@ -80,7 +90,41 @@ def run_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def listed(spark: SparkSession, folder: str) -> DataFrame:
-    return run_options(list_runs(spark, run_root(spark, folder)))
+    """The runs to choose from, with the rows that each holds."""
+    runs = run_options(list_runs(spark, run_root(spark, folder)))
+    rows = whole(spark, folder).groupBy(F.col("__run_key").alias("run"))
+    return runs.join(rows.agg(F.count(F.lit(1)).alias("rows")), "run", "left")
+
+
+def one_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Every parquet file of a run, read on its own."""
+    root = run_root(spark, folder)
+    files = discover_files(spark, root, "north", DATA_PATH).orderBy("path").collect()
+    frames = [read_table(spark, row["path"]) for row in files]
+    return reduce(DataFrame.unionByName, frames)
+
+
+def tagged_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of each file by its tag: what is before the file's own name, and its suffix."""
+    loaded = load_runs(spark, run_root(spark, folder), data_path=DATA_PATH)
+    path = F.col("__source_file")
+    return loaded.groupBy(
+        F.regexp_extract(path, r"/([^/]+)/results/hourly", 1).alias("run"),
+        F.regexp_extract(path, r"/results/hourly/(?:([^/]+)/)?[^/]+$", 1).alias("inner"),
+        F.regexp_extract(path, r"(\.[^./]+)$", 1).alias("suffix"),
+        (F.col("__run_key") == F.regexp_extract(path, r"/([^/]+)/results/hourly", 1)).alias("agrees"),
+    ).agg(F.count(F.lit(1)).alias("rows"))
+
+
+def absolute_path(spark: SparkSession, folder: str) -> DataFrame:
+    """Two runs that share one data folder elsewhere: its files are of the first."""
+    root, shared = scratch_path(spark, "runs"), scratch_path(spark, "shared")
+    events = table(spark, folder, "events")
+    for run in ("beta", "alpha"):
+        events.limit(1).write.parquet(f"{root}/{run}/own")
+    events.select("event_id", "event_type").write.parquet(f"{shared}/deep")
+    loaded = load_runs(spark, root, data_path=shared)
+    return loaded.groupBy("__run_key", "event_type").agg(F.count(F.lit(1)).alias("rows"))
 
 
 def discovered(spark: SparkSession, folder: str) -> DataFrame:
@@ -131,6 +175,9 @@ QUERIES = {
     "run_pruned_load": one_run,
     "run_filtered_load": run_filter,
     "run_listing": listed,
+    "single_file_load": one_file,
+    "source_tag": tagged_rows,
+    "run_key_absolute_data_path": absolute_path,
     "discover_files": discovered,
     "chosen_file_load": chosen_files,
     "run_key_from_path": keys_of_paths,
@@ -141,7 +188,16 @@ ORACLES = {
     "projected_load": f'with {FILE_FACTS} select "Value", "BZ", "Unit Name", "__run_key" from file_facts',
     "run_pruned_load": f"with {FILE_FACTS} select {_ALL} from file_facts where \"__run_key\" = 'north'",
     "run_filtered_load": f"with {FILE_FACTS} select {_ALL} from file_facts where \"__run_key\" = 'south'",
-    "run_listing": f'with {FILE_FACTS} select distinct "__run_key" as run, "__run_key" as label from file_facts',
+    "run_listing": f"""with {FILE_FACTS} select "__run_key" as run, "__run_key" as label,
+  count(*) as rows from file_facts group by 1""",
+    "single_file_load": f"""with {FILE_FACTS} select "Datetime", "Value", "WS", "BZ", "Property",
+  "Unit Name" from file_facts where "__run_key" = 'north'""",
+    "source_tag": f"""with {FILE_FACTS} select "__run_key" as run,
+  case "__run_key" when 'north' then 'a' when 'south' then 'b' else '' end as "inner",
+  case when "__run_key" = 'west' then '.csv' else '.parquet' end as suffix, true as agrees,
+  count(*) as rows from file_facts group by 1""",
+    "run_key_absolute_data_path": """select 'alpha' as "__run_key", event_type, count(*) as rows
+from events group by all""",
     "discover_files": f"""with {FILE_FACTS} select "__run_key" as run,
   case when "__run_key" = 'west' then '.csv' else '.parquet' end as suffix, true as filled
 from file_facts group by 1""",
@@ -162,14 +218,21 @@ select trace_id, unnest([time, time + length - interval 1 microsecond]) as time,
 
 
 def refreshed(spark: SparkSession, folder: str) -> DataFrame:
-    """A roll-up that is refreshed after one run, and again after another."""
+    """A roll-up that is refreshed after one run, and again after another: the second
+    writes csv files, and both have files beside the data path."""
     root, kept, progress = (scratch_path(spark, name) for name in ("new", "rollup", "progress"))
     events = event_facts(spark, folder)
     schema = events.drop("__run_key").schema
+    layout = {"timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
     for run in ("run_0", "run_1"):
         part = events.where(F.col("__run_key") == run).drop("__run_key")
-        part.write.parquet(f"{root}/{run}/{DATA_PATH}")
-        refresh_rollup(new_files(spark, root, schema), kept, progress, ["Datetime"])
+        part.limit(3).write.parquet(f"{root}/{run}/elsewhere")
+        if run == "run_0":
+            part.write.parquet(f"{root}/{run}/{DATA_PATH}")
+        else:
+            part.write.options(header="true", **layout).csv(f"{root}/{run}/{DATA_PATH}")
+        found = new_files(spark, root, schema, data_path=DATA_PATH, csv_options=layout)
+        refresh_rollup(found, kept, progress, ["Datetime"])
     return read_rollup(spark, kept, ["Datetime"])
 
 

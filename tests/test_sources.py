@@ -19,6 +19,8 @@ from tracemill.sources import (
     read_table,
     run_key,
     run_options,
+    shared_folder,
+    skipped_files,
 )
 from tracemill.sources.runs import as_list, data_folder, files_of_runs
 from tracemill.sources.tables import available_columns, suffix_of
@@ -103,6 +105,7 @@ def test_load_unites_types_and_columns(spark, root):
     ]
     # Numbers in one file and texts in another become texts.
     assert dict(df.dtypes)["WS"] == "string"
+    assert dict(df.dtypes)["Extra"] == "string"
     assert dict(df.dtypes)["Value"] == "double"
     names = {r[0].rsplit("/", 1)[-1] for r in df.select("__source_file").collect()}
     assert names == {"one.parquet", "TWO.PARQUET", "three.parquet", "four.csv", "FIVE.Csv"}
@@ -134,6 +137,49 @@ def test_one_layout_is_one_scan(spark, tmp_path):
     assert df.count() == 6
 
 
+def test_many_files_of_mixed_layouts(spark, tmp_path):
+    for i in range(1000):
+        folder = tmp_path / f"r{i % 4}"
+        columns = {"Value": [i if i % 3 else float(i)], "BZ": ["A"], f"C{i % 5}": ["x"]}
+        write(folder / (f"{i}.csv" if i % 2 else f"{i}.parquet"), **columns)
+    df = load_runs(spark, str(tmp_path))
+    plan = df._jdf.queryExecution().toString()
+    assert plan.count(".parquet") + plan.count(".csv") < 700
+    row = df.agg(F.count("Value"), F.sum("Value"), F.count("C3"), F.count("BZ")).first()
+    assert tuple(row) == (1000, sum(range(1000)), 200, 1000)
+    assert df.select("__source_file").distinct().count() == 1000
+
+
+def test_csv_headers_may_differ_in_order(spark, tmp_path):
+    write(tmp_path / "r" / "a.csv", Value=[1.5], BZ=["AT"], WS=[4])
+    write(tmp_path / "r" / "b.csv", BZ=["DE"], Value=[2.5])
+    write(tmp_path / "q" / "c+d e.csv", Extra=["x"], WS=[7], BZ=["FR"], Value=[3.5])
+    df = load_runs(spark, str(tmp_path))
+    found = sorted((r["__run_key"], r["BZ"], r["Value"], r["WS"], r["Extra"]) for r in df.collect())
+    assert [row[:4] for row in found] == [
+        ("q", "FR", "3.5", "7"), ("r", "AT", "1.5", "4"), ("r", "DE", "2.5", None)
+    ]
+    part = load_runs(spark, str(tmp_path), columns=["Value"]).select("Value")
+    assert sorted(r["Value"] for r in part.collect()) == ["1.5", "2.5", "3.5"]
+
+
+def test_hidden_names_are_told(spark, root):
+    write(Path(root) / "DE" / "out" / "_tmp" / "x.parquet", Value=[1.0])
+    write(Path(root) / "DE" / "out" / ".y.CSV", Value=[1.0])
+    found = [r["path"] for r in skipped_files(spark, root, data_path="out").collect()]
+    assert sorted(p.rsplit("/out/", 1)[1] for p in found) == [".y.CSV", "_tmp/x.parquet"]
+
+
+def test_absolute_data_path(spark, root, tmp_path):
+    shared = tmp_path / "shared"
+    write(shared / "deep" / "a.parquet", Value=[1.0], BZ=["S"])
+    df = load_runs(spark, root, data_path=str(shared))
+    assert values(df) == [("AT 2030+a", "S", 1.0)]
+    assert shared_folder(spark, root, "out") is None
+    files = discover_files(spark, root, data_path=str(shared))
+    assert [r["run"] for r in files.collect()] == ["AT 2030+a"]
+
+
 def files_read(df):
     plan = df._jdf.queryExecution().executedPlan()
     df.collect()

@@ -1,6 +1,13 @@
 """Run folders and the files below them."""
 
-from tracemill.sources.runs import discover_files, list_runs, run_key, run_options
+from tracemill.sources.runs import (
+    discover_files,
+    list_runs,
+    run_key,
+    run_options,
+    shared_folder,
+    skipped_files,
+)
 from tracemill.sources.tables import load_files, load_runs, read_table
 
 __all__ = [
@@ -11,4 +18,6 @@ __all__ = [
     "read_table",
     "run_key",
     "run_options",
+    "shared_folder",
+    "skipped_files",
 ]

@@ -84,7 +84,12 @@ def data_folder(root: str, run: str, data_path: str | None) -> str:
     base = f"{root.rstrip('/')}/{run}"
     if inner in ("", ".", "./"):
         return base
-    return inner if inner.startswith("/") else f"{base}/{inner.rstrip('/')}"
+    return inner if is_absolute(inner) else f"{base}/{inner.rstrip('/')}"
+
+
+def is_absolute(path: str) -> bool:
+    """Whether a path begins at the top of a store, with or without its scheme."""
+    return re.match(r"([a-zA-Z][a-zA-Z0-9+.-]*:)?/", path) is not None
 
 
 def run_folders(
@@ -98,26 +103,53 @@ def run_folders(
     if runs is not None:
         chosen = set(as_list(runs))
         names = [name for name in names if name in chosen]
+    shared = shared_folder(spark, root, data_path)
+    if shared:
+        return [shared[0]] if names and is_folder(spark, shared[0]) else []
+    # One listing of the pattern, however many runs there are.
+    pattern = data_folder(literal(root), "*", data_path and literal(data_path))
+    found = _file_system(spark, root).globStatus(_hadoop_path(spark, pattern)) or ()
+    present = {entry.getPath().toString() for entry in found if entry.isDirectory()}
     folders = (data_folder(root, name, data_path) for name in names)
-    return [folder for folder in folders if is_folder(spark, folder)]
+    return [folder for folder in folders if qualified(spark, folder) in present]
 
 
-def run_key(path: Column, root: str) -> Column:
-    """Name of the folder directly under ``root`` that holds ``path``, else ``.``.
+def shared_folder(
+    spark: SparkSession, root: str, data_path: str | None
+) -> tuple[str, str] | None:
+    """The folder of an absolute data path, and the run that its files belong to.
 
-    A key of the form ``@.../runs/<run>/...`` names its run itself. The result
-    depends on the path only, so a filter on it prunes files before reading.
+    All runs have that one data folder; a file there is of the first of them.
     """
-    scheme, _, inside = root.rpartition(":")
+    inner = (data_path or "").strip()
+    names = run_names(spark, root) if is_absolute(inner) else []
+    return (qualified(spark, inner), names[0]) if names else None
+
+
+def _below(folder: str) -> str:
+    """Pattern of paths below a folder, with the next part of the path as its group."""
+    scheme, _, inside = folder.rpartition(":")
     if scheme in ("", "file"):
         start = r"^(?:file:)?/*\Q" + inside.lstrip("/").rstrip("/")
     else:
-        start = r"^\Q" + root.rstrip("/")
-    below = start + r"\E/([^/]+)/"
+        start = r"^\Q" + folder.rstrip("/")
+    return start + r"\E/([^/]+)"
+
+
+def run_key(path: Column, root: str, shared: tuple[str, str] | None = None) -> Column:
+    """Name of the folder directly under ``root`` that holds ``path``, else ``.``.
+
+    A key of the form ``@.../runs/<run>/...`` names its run itself, and files of a
+    ``shared_folder`` are of its run. The result depends on the path only, so a
+    filter on it prunes files before reading.
+    """
     found = F.when(
         path.startswith("@"), F.regexp_extract(path, "/runs/([^/]+)", 1)
-    ).otherwise(F.regexp_extract(path, below, 1))
-    return F.when(found == "", F.lit(ROOT_RUN)).otherwise(found)
+    ).otherwise(F.regexp_extract(path, _below(root) + "/", 1))
+    found = F.when(found == "", F.lit(ROOT_RUN)).otherwise(found)
+    if shared is None:
+        return found
+    return F.when(path.rlike(_below(shared[0])), F.lit(shared[1])).otherwise(found)
 
 
 def source_path(file_path: Column) -> Column:
@@ -133,9 +165,41 @@ def discover_files(
 ) -> DataFrame:
     """All parquet and csv files of the chosen runs, at any depth.
 
-    Only file status is read. Spark skips names that begin with ``_`` or ``.``.
+    Only file status is read. Spark skips names that begin with ``_`` or ``.``;
+    ``skipped_files`` tells which these are.
     """
     folders = run_folders(spark, root, runs, data_path)
+    return files_in(spark, folders, root, shared_folder(spark, root, data_path))
+
+
+def skipped_files(
+    spark: SparkSession,
+    root: str,
+    runs: str | Sequence[str] | None = None,
+    data_path: str | None = None,
+) -> DataFrame:
+    """Parquet and csv files that loading leaves out, since Spark hides their names.
+
+    Column ``path``: a part of it below the run's data folder begins with ``_`` or
+    ``.``. Walks the folders' listing on the driver and keeps hidden files only;
+    meant for a look at what is there, loading does not need it.
+    """
+    hidden = []
+    for folder in run_folders(spark, root, runs, data_path):
+        base = qualified(spark, folder)
+        files = _file_system(spark, folder).listFiles(_hadoop_path(spark, folder), True)
+        while files.hasNext():
+            path = files.next().getPath().toString()
+            parts = path[len(base) :].strip("/").split("/")
+            if path.lower().endswith(SUPPORTED_SUFFIXES) and any(p[0] in "_." for p in parts):
+                hidden.append((path,))
+    return rows_frame(spark, hidden, "path string")
+
+
+def files_in(
+    spark: SparkSession, folders: Sequence[str], root: str, shared: tuple[str, str] | None = None
+) -> DataFrame:
+    """All parquet and csv files below the folders."""
     if not folders:
         return rows_frame(spark, [], FILE_SCHEMA)
     glob = "{" + ",".join(map(any_case, SUPPORTED_SUFFIXES)) + "}"
@@ -147,7 +211,7 @@ def discover_files(
     )
     return files.select(
         "path",
-        run_key(F.col("path"), qualified(spark, root)).alias("run"),
+        run_key(F.col("path"), qualified(spark, root), shared).alias("run"),
         F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1)).alias("suffix"),
         "length",
         F.col("modificationTime").cast("timestamp_ntz").alias("modified"),

@@ -1,16 +1,20 @@
 """Reading of parquet and csv files into one tagged DataFrame.
 
-Files of one run, and of different runs, may differ in columns and types. They
-are grouped by layout (parquet columns and types, or csv header); each group is
-one read, so the plan grows with the number of layouts, not of files. Groups
-are united by column name.
+Files of one run, and of different runs, may differ in columns and types. Parquet
+folders are one read with a united schema; where types do not unite, each run's
+folder is, and only a folder whose own files disagree is read by layout. Csv files
+are one read of texts by position, and names are given by each file's header. The
+plan grows with the number of layouts, not of files.
 """
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterable, Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -22,18 +26,20 @@ from tracemill.session import durable, rows_frame
 from tracemill.sources.runs import (
     any_case,
     as_list,
-    discover_files,
+    files_in,
     literal,
     qualified,
     run_folders,
     run_key,
+    shared_folder,
     source_path,
 )
 
 # Files whose layout one task reads, when they are given as a list.
 FOOTERS_PER_TASK = 64
 
-CSV_OPTIONS = {"header": "true", "inferSchema": "true"}
+# Csv files are read as texts: what a text means is known to who asks for it.
+CSV_OPTIONS = {"header": "true"}
 
 
 def suffix_of(path: str) -> str:
@@ -49,8 +55,15 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     return strip_names(_naive_times(_read(spark, suffix_of(path), [path])))
 
 
-def _read(spark: SparkSession, suffix: str, paths: Sequence[str], **options: str) -> DataFrame:
+def _read(
+    spark: SparkSession,
+    suffix: str,
+    paths: Sequence[str],
+    schema: T.StructType | None = None,
+    **options: str,
+) -> DataFrame:
     reader = spark.read.options(**options)
+    reader = reader.schema(schema) if schema else reader
     exact = [literal(path) for path in paths]
     if suffix == ".csv":
         return reader.options(**CSV_OPTIONS).csv(exact)
@@ -125,7 +138,11 @@ def file_layouts(files: DataFrame) -> DataFrame:
 
 
 def _tagged(
-    df: DataFrame, columns: Sequence[str] | None, root: str, roles: Roles
+    df: DataFrame,
+    columns: Sequence[str] | None,
+    root: str,
+    roles: Roles,
+    shared: tuple[str, str] | None = None,
 ) -> DataFrame:
     """Clean names, wanted columns only, plus the source file and the run.
 
@@ -133,11 +150,11 @@ def _tagged(
     the file listing.
     """
     path = source_path(F.col("_metadata.file_path"))
-    clean = strip_names(_naive_times(df))
+    clean = strip_names(_naive_times(df.drop("_metadata")))
     own = available_columns(clean.columns, columns)
     if roles.source in clean.columns and roles.source not in own:
         own.append(roles.source)
-    tags = {roles.source: path, roles.run: run_key(path, root)}
+    tags = {roles.source: path, roles.run: run_key(path, root, shared)}
     if columns is not None:
         # A projected read keeps a tag column that the file brings itself.
         tags = {name: tag for name, tag in tags.items() if name not in own}
@@ -163,11 +180,13 @@ def _common_type(kinds: set[str]) -> str | None:
     return "string"
 
 
-def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
+def union_by_name(frames: Sequence[DataFrame], texts: Sequence[DataFrame] = ()) -> DataFrame:
     """Union of frames that may differ in columns and types.
 
     Missing columns become null. Number types widen; columns that hold numbers
-    in one frame and texts in another become text.
+    in one frame and texts in another become text. ``texts`` are frames of untyped
+    texts, such as those of csv files: their columns take the type that the others
+    have, and a text that does not say such a value is null.
     """
     kinds: dict[str, set[str]] = {}
     for frame in frames:
@@ -183,9 +202,95 @@ def union_by_name(frames: Sequence[DataFrame]) -> DataFrame:
         )
         for frame in frames
     ]
+    if aligned and texts:
+        typed = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aligned).schema
+        kind = {field.name: field.dataType for field in typed.fields}
+        texts = [
+            frame.select(
+                *[
+                    (col(name).try_cast(kind[name]) if name in kind else col(name)).alias(name)
+                    for name in frame.columns
+                ]
+            )
+            for frame in texts
+        ]
+    aligned += texts
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aligned)
 
 
+def _parquet(spark: SparkSession, folders: Sequence[str]) -> list[DataFrame]:
+    """All parquet files below the folders, in as few reads as their types allow.
+
+    Spark unites the columns that files have, reading footers in tasks. It refuses
+    columns of different types; then each folder is a read of its own, and the
+    files of a folder that disagree among themselves are read by layout.
+    """
+    options = {
+        "mergeSchema": "true",
+        "recursiveFileLookup": "true",
+        "pathGlobFilter": any_case(".parquet"),
+    }
+    try:
+        return [_read(spark, ".parquet", folders, **options)]
+    except (PySparkException, Py4JJavaError) as error:
+        if "UNABLE_TO_INFER_SCHEMA" in str(error):  # a run without parquet files
+            return []
+        if "CANNOT_MERGE" not in str(error):
+            raise
+    if len(folders) > 1:
+        return [frame for folder in folders for frame in _parquet(spark, [folder])]
+    members = file_layouts(files_in(spark, folders, folders[0]).where("suffix = '.parquet'"))
+    paths: dict[str, list[str]] = {}
+    for row in members.orderBy("path").toLocalIterator():
+        paths.setdefault(row["layout"], []).append(row["path"])
+    return [_read(spark, ".parquet", paths[layout]) for layout in sorted(paths)]
+
+
+def _csv(spark: SparkSession, layouts: DataFrame, folders: Sequence[str]) -> list[DataFrame]:
+    """All csv files below the folders, or listed in ``layouts``, as texts.
+
+    With one header, that gives the names. Else all files are read by position,
+    and a column takes its text from the place that the header of the row's file
+    gives it: one read, and as many choices as there are headers.
+    """
+    headers = [row["layout"] for row in layouts.select("layout").distinct().orderBy("layout").collect()]
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": any_case(".csv")} if folders else {}
+    places = folders or [row["path"] for row in layouts.select("path").orderBy("path").collect()]
+    named = [next(csv.reader([header])) for header in headers]
+    most = max(map(len, named))
+    if len(headers) == 1:
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in _distinct(named[0])])
+        return [_read(spark, ".csv", places, schema, **options)]
+    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(most)])
+    rows = _read(spark, ".csv", places, schema, **options)
+    numbers = rows_frame(spark, [(h, i) for i, h in enumerate(headers)], "layout string, __header int")
+    own = layouts.join(numbers, "layout").select(F.col("path").alias("__path"), "__header")
+    # As many rows as files; each row of a file finds its header by the file's path.
+    path = F.regexp_replace(source_path(F.col("_metadata.file_path")), "^file:/+", "file:/")
+    known = rows.withColumn("__at", path).withColumn("__file", F.col("_metadata"))
+    known = known.join(
+        own.withColumn("__path", F.regexp_replace("__path", "^file:/+", "file:/")),
+        F.col("__at") == F.col("__path"),
+    )
+    columns = {}
+    for number, names in enumerate(map(_distinct, named)):
+        for place, name in enumerate(names):
+            columns.setdefault(name, []).append((number, place))
+    picked = [
+        F.coalesce(*[F.when(F.col("__header") == n, F.col(f"_c{place}")) for n, place in where]).alias(name)
+        for name, where in columns.items()
+    ]
+    return [known.select(*picked, F.col("__file").alias("_metadata"))]
+
+
+def _distinct(names: Sequence[str]) -> list[str]:
+    """Names of a header; one that comes again, or is empty, is told by its place."""
+    out: list[str] = []
+    for place, name in enumerate(names):
+        out.append(name if name and name not in out else f"{name}_{place}")
+    return out
+
+
 def _load(
     spark: SparkSession,
     files: DataFrame,
@@ -193,27 +298,29 @@ def _load(
     root: str,
     columns: Sequence[str] | None,
     roles: Roles,
+    shared: tuple[str, str] | None = None,
 ) -> DataFrame:
-    layouts = file_layouts(files)
-    found = layouts.select("suffix", "layout").distinct()
-    groups = found.orderBy("suffix", "layout").collect()
-    if not groups:
+    """Files of both kinds, united. With ``folders`` these are read as they are."""
+    kinds = {row["suffix"] for row in files.select("suffix").distinct().collect()}
+    if not kinds:
         raise ValueError("no input files")
-    frames = []
-    for suffix in dict.fromkeys(group["suffix"] for group in groups):
-        same = [group for group in groups if group["suffix"] == suffix]
-        if len(same) == 1 and folders:
-            # One layout: read whole folders, Spark lists the files itself.
-            options = {"recursiveFileLookup": "true", "pathGlobFilter": any_case(suffix)}
-            frames.append(_tagged(_read(spark, suffix, folders, **options), columns, root, roles))
-            continue
-        members = layouts.where(F.col("suffix") == suffix)
-        paths: dict[str, list[str]] = {}
-        for row in members.orderBy("path").toLocalIterator():
-            paths.setdefault(row["layout"], []).append(row["path"])
-        for layout in sorted(paths):
-            frames.append(_tagged(_read(spark, suffix, paths[layout]), columns, root, roles))
-    return union_by_name(frames)
+    typed: list[DataFrame] = []
+    texts: list[DataFrame] = []
+    if ".parquet" in kinds:
+        if folders:
+            typed = _parquet(spark, folders)
+        else:
+            rows = file_layouts(files.where("suffix = '.parquet'")).orderBy("path").collect()
+            layouts = dict.fromkeys(row["layout"] for row in rows)
+            typed = [
+                _read(spark, ".parquet", [r["path"] for r in rows if r["layout"] == layout])
+                for layout in sorted(layouts)
+            ]
+    if ".csv" in kinds:
+        texts = _csv(spark, file_layouts(files.where("suffix = '.csv'")), folders)
+    typed = [_tagged(df, columns, root, roles, shared) for df in typed]
+    texts = [_tagged(df, columns, root, roles, shared) for df in texts]
+    return union_by_name(typed, texts)
 
 
 def load_runs(
@@ -226,12 +333,13 @@ def load_runs(
 ) -> DataFrame:
     """All files of the chosen runs as one frame, tagged with file and run.
 
-    Only folders of chosen runs are listed. Starts small jobs that read file
-    layouts; the data itself is read lazily.
+    Only folders of chosen runs are listed. Starts small jobs that read footers and
+    headers; the data itself is read lazily.
     """
     folders = run_folders(spark, root, runs, data_path)
-    files = discover_files(spark, root, runs, data_path)
-    return _load(spark, files, folders, qualified(spark, root), columns, roles)
+    shared = shared_folder(spark, root, data_path)
+    files = files_in(spark, folders, root, shared)
+    return _load(spark, files, folders, qualified(spark, root), columns, roles, shared)
 
 
 def load_files(
