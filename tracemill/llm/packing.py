@@ -311,3 +311,4 @@ def _pieces(
                 ],
                 ["doc_id", "piece", "start", "length", "ids_crc32"],
             )
+    encode.forget()

@@ -129,6 +129,7 @@ def _write_part(
             files[1].write((tokens + np.cumsum(counts)).astype("<u8").tobytes())
             files[2].write(numbers[block.low : block.high].astype("<i8").tobytes())
             documents, tokens = documents + len(counts), tokens + len(ids)
+    encode.forget()
     if files is not None:
         for file in files:
             file.close()

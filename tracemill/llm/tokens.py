@@ -21,8 +21,9 @@ from tracemill.llm.arrow_text import SPACED, Block, ragged
 
 _SPACES = " \t\n\x0b\x0c\r"
 
-# Stretches remembered by one Python worker; the oldest are dropped all at once.
-REMEMBERED = 1_200_000
+# Stretches remembered by one Python worker; all are dropped when there are more, and
+# at the end of a task, so that an idle worker does not hold them.
+REMEMBERED = 500_000
 
 
 @dataclass
@@ -97,6 +98,11 @@ class Encoder:
         ends = np.concatenate([[0], np.cumsum(sizes)])
         return ids, np.diff(ends[np.searchsorted(begins, block.starts)])
 
+    def forget(self) -> None:
+        """Drop what is remembered and give the memory back."""
+        self._known = _Known()
+        pa.default_memory_pool().release_unused()
+
     def _numbers(self, texts: list[str]) -> np.ndarray:
         known = self._known
         new = [text for text in texts if text not in known.numbers]
