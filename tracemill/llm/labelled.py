@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -59,5 +60,10 @@ def rows_of(table: pa.Table, name: str) -> list[np.ndarray]:
 
 def first_of_each(*columns: list[np.ndarray]) -> list[int]:
     """Numbers of the rows that differ from all before them."""
-    seen = {tuple(own.tobytes() for own in row): i for i, row in reversed([*enumerate(zip(*columns))])}
-    return sorted(seen.values())
+    seen: dict[bytes, int] = {}
+    for i, row in enumerate(zip(*columns)):
+        key = hashlib.blake2b(digest_size=16)
+        for own in row:
+            key.update(len(own).to_bytes(8, "little") + own.tobytes())
+        seen.setdefault(key.digest(), i)
+    return list(seen.values())

@@ -37,6 +37,8 @@ TRAINING_ROWS = 20_000
 # lies so many standard errors from that of all.
 LEAST_TEXTS, LEAST_ERRORS = 5, 4.0
 STEPS, RATE, RIDGE, SWAP_PENALTY = 400, 0.05, 1e-3, 1.0
+# Training texts that are looked at together.
+PART = 500
 # A word of more bytes is also known by its first ones.
 BEGINNINGS = (4, 5)
 
@@ -126,11 +128,19 @@ def fit(
     result = Classifier(float(np.log(share / (1 - share))), weights)
     if not labels.any() or labels.all():
         return result
-    counts = np.array([len(texts[i]) for i in some])
-    words = np.concatenate([texts[i] for i in some]).astype(np.int64)
-    owner = np.repeat(np.arange(len(labels)), counts)
-    having = np.maximum(np.bincount(words, minlength=1 << WORD_BITS), 1)
-    toxic = np.bincount(words, labels[owner], 1 << WORD_BITS)
+    # A few texts at a time: their words are many, the inputs among them are few.
+    parts = [range(low, min(low + PART, len(some))) for low in range(0, len(some), PART)]
+
+    def words_of(part: range) -> tuple[np.ndarray, np.ndarray]:
+        own = [texts[some[i]] for i in part]
+        return np.concatenate(own), np.repeat(np.array(part), [len(w) for w in own])
+
+    having, toxic = np.zeros(1 << WORD_BITS), np.zeros(1 << WORD_BITS)
+    for part in parts:
+        words, owner = words_of(part)
+        having += np.bincount(words, minlength=1 << WORD_BITS)
+        toxic += np.bincount(words, labels[owner], 1 << WORD_BITS)
+    having = np.maximum(having, 1)
     error = np.sqrt(share * (1 - share) / having)
     chosen = (having >= LEAST_TEXTS) & (np.abs(toxic / having - share) >= LEAST_ERRORS * error)
     chosen[begun] = False
@@ -138,8 +148,8 @@ def fit(
     inputs = np.flatnonzero(chosen)
     number = np.zeros(1 << WORD_BITS, np.int64)
     number[inputs] = np.arange(len(inputs))
-    used = chosen[words]
-    words, owner = number[words[used]], owner[used]
+    kept = [(number[w[chosen[w]]], owner[chosen[w]]) for w, owner in map(words_of, parts)]
+    words, owner = (np.concatenate(column) for column in zip(*kept))
     pairs = number[np.concatenate([swapped[i] for i in some]).astype(np.int64).reshape(-1, 2)]
     w, bias = np.zeros(len(inputs)), result.bias
     mean, square = np.zeros(len(inputs) + 1), np.zeros(len(inputs) + 1)
