@@ -23,7 +23,7 @@ _SPACES = " \t\n\x0b\x0c\r"
 
 # Stretches remembered by one Python worker; all are dropped when there are more, and
 # at the end of a task, so that an idle worker does not hold them.
-REMEMBERED = 500_000
+REMEMBERED = 300_000
 
 
 @dataclass
