@@ -30,7 +30,7 @@ from tracemill.llm.arrow_text import (
     text_blocks,
     window_starts,
 )
-from tracemill.llm.stored import BitFilter, RowNumbers, bit_filter, stored
+from tracemill.llm.stored import BitFilter, RowNumbers, bit_filter, stored, texts_of
 
 SHINGLE = 5
 _WINDOWS = "item string, window string, size int, shingle int, hashes array<long>"
@@ -66,7 +66,7 @@ def decontaminate(
         "windows",
     )
     sizes = sorted(r.shingle for r in windows.select("shingle").distinct().collect())
-    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    source = texts_of(docs, F.col(doc_id).alias("id"), F.col(text).alias("text"))
     distinct = windows.dropDuplicates(["window"])
     tokens = stored(
         distinct.select(F.explode("hashes").alias("hash")).distinct(), "benchmark-shingles"

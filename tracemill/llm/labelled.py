@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracemill.llm.stored import texts_of
+
 FOLDS = 5
 
 
@@ -41,7 +43,7 @@ def training_rows(
         .dropDuplicates(["__id"])
     )
     sample = known.orderBy(F.xxhash64("__id"), "__id").limit(most)
-    asked = docs.select(F.col(doc_id).alias("__doc"), *columns)
+    asked = texts_of(docs, F.col(doc_id).alias("__doc"), *columns)
     return (
         asked.join(F.broadcast(sample), F.col("__doc") == F.col("__id"))
         .select("label", *asked.columns[1:])

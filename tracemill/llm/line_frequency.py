@@ -30,7 +30,7 @@ from tracemill.llm.arrow_text import (
     text_blocks,
     window_starts,
 )
-from tracemill.llm.stored import RowNumbers, stored
+from tracemill.llm.stored import RowNumbers, stored, texts_of
 
 # Symbols that are counted.
 _SYMBOLS = np.zeros(256, bool)
@@ -72,8 +72,8 @@ def quality_rules(
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     rows = stored(
-        docs.select(
-            F.col(doc_id).alias("id"), F.col(host).cast("string").alias("host"), F.col(text).alias("text")
+        texts_of(
+            docs, F.col(doc_id).alias("id"), F.col(host).cast("string").alias("host"), F.col(text).alias("text")
         ).mapInArrow(
             lambda batches: _statistics(batches, rules.repeat_window),
             f"id {kind}, host string, row long, n_words long, word_chars long, n_symbols long, "

@@ -37,7 +37,7 @@ from tracemill.llm.arrow_text import (
     text_blocks,
 )
 from tracemill.llm.components import components
-from tracemill.llm.stored import RowNumbers, bounded, stored
+from tracemill.llm.stored import RowNumbers, bounded, stored, texts_of
 
 BANDS, BAND_ROWS = 32, 6
 SAMPLES = BANDS * BAND_ROWS
@@ -78,7 +78,7 @@ def near_duplicates(
     they are kept only if there is none. Other columns are not used.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    source = texts_of(docs, F.col(doc_id).alias("id"), F.col(text).alias("text"))
     signed = stored(
         source.mapInArrow(lambda batches: _signatures(batches, words), f"id {kind}, {_SIGNATURE}"),
         "signatures",

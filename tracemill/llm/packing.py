@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.arrow_text import text_blocks
-from tracemill.llm.stored import stored
+from tracemill.llm.stored import stored, texts_of
 from tracemill.llm.token_files import BLOCK_BYTES, with_end
 from tracemill.llm.tokens import encoder
 
@@ -52,7 +52,7 @@ def pieces(
     than ``most``. Repeated documents are all there.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
+    return texts_of(docs, F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(
         lambda batches: _pieces(batches, tokenizer, most, end),
         f"doc_id {kind}, piece int, start long, length long, ids_crc32 long",
     )

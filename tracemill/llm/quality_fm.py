@@ -28,6 +28,7 @@ from tracemill.llm.arrow_text import (
     window_starts,
 )
 from tracemill.llm.labelled import first_of_each, held_out, rows_of, training_rows
+from tracemill.llm.stored import texts_of
 
 WORD_BITS = 14
 FACTORS = 8
@@ -108,8 +109,8 @@ def quality_scores(
     machine = fit(table, len(metadata))
     model = docs.sparkSession.sparkContext.broadcast(machine)
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(
-        F.col(doc_id).alias("id"), held_out(F.col(doc_id)).alias("held_out"), *columns
+    return texts_of(
+        docs, F.col(doc_id).alias("id"), held_out(F.col(doc_id)).alias("held_out"), *columns
     ).mapInArrow(
         lambda batches: _scored(batches, model.value, threshold),
         f"id {kind}, held_out boolean, score double, predicted int",

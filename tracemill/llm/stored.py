@@ -24,6 +24,22 @@ BROADCAST_BYTES = 16 << 20
 FILTER_BITS, LEAST_FILTER_BITS = 27, 23
 _SEGMENT_BITS = 16
 
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def texts_of(docs: DataFrame, *columns: Column) -> DataFrame:
+    """Columns of documents, to be read by tasks in Python.
+
+    Arrow batches are cut by rows alone, and rows of text are long. So the session's
+    batches are made smaller, if they are larger: they bound what a task holds.
+    """
+    conf = docs.sparkSession.conf
+    rows = int(conf.get(_BATCH))
+    if not 0 < rows <= BATCH_ROWS:
+        conf.set(_BATCH, str(BATCH_ROWS))
+    return docs.select(*columns)
+
 
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet to the session's shared folder and read it again.

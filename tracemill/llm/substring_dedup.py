@@ -34,7 +34,7 @@ from tracemill.llm.arrow_text import (
     text_blocks,
     window_starts,
 )
-from tracemill.llm.stored import BitFilter, RowNumbers, bit_filter, bounded, stored
+from tracemill.llm.stored import BitFilter, RowNumbers, bit_filter, bounded, stored, texts_of
 
 # Every difference modulo the period is one of two cover positions.
 PERIOD = 21
@@ -65,7 +65,7 @@ def drop_repeats(
     if window <= PERIOD:
         raise ValueError(f"a window has more than {PERIOD} words")
     kind = docs.schema[doc_id].dataType.simpleString()
-    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
+    source = texts_of(docs, F.col(doc_id).alias("id"), F.col(text).alias("text"))
     anchors = source.select("text").mapInArrow(lambda rows: _anchors(rows, window), "hash long")
     twice = stored(
         anchors.groupBy("hash").agg(F.count("*").alias("n")).where("n > 1").select("hash"),

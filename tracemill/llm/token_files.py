@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tracemill.llm.arrow_text import text_blocks
+from tracemill.llm.stored import texts_of
 from tracemill.llm.tokens import encoder
 from tracemill.session import scratch_path
 
@@ -62,7 +63,7 @@ def write_tokens(
     if folder.startswith("/"):
         folder = f"file://{folder}"
     ordered = (
-        docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
+        texts_of(docs, F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
         .repartitionByRange("id")
         .sortWithinPartitions("id")
     )

@@ -29,6 +29,7 @@ from tracemill.llm.arrow_text import (
     text_blocks,
 )
 from tracemill.llm.labelled import first_of_each, held_out, rows_of, training_rows
+from tracemill.llm.stored import texts_of
 
 WORD_BITS = 20
 # The classifier is fitted on at most this many labelled rows.
@@ -100,8 +101,11 @@ def toxicity_scores(
     fitted = fit(table, terms, swap_penalty, begun)
     model = docs.sparkSession.sparkContext.broadcast(fitted)
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(
-        F.col(doc_id).alias("id"), held_out(F.col(doc_id)).alias("held_out"), F.col(text).alias("text")
+    return texts_of(
+        docs,
+        F.col(doc_id).alias("id"),
+        held_out(F.col(doc_id)).alias("held_out"),
+        F.col(text).alias("text"),
     ).mapInArrow(
         lambda batches: _scored(batches, model.value, threshold),
         f"id {kind}, held_out boolean, score double, predicted int",
