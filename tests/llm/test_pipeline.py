@@ -9,7 +9,7 @@ from test_tokens import crc, expected, fits
 from tracemill.llm.stored import stored
 from tracemill.llm.toxicity import toxicity_scores
 
-FOLDER = "/root/testdata/sf0.001"
+FOLDER = "/root/testdata/sf0.01"
 
 
 def stage(name):
