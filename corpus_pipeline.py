@@ -18,15 +18,26 @@ from tracemill.llm.stored import bounded, stored
 from tracemill.llm.toxicity import toxicity_scores
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """Documents whose id is not in ``gone``; null is an id like others."""
-    ids = stored(gone.select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(bounded(ids, 16), docs.doc_id.eqNullSafe(F.col("__gone")), "left_anti")
+# A number of every row: ids may be null or repeated.
+ROW = "__row"
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
+    """Stored rows, each with a number of its own."""
+    return stored(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+
+
+def _without(numbered: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows whose number is not in ``gone``, without the number."""
+    rows = stored(gone.select(F.col(ROW).alias("__gone")), "gone")
+    left = numbered.join(bounded(rows, 16), numbered[ROW] == F.col("__gone"), "left_anti")
+    return left.drop(ROW)
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents that the classifier does not call toxic."""
-    scores = toxicity_scores(docs, spark.read.parquet(f"{folder}/labels.parquet"))
+    docs = _numbered(docs)
+    scores = toxicity_scores(docs, spark.read.parquet(f"{folder}/labels.parquet"), row=ROW)
     return _without(docs, scores.where("predicted = 1"))
 
 
@@ -40,14 +51,22 @@ def remove_lines(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame
 
 
 def remove_near_duplicates(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """One document of every group of near copies, that with the smallest id."""
-    return _without(docs, near_duplicates(docs).where("not kept"))
+    """One row of every group of near copies, the first of those with the smallest id.
+
+    A row without an id stays only where no row of its group has one.
+    """
+    docs = _numbered(docs)
+    # Ordered by id, nulls last, and never the same for two rows.
+    key = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", ROW)
+    found = near_duplicates(docs.select(key.alias("key"), "text"), "key")
+    return _without(docs, found.where("not kept").select(f"key.{ROW}"))
 
 
 def remove_contaminated(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
     items = spark.read.parquet(f"{folder}/benchmark.parquet")
-    return _without(docs, decontaminate(docs, items).where("contaminated"))
+    docs = _numbered(docs)
+    return _without(docs, decontaminate(docs, items, ROW).where("contaminated"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:

@@ -4,6 +4,7 @@ from collections import defaultdict
 
 import corpus_pipeline
 from helpers import EDGES, SCHEMA, components, contaminated, dedup_lines, frame, near_links
+from pyspark.sql import functions as F
 from test_tokens import crc, expected, fits
 
 from tracemill.llm.stored import stored
@@ -77,3 +78,38 @@ def test_stages_on_odd_tables(spark):
             kept = now
         packed = corpus_pipeline.pack_sequences(spark, docs, FOLDER)
         assert packed.count() >= kept and (kept > 0) == bool(rows)
+
+
+def test_stages_remove_rows_not_ids(spark):
+    docs = frame(spark, EDGES)
+    for name, apply in corpus_pipeline.STAGES[:-1]:
+        docs = stored(apply(spark, docs, FOLDER), name)
+    kept = sorted((str(r.doc_id), str(r.text)[:9]) for r in docs.collect())
+    wanted = [(key, text) for key, text, *_ in EDGES if key != 5 and (key, text) != (None, "one")]
+    assert kept == sorted((str(key), str(text)[:9]) for key, text in wanted)
+
+    item = spark.read.parquet(f"{FOLDER}/benchmark.parquet").where("length(text) > 100").first().text
+    rows = [(key, text) for key in (None, 3) for text in (item, f"clean words {key}", f"others {key}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = stage("decontamination")(spark, docs, FOLDER).collect()
+    assert {(r.doc_id, r.text) for r in left} == {row for row in rows if row[1] != item}
+
+    copies = [(3, "the same words"), (3, "the same words"), (None, "the same words"), (3, "unlike")]
+    copies += [(None, "copies without an id"), (None, "copies without an id"), (None, None)]
+    docs = spark.createDataFrame(copies, "doc_id long, text string")
+    left = stage("near_dedup")(spark, docs, FOLDER).collect()
+    wanted = [("3", "the same words"), ("3", "unlike"), ("None", "None"), ("None", "copies without an id")]
+    assert sorted((str(r.doc_id), str(r.text)) for r in left) == wanted
+
+
+def test_toxic_rows_leave_alone(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    labels = spark.read.parquet(f"{FOLDER}/labels.parquet")
+    scores = stored(toxicity_scores(docs, labels), "scores")
+    gone = scores.where("predicted = 1").orderBy("doc_id").first().doc_id
+    clean = scores.where("predicted = 0").orderBy("doc_id").first().doc_id
+    pair = docs.where(docs.doc_id.isin(gone, clean)).withColumn("doc_id", F.lit(None).cast("long"))
+    docs = stored(docs.unionByName(pair), "documents")
+    left = stage("toxicity")(spark, docs, FOLDER)
+    assert left.where("doc_id is null").count() == 1
+    assert left.count() == scores.where("predicted = 0").count() + 1

@@ -75,6 +75,7 @@ def toxicity_scores(
     identity_terms: Sequence[str] = IDENTITY_TERMS,
     training: int = TRAINING_ROWS,
     swap_penalty: float = SWAP_PENALTY,
+    row: str | None = None,
 ) -> DataFrame:
     """Scores of all documents by a classifier fitted on the labelled ones.
 
@@ -84,8 +85,8 @@ def toxicity_scores(
     digits and of other characters outside ASCII, with A-Z as a-z. A null or empty
     text has no words and gets the score of the bias. Without labelled rows, or with
     none that is toxic, scores stay at the share of toxic rows, at least 0.01.
-    Repeated rows get equal scores; equal texts count once in training. No other
-    columns are used.
+    Repeated rows get equal scores; equal texts count once in training. A column
+    ``row`` of longs is returned with its row. No other columns are used.
     """
     terms, begun = _term_hashes(identity_terms)
     table = training_rows(
@@ -101,15 +102,18 @@ def toxicity_scores(
     fitted = fit(table, terms, swap_penalty, begun)
     model = docs.sparkSession.sparkContext.broadcast(fitted)
     kind = docs.schema[doc_id].dataType.simpleString()
-    return texts_of(
+    scored = texts_of(
         docs,
         F.col(doc_id).alias("id"),
         held_out(F.col(doc_id)).alias("held_out"),
         F.col(text).alias("text"),
+        (F.col(row) if row else F.lit(None)).cast("long").alias("number"),
     ).mapInArrow(
         lambda batches: _scored(batches, model.value, threshold),
-        f"id {kind}, held_out boolean, score double, predicted int",
-    ).withColumnRenamed("id", doc_id)
+        f"id {kind}, held_out boolean, score double, predicted int, number long",
+    )
+    found = scored.withColumnRenamed("id", doc_id)
+    return found.withColumnRenamed("number", row) if row else found.drop("number")
 
 
 def fit(
@@ -254,6 +258,7 @@ def _scored(
                     batch.column("held_out").slice(block.low, rows),
                     pa.array(scores),
                     pa.array((scores >= threshold).astype(np.int32)),
+                    batch.column("number").slice(block.low, rows),
                 ],
-                ["id", "held_out", "score", "predicted"],
+                ["id", "held_out", "score", "predicted", "number"],
             )
