@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from tracemill.llm import near_dedup
 from tracemill.llm.components import components as spark_components
 from tracemill.llm.decontaminate import decontaminate
-from tracemill.llm.licenses import license_scan, templates
+from tracemill.llm.licenses import license_scan, license_texts, templates
 from tracemill.llm.line_dedup import CuckooFilter, dedup_lines, line_index
 from tracemill.llm.line_frequency import Rules, quality_rules
 from tracemill.llm.near_dedup import near_duplicates
@@ -373,3 +373,46 @@ def test_license_scan_is_native(spark):
     found = license_scan(docs, templates(spark), F.col("source"))
     plan = found._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+MIT_FILE = """MIT License
+
+Copyright (c) 2019 Some One <some@one.example> and others
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE.
+"""
+
+
+def test_license_files_and_spdx_headers(spark):
+    texts = {r.license: r.text for r in license_texts(spark).collect()}
+    rows = [
+        ("m/LICENSE", MIT_FILE, "MIT", "file"),
+        ("m/src/deep/x.py", prose(1, 40), "MIT", "inherited"),
+        ("m/src/a.rs", f"// SPDX-License-Identifier: Apache-2.0\n{prose(2, 40)}", "Apache-2.0", "header"),
+        ("m/b.c", f"/* spdx-license-identifier: (GPL-2.0-only WITH Linux-syscall-note) */\n{prose(3, 40)}", "GPL-2.0", "header"),
+        ("n/c.c", f"# SPDX-License-Identifier: GPL-3.0-or-later\r\n{prose(4, 40)}", "GPL-3.0", "header"),
+        ("n/d.c", f"# SPDX-License-Identifier: LicenseRef-Own\n{prose(5, 40)}", None, None),
+        ("n/e.md", "The licence of the software in the book is the one of the author of the text, and the copyright of it is with the author.", None, None),
+    ]
+    rows += [(f"k{i}/COPYING", f"Copyright 2020 A Person\n\n{text}", name, "file") for i, (name, text) in enumerate(texts.items())]
+    rows += [(f"k{i}/sub/f", prose(10 + i, 30), name, "inherited") for i, name in enumerate(texts)]
+    docs = spark.createDataFrame([(i, *row[:2]) for i, row in enumerate(rows)], "doc_id long, path string, text string")
+    found = license_scan(docs, templates(spark), F.col("path"), full_texts=license_texts(spark))
+    found = found.orderBy("doc_id").collect()
+    assert [(r.path, r.license, r.origin) for r in found] == [(r[0], r[2], r[3]) for r in rows]

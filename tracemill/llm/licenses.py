@@ -2,14 +2,19 @@
 
 Lines that speak of a licence are headers. A header, and the whole text of a
 document that has one, is a sparse vector of its words, weighted by how rare they
-are among all headers, and is compared with the templates by cosine. A document
-whose whole text is like a template is a licence file: it also holds for the
-documents below its directory that show no licence of their own, the nearest
-directory first. DataFrame functions only.
+are among all headers, and is compared with the templates by cosine. Whole texts are
+also compared with the texts of licences, in which words are weighted by how rare
+they are among these texts. A document whose whole text is like a template or a
+licence's text is a licence file: it also holds for the documents below its
+directory that show no licence of their own, the nearest directory first. An SPDX
+identifier in a header names its licence. DataFrame functions only.
 """
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,6 +41,13 @@ TEMPLATES = (
     ("Unlicense", "Released into the public domain under the Unlicense"),
 )
 
+# Whole texts, named by their SPDX identifiers.
+TEXTS = Path(__file__).resolve().parent / "license_texts"
+
+# What follows names licences; how a version is meant does not count.
+SPDX = r"(?i)SPDX-License-Identifier:(.*)"
+SPDX_END = r"(-only|-or-later|\+)$"
+
 CUE = r"(?i)licen[cs]|copyright|spdx|public domain"
 WORD = r"[^a-z0-9.+-]+"
 EDGE = r"^[.+-]+|[.+-]+$"
@@ -46,6 +58,14 @@ def templates(spark: SparkSession) -> DataFrame:
     return rows_frame(spark, TEMPLATES, "license string, text string")
 
 
+def license_texts(spark: SparkSession) -> DataFrame:
+    """Whole licences as a table of ``license`` and ``text``."""
+    texts = {file.stem: file.read_text("utf-8") for file in sorted(TEXTS.glob("*.txt"))}
+    # The Affero licence is GPL-3.0 under another name, but for its section 13.
+    texts["AGPL-3.0"] = re.sub(r"(?i)GNU(\s+)General", r"GNU Affero\1General", texts["GPL-3.0"])
+    return rows_frame(spark, [*texts.items()], "license string, text string")
+
+
 def license_scan(
     docs: DataFrame,
     known: DataFrame,
@@ -54,14 +74,17 @@ def license_scan(
     text: str = "text",
     header_cosine: float = 0.6,
     file_cosine: float = 0.6,
+    full_texts: DataFrame | None = None,
+    full_cosine: float = 0.8,
 ) -> DataFrame:
     """The licence of every document and where it comes from.
 
-    ``known`` has ``license`` and ``text``, ``path`` gives a document's place, with ``/``
-    between directories. Returns one row per row of ``docs``: its id, ``path``,
+    ``known`` and ``full_texts``, notices and whole licences, have ``license`` and
+    ``text``, ``path`` gives a document's place, with ``/`` between directories. Returns one row per row of ``docs``: its id, ``path``,
     ``n_headers`` (lines with a cue), ``license``, ``cosine`` (six places) and ``origin``:
-    ``file`` if the whole text is like a template, ``header`` if a line is,
-    ``inherited`` if the nearest directory above with a licence file has one, else
+    ``file`` if the whole text is like a template or a whole licence, ``header`` if a
+    line is like a template or names a known licence after ``SPDX-License-Identifier:``
+    (cosine 1), ``inherited`` if the nearest directory above with a licence file has one, else
     null. Of several the one with the largest cosine counts, then the first name. A
     null or empty text has no header; without a path nothing is inherited. Rows
     that repeat a path and an id are told apart. No other columns are used.
@@ -91,25 +114,15 @@ def license_scan(
         shapes.groupBy("word").agg(F.count("*").alias("texts")), "license-words"
     )
     number = headers.count() + named.count()
-    idf = F.log((1 + number) / (1 + F.coalesce("texts", F.lit(0)))) + 1
-
-    def vectors(frame: DataFrame, *keys: str) -> DataFrame:
-        weighed = _words(frame, *keys).join(rarity, "word", "left").withColumn("w", F.col("n") * idf)
-        norms = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return weighed.join(norms, [*keys]).select(*keys, "word", (F.col("w") / F.col("norm")).alias("w"))
-
-    models = stored(vectors(named, "license", "row"), "license-models").withColumnsRenamed(
-        {"row": "template", "w": "other"}
-    )
-    texts = headers.unionByName(wholes)
-    best = (
-        vectors(texts, "row", "place")
-        .join(models, "word")
-        .groupBy("row", "place", "license", "template")
-        .agg(F.sum(F.col("w") * F.col("other")).alias("cosine"))
-        .groupBy("row", (F.col("place") < 0).alias("is_file"))
-        .agg(F.min(F.struct((-F.round("cosine", 6)).alias("less"), "license")).alias("best"))
-    )
+    best = _nearest(headers.unionByName(wholes), named, rarity, number)
+    least = F.when(F.col("is_file"), F.lit(file_cosine)).otherwise(header_cosine)
+    best = best.where(F.col("best.less") <= -least).unionByName(_spdx(headers, known, full_texts))
+    if full_texts is not None:
+        full = full_texts.select("license", "text").distinct()
+        full = full.select(F.xxhash64("license", "text").alias("row"), "license", "text")
+        rarity = _words(full, "row").groupBy("word").agg(F.count("*").alias("texts"))
+        whole = _nearest(wholes, full, stored(rarity, "license-words"), full.count())
+        best = best.unionByName(whole.where(F.col("best.less") <= -full_cosine))
     own = best.groupBy("row").agg(
         F.min(F.when(F.col("is_file"), F.col("best"))).alias("file"),
         F.min(F.when(~F.col("is_file"), F.col("best"))).alias("header"),
@@ -119,16 +132,9 @@ def license_scan(
         .join(own, "row", "left")
         .withColumn(
             "origin",
-            F.when(F.col("file.less") <= -file_cosine, "file").when(
-                F.col("header.less") <= -header_cosine, "header"
-            ),
-        )
-        .withColumn(
-            "best",
-            F.when(F.col("origin") == "file", F.col("file")).when(
-                F.col("origin") == "header", F.col("header")
-            ),
+            F.when(F.col("file").isNotNull(), "file").when(F.col("header").isNotNull(), "header"),
         )
+        .withColumn("best", F.coalesce("file", "header"))
         .withColumn("directory", _directory(F.col("path")))
         .drop("file", "header"),
         "license-direct",
@@ -150,6 +156,49 @@ def license_scan(
     )
 
 
+def _nearest(texts: DataFrame, named: DataFrame, rarity: DataFrame, number: int) -> DataFrame:
+    """``best`` for every ``row`` and ``is_file``: less the largest cosine, and its licence."""
+    idf = F.log((1 + number) / (1 + F.coalesce("texts", F.lit(0)))) + 1
+
+    def vectors(frame: DataFrame, *keys: str) -> DataFrame:
+        weighed = _words(frame, *keys).join(rarity, "word", "left").withColumn("w", F.col("n") * idf)
+        norms = weighed.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+        return weighed.join(norms, [*keys]).select(*keys, "word", (F.col("w") / F.col("norm")).alias("w"))
+
+    models = stored(vectors(named, "license", "row"), "license-models").withColumnsRenamed(
+        {"row": "template", "w": "other"}
+    )
+    return (
+        vectors(texts, "row", "place")
+        .join(models, "word")
+        .groupBy("row", "place", "license", "template")
+        .agg(F.sum(F.col("w") * F.col("other")).alias("cosine"))
+        .groupBy("row", (F.col("place") < 0).alias("is_file"))
+        .agg(F.min(F.struct((-F.round("cosine", 6)).alias("less"), "license")).alias("best"))
+    )
+
+
+def _spdx(headers: DataFrame, known: DataFrame, full_texts: DataFrame | None) -> DataFrame:
+    """``row``, ``is_file`` and ``best`` of headers with the identifier of a known licence."""
+    names = known.select("license")
+    if full_texts is not None:
+        names = names.unionByName(full_texts.select("license"))
+    names = names.distinct().withColumn("name", _identifier(F.col("license")))
+    said = F.split(F.regexp_extract("text", SPDX, 1), r"[^A-Za-z0-9.+-]+")
+    asked = headers.where(F.col("text").rlike(SPDX)).select("row", F.explode(said).alias("said"))
+    return (
+        asked.select("row", _identifier(F.col("said")).alias("name"))
+        .join(F.broadcast(names), "name")
+        .groupBy("row")
+        .agg(F.min(F.struct(F.lit(-1.0).alias("less"), "license")).alias("best"))
+        .select("row", F.lit(False).alias("is_file"), "best")
+    )
+
+
+def _identifier(name: Column) -> Column:
+    return F.regexp_replace(F.lower(name), SPDX_END, "")
+
+
 def _inherited(direct: DataFrame) -> DataFrame:
     """For every directory the licence of the nearest directory above, or its own."""
     files = (

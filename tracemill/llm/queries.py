@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracemill.llm.decontaminate import decontaminate
-from tracemill.llm.licenses import TEMPLATES, license_scan, templates
+from tracemill.llm.licenses import TEMPLATES, license_scan, license_texts, templates
 from tracemill.llm.line_dedup import dedup_lines
 from tracemill.llm.line_frequency import quality_rules
 from tracemill.llm.near_dedup import near_duplicates
@@ -62,7 +62,8 @@ def op5_pack(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_licenses(spark: SparkSession, folder: str) -> DataFrame:
     path = F.concat_ws("/", "source", "lang", "doc_id")
-    return license_scan(_table(spark, folder, "documents"), templates(spark), path)
+    docs, full = _table(spark, folder, "documents"), license_texts(spark)
+    return license_scan(docs, templates(spark), path, full_texts=full)
 
 
 def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
