@@ -11,6 +11,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tracemill.llm.conversation_repair import (
+    all_conversations,
+    conversation_digests,
+    repair_conversations,
+)
 from tracemill.llm.decontaminate import decontaminate
 from tracemill.llm.licenses import TEMPLATES, license_scan, license_texts, templates
 from tracemill.llm.line_dedup import dedup_lines
@@ -84,6 +89,31 @@ def op10_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2(text, 256).alias("kept_sha256"))
 
 
+def damaged(rows: DataFrame) -> DataFrame:
+    """Conversations with faults put in by a checksum of id and turn; nulls are blanks."""
+    text = {c: F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn", "role", "text")}
+    kind = F.pmod(F.crc32(F.concat(text["conv_id"], F.lit(":"), text["turn"])), F.lit(20))
+    changed = (
+        F.when(kind == 1, F.lit(""))
+        .when(kind == 2, F.translate(text["text"], ".!?", ""))
+        .otherwise(text["text"])
+    )
+    copies = F.when(kind == 0, 0).when(kind == 3, 2).otherwise(1)
+    return rows.select(
+        "conv_id",
+        "turn",
+        F.when(kind == 4, F.lit("user")).otherwise(text["role"]).alias("role"),
+        changed.alias("text"),
+        F.explode(F.array_repeat(F.lit(0), copies)).alias("copy"),
+    )
+
+
+def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations")
+    pieces = repair_conversations(damaged(rows))
+    return all_conversations(conversation_digests(pieces), rows)
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
@@ -95,6 +125,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
+    "op11_conversations": op11_conversations,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -103,6 +134,40 @@ _SPACED = r"'[^\x20\x09-\x0D]+'"
 _ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
 _STRIP = r"' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+# The checksum of a short text, byte by byte.
+_CRC = """xor(list_reduce(list_prepend(4294967295::UBIGINT,
+    list_transform(string_split({text}, ''), lambda x: ord(x)::UBIGINT)), lambda a, b: list_reduce(
+    list_prepend(xor(a, b), list_transform(range(8), lambda z: 0::UBIGINT)), lambda x, y:
+    CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::UBIGINT) ELSE x >> 1 END)),
+    4294967295::UBIGINT)"""
+
+
+def _way(cost: str, letter: str, then: int, line: str | None = None) -> str:
+    """Edit a row and go on in the state ``then`` with the best of the later rows."""
+    lines = f"list_prepend({line}, best[{then}].m)" if line else f"best[{then}].m"
+    return f"{{'c': {cost} + best[{then}].c, 's': '{letter}' || best[{then}].s, 'm': {lines}}}"
+
+
+def _rows_way(state: int) -> str:
+    """The best way from a state on that begins with an edit of the row."""
+    to = {1: 3, 2: 3, 3: 4, 4: 3}[state]
+    role = "assistant" if to == 4 else "user"
+    ways = [_way("4", "D", state)]
+    ways.append(f"CASE WHEN kind <> 'gone' THEN {_way('3 + cut', 'R', to, f"'{role}:' || text")} END")
+    for first, then in {1: {"s": 2, "u": 3}, 2: {"u": 3}, 3: {"a": 4}, 4: {"u": 3}}[state].items():
+        kept = _way("cut", "K", then, "role || ':' || text")
+        ways.append(f"CASE WHEN kind <> 'gone' AND role[1] = '{first}' THEN {kept} END")
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _filled_way(state: int, later: str) -> str:
+    """As it is in the row's ways ``w``, or after one inserted message."""
+    to = {1: 3, 2: 3, 3: 4, 4: 3}[state]
+    line = "assistant:" if to == 4 else "user:"
+    more = f"{{'c': 3 + {later}[{to}].c, 's': 'I' || {later}[{to}].s, 'm': list_prepend('{line}', {later}[{to}].m)}}"
+    return f"list_min([w[{state}], {more}])"
+
+
 _NOTICES = ", ".join(f"('{name}', '{text}')" for name, text in TEMPLATES)
 
 ORACLES = {
@@ -242,4 +307,46 @@ ORACLES = {
         SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (gone))::BIGINT AS n_dropped,
             sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (NOT gone), '')) AS kept_sha256
         FROM judged GROUP BY doc_id""",
+    "op11_conversations": f"""
+        WITH RECURSIVE named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role,
+            coalesce(text, ' ') AS text, {_CRC.format(
+                text="concat(coalesce(conv_id::VARCHAR, ' '), ':', coalesce(turn::VARCHAR, ' '))"
+            )} % 20 AS k FROM conversations),
+        rows AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+            CASE k WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+            unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM named),
+        placed AS (SELECT *, row_number() OVER w AS i, lag(role) OVER w AS before,
+            rtrim(text, {_STRIP}) AS solid,
+            row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS nth
+            FROM rows WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, copy)),
+        judged AS (SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN nth > 1 THEN 'duplicate'
+            WHEN solid[-1] NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM placed),
+        ready AS (SELECT conv_id, i, role, text,
+            CASE WHEN fault IN ('blank', 'duplicate') THEN 'gone' ELSE 'fine' END AS kind,
+            CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS cut FROM judged),
+        step(conv_id, i, best) AS (
+            SELECT conv_id, max(i), [{{'c': 0, 's': '', 'm': []::VARCHAR[]}},
+                {{'c': 6, 's': 'II', 'm': ['user:', 'assistant:']}},
+                {{'c': 3, 's': 'I', 'm': ['assistant:']}}, {{'c': 0, 's': '', 'm': []::VARCHAR[]}}]
+            FROM ready GROUP BY conv_id
+            UNION ALL
+            SELECT conv_id, i - 1, [{', '.join(_filled_way(q, 'o') for q in (1, 2, 3, 4))}]
+            FROM (SELECT *, [{', '.join(_filled_way(q, 'w') for q in (1, 2, 3, 4))}] AS o
+                FROM (SELECT step.conv_id, step.i, [{', '.join(_rows_way(q) for q in (1, 2, 3, 4))}] AS w
+                    FROM step JOIN ready ON ready.i = step.i
+                        AND ready.conv_id IS NOT DISTINCT FROM step.conv_id))),
+        sums AS (SELECT conv_id,
+            coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+            count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+            count(*) FILTER (fault = 'truncated') AS truncated,
+            count(*) FILTER (i > 1 AND before[1] || role[1] NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM judged GROUP BY conv_id),
+        ids AS (SELECT DISTINCT conv_id FROM conversations)
+        SELECT ids.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank,
+            coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated,
+            coalesce(illegal, 0)::BIGINT AS illegal, coalesce(best[1].c, 0)::BIGINT AS cost,
+            coalesce(best[1].s, '') AS audit,
+            sha256(coalesce(array_to_string(best[1].m, chr(10)), '')) AS repaired_sha256
+        FROM ids LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM ids.conv_id
+        LEFT JOIN step ON step.conv_id IS NOT DISTINCT FROM ids.conv_id AND step.i = 0""",
 }
