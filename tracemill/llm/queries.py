@@ -23,11 +23,13 @@ from tracemill.llm.line_frequency import quality_rules
 from tracemill.llm.near_dedup import near_duplicates
 from tracemill.llm.packing import pack, pieces
 from tracemill.llm.quality_fm import quality_scores
+from tracemill.llm.sentence_pieces import decode_pieces, encode_pieces, ids_text
 from tracemill.llm.substring_dedup import drop_repeats
 from tracemill.llm.token_files import tokenize
 from tracemill.llm.toxicity import toxicity_scores
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -114,6 +116,16 @@ def op11_conversations(spark: SparkSession, folder: str) -> DataFrame:
     return all_conversations(conversation_digests(pieces), rows)
 
 
+def op12_pieces(spark: SparkSession, folder: str) -> DataFrame:
+    found = decode_pieces(encode_pieces(_table(spark, folder, "documents"), PIECES), PIECES)
+    return found.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(ids_text(F.col("ids")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
@@ -126,6 +138,7 @@ QUERIES = {
     "op9_toxicity": op9_toxicity,
     "op10_line_dedup": op10_line_dedup,
     "op11_conversations": op11_conversations,
+    "op12_pieces": op12_pieces,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
