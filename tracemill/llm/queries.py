@@ -24,6 +24,7 @@ from tracemill.llm.near_dedup import near_duplicates
 from tracemill.llm.packing import pack, pieces
 from tracemill.llm.quality_fm import quality_scores
 from tracemill.llm.sentence_pieces import decode_pieces, encode_pieces, ids_text
+from tracemill.llm.source_divergence import source_divergence
 from tracemill.llm.substring_dedup import drop_repeats
 from tracemill.llm.token_files import tokenize
 from tracemill.llm.toxicity import toxicity_scores
@@ -126,6 +127,10 @@ def op12_pieces(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op13_divergence(spark: SparkSession, folder: str) -> DataFrame:
+    return source_divergence(_table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_decontaminate": op1_decontaminate,
     "op2_token_files": op2_token_files,
@@ -139,6 +144,7 @@ QUERIES = {
     "op10_line_dedup": op10_line_dedup,
     "op11_conversations": op11_conversations,
     "op12_pieces": op12_pieces,
+    "op13_divergence": op13_divergence,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -362,4 +368,38 @@ ORACLES = {
             sha256(coalesce(array_to_string(best[1].m, chr(10)), '')) AS repaired_sha256
         FROM ids LEFT JOIN sums ON sums.conv_id IS NOT DISTINCT FROM ids.conv_id
         LEFT JOIN step ON step.conv_id IS NOT DISTINCT FROM ids.conv_id AND step.i = 0""",
+    "op13_divergence": rf"""
+        WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang,
+            coalesce(source, '') AS source, regexp_extract_all({_FOLDED},
+                '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+        words AS (SELECT id, lang, source, unnest(w) AS term FROM d),
+        kept AS (SELECT lang, term FROM words GROUP BY ALL HAVING count(DISTINCT id) >= 10),
+        n AS (SELECT lang, source, term, count(*) AS c FROM words SEMI JOIN kept USING (lang, term)
+            GROUP BY ALL),
+        g AS (SELECT DISTINCT lang, source FROM d),
+        v AS (SELECT lang, count(*) AS v FROM kept GROUP BY lang),
+        sums AS (SELECT lang, source, sum(c) AS total FROM n GROUP BY ALL),
+        cells AS (SELECT g.lang, g.source, term, coalesce(c, 0) AS c,
+            1 + 1000000000::HUGEINT * (coalesce(c, 0) + 2) // (coalesce(total, 0) + 2 * v) AS p
+            FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN sums USING (lang, source)
+            LEFT JOIN n USING (lang, source, term)),
+        whole AS (SELECT lang, term, 1 + 1000000000::HUGEINT * (sum(c) + 2)
+            // (any_value(total) + 2 * any_value(v)) AS q
+            FROM n JOIN v USING (lang) JOIN (SELECT lang, sum(c) AS total FROM n GROUP BY lang) USING (lang)
+            GROUP BY lang, term),
+        pairs AS (SELECT a.lang, a.source, b.source AS item,
+            sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS value
+            FROM cells a JOIN cells b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source
+            GROUP BY ALL),
+        every AS (SELECT a.lang, a.source, b.source AS item, coalesce(value, 0) AS value
+            FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+            LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source),
+        own AS (SELECT lang, source, term AS item, (p - q) * (p - q) // (p + q) AS value
+            FROM cells JOIN whole USING (lang, term) WHERE c > 0 AND p > q),
+        ranked AS (SELECT *, 'pair' AS part, row_number() OVER (PARTITION BY lang, source
+                ORDER BY value DESC, item) AS rank FROM every
+            UNION ALL SELECT *, 'term', row_number() OVER (PARTITION BY lang, source
+                ORDER BY value DESC, item) FROM own)
+        SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank
+        FROM ranked WHERE part = 'pair' OR rank <= 10""",
 }
