@@ -80,7 +80,7 @@ def test_forgetting_does_not_change_ids(library):
     assert encoder._known.bytes < 20_000 and len(encoder._known)
     numbers = encoder._known
     common = max(numbers._numbers, key=lambda text: numbers._asked[numbers._numbers[text]])
-    numbers._shrink()
+    numbers.shrink()
     assert common in numbers._numbers and numbers.bytes <= 2000
 
 

@@ -20,6 +20,9 @@ class Remembered:
 
     def __init__(self, most_bytes: int) -> None:
         self._most = most_bytes
+        self._clear()
+
+    def _clear(self) -> None:
         self._numbers: dict[str, int] = {}
         self._begins = np.zeros(1 << 12, np.int64)
         self._counts = np.zeros(1 << 12, np.int64)
@@ -46,7 +49,9 @@ class Remembered:
         texts = pa.LargeStringArray.from_buffers(
             len(begins), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(block.data))
         ).dictionary_encode()
-        numbers = self._of(texts.dictionary.to_pylist(), encode)[texts.indices.to_numpy()]
+        # By way of numpy, which makes the text objects much faster than Arrow's lists.
+        distinct = texts.dictionary.to_numpy(zero_copy_only=False).tolist()
+        numbers = self._of(distinct, encode)[texts.indices.to_numpy()]
         sizes = self._counts[numbers]
         ids = self._ids[ragged(self._begins[numbers], sizes)]
         ends = np.concatenate([[0], np.cumsum(sizes)])
@@ -54,7 +59,7 @@ class Remembered:
 
     def _of(self, texts: list[str], encode: Callable) -> np.ndarray:
         if self.bytes > self._most:
-            self._shrink()
+            self.shrink()
         known = self._numbers
         numbers = np.fromiter(map(known.get, texts, repeat(-1)), np.int64, len(texts))
         places = np.flatnonzero(numbers < 0)
@@ -83,15 +88,18 @@ class Remembered:
         self._numbers.update(zip(texts, range(low, high)))
         return np.arange(low, high)
 
-    def _shrink(self) -> None:
-        """Keep those asked for most, up to half of the budget."""
+    def shrink(self, most_bytes: int | None = None) -> None:
+        """Keep those asked for most, up to half of the budget or so many bytes."""
+        most = self._most // 2 if most_bytes is None else most_bytes
+        if self.bytes <= most:
+            return
         count = len(self._numbers)
         texts = list(self._numbers)  # in order of their numbers
         cost = _ENTRY_BYTES + 4 * self._counts[:count] + np.fromiter(map(len, texts), np.int64, count)
         order = np.argsort(-self._asked[:count].astype(np.int64), kind="stable")
-        keep = np.sort(order[np.cumsum(cost[order]) <= self._most // 2])
+        keep = np.sort(order[np.cumsum(cost[order]) <= most])
         begins, counts, asked, ids = self._begins[keep], self._counts[keep], self._asked[keep], self._ids
-        self.__init__(self._most)
+        self._clear()
         self._add([texts[i] for i in keep.tolist()], ids[ragged(begins, counts)], counts)
         self._asked[: len(keep)] = asked >> 1  # what was common long ago fades
         pa.default_memory_pool().release_unused()

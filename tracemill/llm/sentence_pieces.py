@@ -9,9 +9,9 @@ it begins with; where none is left, the place is marked in a bitfield as failed,
 piece before is taken back, and no piece is tried again that ends at a marked place.
 Every place fails once at most, so the time is linear in the text.
 
-Merges never go over a character that is in no piece, nor, if no piece holds a blank
-after something else, over the beginning of a word. Words come again and again; their
-ids are remembered within a budget of bytes.
+Merges never go over a character that is in no piece, nor between two characters that
+no piece has side by side. A text is cut there, as far as these are of ASCII. The same
+stretches come again and again; their ids are remembered within a budget of bytes.
 """
 
 from __future__ import annotations
@@ -136,8 +136,14 @@ class PieceEncoder:
         self._letters = frozenset(piece for piece in own if len(piece) == 1)
         known = "".join(map(re.escape, sorted(self._letters)))
         self._runs = re.compile(f"[{known}]+|[^{known}]") if known else re.compile("(?s:.)")
-        # Whether words may be encoded one by one.
-        self._words = not any(BLANK in piece.lstrip(BLANK) for piece in own)
+        # By two bytes of a text: whether it is cut between them. A sign for a blank ends
+        # with a byte above ASCII, so there is no cut after it.
+        self._cut = np.zeros((256, 256), bool)
+        self._cut[:128, :128] = True
+        for pair in {piece[i : i + 2] for piece in own for i in range(len(piece) - 1)}:
+            plain = pair.replace(BLANK, " ")
+            if plain.isascii():
+                self._cut[ord(plain[0]), ord(plain[1])] = False
         self._fits: dict[int, bool] = {}
         self._known = Remembered(REMEMBERED_BYTES)
 
@@ -151,11 +157,10 @@ class PieceEncoder:
             data = np.insert(block.data, begins, 32)
             block = Block(0, rows, data, block.starts + np.searchsorted(begins, block.starts))
             begins = begins + np.arange(len(begins))
-        if self._words:
-            cuts = _word_begins(block.data)
-            cuts[begins] = True
-            begins = np.flatnonzero(cuts)
-        return self._known.ids(block, begins, self._encoded)
+        cuts = np.zeros(len(block.data), bool)
+        cuts[1:] = self._cut[block.data[:-1], block.data[1:]]
+        cuts[begins] = True
+        return self._known.ids(block, np.flatnonzero(cuts), self._encoded)
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids: list[int] = []
@@ -232,18 +237,6 @@ class PieceEncoder:
             parts[where : where + 2] = [parts[where] + parts[where + 1]]
 
 
-def _word_begins(data: np.ndarray) -> np.ndarray:
-    """Which bytes are blanks after something that is no blank, and not the sign for one."""
-    blank = data == 32
-    cuts = np.zeros(len(data), bool)
-    cuts[1:] = blank[1:] & ~blank[:-1]
-    if len(data) > 3:
-        sign = np.frombuffer(BLANK.encode(), np.uint8)
-        after = (data[:-3] == sign[0]) & (data[1:-2] == sign[1]) & (data[2:-1] == sign[2])
-        cuts[3:] &= ~after
-    return cuts
-
-
 @lru_cache(maxsize=2)
 def piece_encoder(path: str) -> PieceEncoder:
     """The encoder of a model file, made once in a worker."""

@@ -1,7 +1,8 @@
 """Token ids of whole texts, by the tokenizers library.
 
 A byte-level BPE cuts a text into pieces before it merges, and it always cuts
-between a character that is no white space and white space after it. The same
+between a character that is no white space and white space after it, and between a
+letter and punctuation after it that is no apostrophe. The same
 stretches between such places come again and again, so a block's stretches are
 dictionary-encoded, only new ones go through the tokenizer, and the ids of a text
 are those of its stretches in order. A tokenizer of another kind gets whole texts.
@@ -10,7 +11,6 @@ are those of its stretches in order. A tokenizer of another kind gets whole text
 from __future__ import annotations
 
 import json
-from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
@@ -18,35 +18,25 @@ import pyarrow as pa
 from tokenizers import Tokenizer
 
 from tracemill.llm.arrow_text import SPACED, Block, ragged
+from tracemill.llm.remembered import Remembered
 
 _SPACES = " \t\n\x0b\x0c\r"
 
-# Stretches remembered by one Python worker; all are dropped when there are more, and
-# at the end of a task, so that an idle worker does not hold them.
-REMEMBERED = 300_000
+# Letters and punctuation of ASCII; an apostrophe may be cut elsewhere.
+_LETTERS = np.array([65 <= i <= 90 or 97 <= i <= 122 for i in range(256)])
+_MARKS = np.array([33 <= i <= 126 and not chr(i).isalnum() and i != 39 for i in range(256)])
 
+# Bytes of stretches and ids that one Python worker remembers while a task runs, and
+# how many it keeps between tasks, when other operators need the room.
+REMEMBERED = 64 << 20
+KEPT = 16 << 20
 
-@dataclass
-class _Known:
+
+class _Known(Remembered):
     """Ids of stretches that were encoded before."""
 
-    numbers: dict[str, int] = field(default_factory=dict)
-    begins: np.ndarray = field(default_factory=lambda: np.zeros(1 << 16, np.int64))
-    counts: np.ndarray = field(default_factory=lambda: np.zeros(1 << 16, np.int64))
-    ids: np.ndarray = field(default_factory=lambda: np.zeros(1 << 18, np.uint32))
-    used: int = 0
-
-    def add(self, texts: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
-        low, high, total = len(self.numbers), len(self.numbers) + len(texts), len(ids)
-        while high > len(self.begins):
-            self.begins, self.counts = (np.resize(x, 2 * len(x)) for x in (self.begins, self.counts))
-        while self.used + total > len(self.ids):
-            self.ids = np.resize(self.ids, 2 * len(self.ids))
-        self.counts[low:high] = sizes
-        self.begins[low:high] = self.used + np.cumsum(sizes) - sizes
-        self.ids[self.used : self.used + total] = ids
-        self.used += total
-        self.numbers.update(zip(texts, range(low, high)))
+    def __init__(self) -> None:
+        super().__init__(REMEMBERED)
 
 
 class Encoder:
@@ -72,8 +62,13 @@ class Encoder:
             words = self._tokenizer.get_vocab(with_added_tokens=False)
             self._bytes = np.zeros(self.size, np.int64)
             self._bytes[list(words.values())] = [len(word) for word in words]
+            # Not before marks that follow a letter in a special token.
+            self._marks = _MARKS.copy()
             for number, token in self._tokenizer.get_added_tokens_decoder().items():
                 self._bytes[number] = len(token.content.encode())
+                for before, mark in zip(token.content, token.content[1:]):
+                    if before.isalpha() and mark.isascii():
+                        self._marks[ord(mark)] = False
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a block in order, and how many each row has."""
@@ -86,52 +81,46 @@ class Encoder:
                 np.array([i for ids in found for i in ids], np.uint32),
                 np.fromiter(map(len, found), np.int64, rows),
             )
-        begins = _stretch_begins(block)
-        offsets = np.append(begins, len(block.data)).astype(np.int64)
-        texts = pa.LargeStringArray.from_buffers(
-            len(begins), pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(block.data))
-        ).dictionary_encode()
-        numbers = self._numbers(texts.dictionary.to_pylist())[texts.indices.to_numpy()]
-        known = self._known
-        sizes = known.counts[numbers]
-        ids = known.ids[ragged(known.begins[numbers], sizes)]
-        ends = np.concatenate([[0], np.cumsum(sizes)])
-        return ids, np.diff(ends[np.searchsorted(begins, block.starts)])
+        return self._known.ids(block, _stretch_begins(block, self._marks), self._new)
 
     def forget(self) -> None:
-        """Drop what is remembered and give the memory back."""
-        self._known = _Known()
+        """Drop all but the most common of what is remembered, and give the memory back."""
+        self._known.shrink(KEPT)
         pa.default_memory_pool().release_unused()
 
-    def _numbers(self, texts: list[str]) -> np.ndarray:
-        known = self._known
-        new = [text for text in texts if text not in known.numbers]
-        if len(known.numbers) + len(new) > REMEMBERED:
-            known = self._known = _Known()
-            new = texts
-        if new:
-            # Stretches that begin with white space and end without it can follow one
-            # another in one call: the cuts between them stay. A token's length in
-            # bytes then tells which stretch it belongs to.
-            follows = [text[0] in _SPACES and not text[-1].isspace() for text in new]
-            joined = [text for text, ok in zip(new, follows) if ok]
+    def _new(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some stretches in order, and how many each has."""
+        # Stretches that begin with white space and end without it can follow one
+        # another in one call: the cuts between them stay. A token's length in
+        # bytes then tells which stretch it belongs to.
+        follows = np.array([text[0] in _SPACES and not text[-1].isspace() for text in texts], bool)
+        joined = [texts[i] for i in np.flatnonzero(follows).tolist()]
+        whole = "".join(joined)
+        sizes = np.fromiter(map(len, joined), np.int64, len(joined))
+        if not whole.isascii():
             sizes = np.fromiter((len(text.encode()) for text in joined), np.int64, len(joined))
-            ids = np.array(self._call(["".join(joined)])[0], np.uint32)
-            ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(sizes)) + 1
-            known.add(joined, ids, np.diff(ends, prepend=0))
-            single = [text for text, ok in zip(new, follows) if not ok]
-            found = self._call(single)
-            flat = np.array([i for one in found for i in one], np.uint32)
-            known.add(single, flat, np.fromiter(map(len, found), np.int64, len(found)))
-        return np.fromiter(map(known.numbers.__getitem__, texts), np.int64, len(texts))
+        ids = np.array(self._call([whole])[0], np.uint32)
+        ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(sizes)) + 1
+        counts = np.empty(len(texts), np.int64)
+        counts[follows] = np.diff(ends, prepend=0)
+        if follows.all():
+            return ids, counts
+        found = self._call([texts[i] for i in np.flatnonzero(~follows).tolist()])
+        counts[~follows] = np.fromiter(map(len, found), np.int64, len(found))
+        # Put side by side, then in the order of the texts.
+        flat = np.concatenate([ids, np.array([i for one in found for i in one], np.uint32)])
+        begins = np.empty(len(texts), np.int64)
+        order = np.concatenate([np.flatnonzero(follows), np.flatnonzero(~follows)])
+        begins[order] = np.cumsum(counts[order]) - counts[order]
+        return flat[ragged(begins, counts)], counts
 
     def _call(self, texts: list[str]) -> list[list[int]]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [one.ids for one in found]
 
 
-def _stretch_begins(block: Block) -> np.ndarray:
-    """Row starts, and white space after what surely is none."""
+def _stretch_begins(block: Block, marks: np.ndarray) -> np.ndarray:
+    """Row starts, white space after what surely is none, and marks after letters."""
     data, starts = block.data, block.starts
     solid = SPACED[data]
     cuts = np.zeros(len(data), bool)
@@ -141,6 +130,7 @@ def _stretch_begins(block: Block) -> np.ndarray:
         odd = np.flatnonzero(cuts[2:] & (data[1:-1] >= 0x80)) + 2
         lead, last = data[odd - 2], data[odd - 1]
         cuts[odd[((lead == 0xC2) | ((lead >= 0x80) & (lead < 0xC0))) & (last < 0xB0)]] = False
+    cuts[1:] |= marks[data[1:]] & _LETTERS[data[:-1]]
     cuts[starts[:-1][starts[:-1] < len(data)]] = True
     return np.flatnonzero(cuts)
 
