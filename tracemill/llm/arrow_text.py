@@ -8,10 +8,11 @@ words are hashed piece by piece, so that a piece's work arrays stay bounded.
 
 from __future__ import annotations
 
+import ctypes
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -195,3 +196,23 @@ def list_array(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.
     offsets = np.zeros(len(counts) + 1, np.int32)
     np.cumsum(counts, out=offsets[1:])
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+def give_back() -> None:
+    """Hand memory that is free back to the system; an idle worker would hold it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a system without such a call
+        pass
+
+
+def giving_back(task: Callable) -> Callable:
+    """A task over batches that hands free memory back when it ends."""
+
+    @wraps(task)
+    def run(*args, **options):
+        yield from task(*args, **options)
+        give_back()
+
+    return run

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from tracemill.llm.arrow_text import (
     ALNUM,
     find_words,
+    giving_back,
     hash_windows,
     hash_words,
     list_array,
@@ -182,6 +183,7 @@ def _spans(occurrences: DataFrame) -> DataFrame:
     return runs.groupBy("row").agg(F.sort_array(F.collect_list(span)).alias("spans"))
 
 
+@giving_back
 def _item_windows(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in text_blocks(batch.column("text")):
@@ -231,6 +233,7 @@ def _met(block, asked: BitFilter, sizes: list[int]):
     return words, np.concatenate(places), np.concatenate(grams)
 
 
+@giving_back
 def _shingle_counts(
     batches: Iterator[pa.RecordBatch], asked: BitFilter, sizes: list[int]
 ) -> Iterator[pa.RecordBatch]:
@@ -243,6 +246,7 @@ def _shingle_counts(
             )
 
 
+@giving_back
 def _document_hits(
     batches: Iterator[pa.RecordBatch], asked: BitFilter, sizes: list[int], window: int
 ) -> Iterator[pa.RecordBatch]:

@@ -12,14 +12,17 @@ keys, and keys that cross the limit enter or leave the filters.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.llm.stored import stored
 
+if TYPE_CHECKING:  # not in workers that need no pandas
+    import pandas as pd
+
 # What is stripped from a line and how its case is folded.
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -142,6 +145,8 @@ class LineIndex:
         )
 
         def change(shard: tuple, old: pd.DataFrame, keys: pd.DataFrame) -> pd.DataFrame:
+            import pandas as pd
+
             hashes = keys["hash"].to_numpy(np.int64).view(np.uint64)
             enters = keys["enters"].to_numpy(bool)
             made = _unpacked(old["cells"].iloc[0]) if len(old) else CuckooFilter.of(hashes[enters])
@@ -302,6 +307,8 @@ def _summed(counts: DataFrame) -> DataFrame:
 
 def _made(keys: DataFrame) -> DataFrame:
     def make(shard: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         made = CuckooFilter.of(rows["hash"].to_numpy(np.int64).view(np.uint64))
         return pd.DataFrame({"shard": [shard[0]], "cells": [made.cells.tobytes()]})
 

@@ -21,7 +21,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +28,8 @@ from pyspark.sql import functions as F
 from tracemill.llm.arrow_text import (
     Block,
     find_words,
+    give_back,
+    giving_back,
     hash_windows,
     hash_words,
     list_array,
@@ -230,6 +231,7 @@ def _banded(samples: np.ndarray) -> np.ndarray:
     return found.T
 
 
+@giving_back
 def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     numbers = RowNumbers()
     for batch in batches:
@@ -257,6 +259,7 @@ def _signatures(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.Re
             )
 
 
+@giving_back
 def _sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
     """Sets of rows whose words are those of the node they were joined with."""
     for batch in batches:
@@ -319,6 +322,8 @@ def _confirmed(table: pa.Table, similarity: int) -> pa.Table:
         high.append(own[moved])
         low.append(own[found[moved]])
     none = np.empty(0, np.int64)
+    del table, lists, flat
+    give_back()
     return pa.table(
         {"high": np.concatenate([none, *high]), "low": np.concatenate([none, *low])}
     )

@@ -29,7 +29,12 @@ import sentencepiece
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracemill.llm.arrow_text import Block, list_array, text_blocks
+from tracemill.llm.arrow_text import (
+    Block,
+    giving_back,
+    list_array,
+    text_blocks,
+)
 from tracemill.llm.remembered import Remembered
 from tracemill.llm.stored import texts_of
 
@@ -260,6 +265,7 @@ def encode_pieces(docs: DataFrame, model: str, doc_id: str = "doc_id", text: str
     return asked.mapInArrow(partial(_encode, path=model), f"doc_id {kind}, ids array<int>")
 
 
+@giving_back
 def _encode(batches: Iterable[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     encoder = piece_encoder(path)
     for batch in batches:
@@ -292,6 +298,7 @@ def decode_pieces(rows: DataFrame, model: str, ids: str = "ids", text: str = "de
     return kept.mapInArrow(partial(_decode, path=model, ids=where, text=text), schema)
 
 
+@giving_back
 def _decode(
     batches: Iterable[pa.RecordBatch], path: str, ids: int, text: str
 ) -> Iterator[pa.RecordBatch]:

@@ -27,7 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracemill.llm.arrow_text import find_words, hash_words, mixed, ragged, text_blocks
+from tracemill.llm.arrow_text import (
+    find_words,
+    giving_back,
+    hash_words,
+    mixed,
+    ragged,
+    text_blocks,
+)
 from tracemill.llm.stored import BitFilter, bit_filter, bounded, stored, texts_of
 
 MIN_DOCS = 10
@@ -154,6 +161,7 @@ def _terms_of(block, langs: list[str], low: int) -> tuple:
     return words, rows, mixed(hash_words(block, words, lower=True) + seeds[rows])
 
 
+@giving_back
 def _count_hashes(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many documents of the task hold each term, by hash."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -227,6 +235,7 @@ class _Counts:
             )
 
 
+@giving_back
 def _count_terms(batches: Iterable[pa.RecordBatch], wanted: BitFilter) -> Iterator[pa.RecordBatch]:
     counts = _Counts()
     for batch in batches:

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracemill.session import scratch_path
 
+if TYPE_CHECKING:  # not in workers that need no pandas
+    import pandas as pd
+
 # A joined side of more bytes than this is shuffled, not broadcast. It bounds
 # what every executor holds; both ways give the same rows.
 BROADCAST_BYTES = 16 << 20
@@ -96,6 +99,8 @@ def bit_filter(hashes: DataFrame, count: int, bits_each: int = 64) -> BitFilter:
     slot = F.shiftrightunsigned("hash", 64 - bits)
 
     def fill(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        import pandas as pd
+
         cells = np.zeros(1 << _SEGMENT_BITS, bool)
         cells[rows["place"].to_numpy()] = True
         packed = np.packbits(cells, bitorder="little").tobytes()

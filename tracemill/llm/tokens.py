@@ -14,10 +14,9 @@ import json
 from functools import lru_cache
 
 import numpy as np
-import pyarrow as pa
 from tokenizers import Tokenizer
 
-from tracemill.llm.arrow_text import SPACED, Block, ragged
+from tracemill.llm.arrow_text import SPACED, Block, give_back, ragged
 from tracemill.llm.remembered import Remembered
 
 _SPACES = " \t\n\x0b\x0c\r"
@@ -86,7 +85,7 @@ class Encoder:
     def forget(self) -> None:
         """Drop all but the most common of what is remembered, and give the memory back."""
         self._known.shrink(KEPT)
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     def _new(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some stretches in order, and how many each has."""

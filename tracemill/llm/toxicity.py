@@ -23,6 +23,7 @@ from tracemill.llm.arrow_text import (
     Block,
     Words,
     find_words,
+    giving_back,
     hash_words,
     list_array,
     mixed,
@@ -215,6 +216,7 @@ def _distinct(keys: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
     return keys & ((1 << WORD_BITS) - 1), np.bincount(keys >> WORD_BITS, minlength=rows)
 
 
+@giving_back
 def _training_features(
     batches: Iterator[pa.RecordBatch], terms: np.ndarray
 ) -> Iterator[pa.RecordBatch]:
@@ -241,6 +243,7 @@ def _training_features(
             )
 
 
+@giving_back
 def _scored(
     batches: Iterator[pa.RecordBatch], model: Classifier, threshold: float
 ) -> Iterator[pa.RecordBatch]:
