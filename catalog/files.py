@@ -21,6 +21,7 @@ from tracemill.sources import (
     read_table,
     run_key,
     run_options,
+    time_bounds_of_runs,
 )
 from tracemill.sources.runs import files_of_runs
 from tracemill.streaming import new_files, read_rollup, refresh_rollup
@@ -296,3 +297,59 @@ select trace_id, label, count(time) as points,
   case when count(value) > 0 then 'ok' else 'missing' end as status
 from asked left join steps using (trace_id) group by all""",
 }
+
+
+def every_file(spark: SparkSession, folder: str) -> DataFrame:
+    """Every parquet file of all runs, read on its own."""
+    files = discover_files(spark, run_root(spark, folder), data_path=DATA_PATH)
+    paths = files.where("suffix = '.parquet'").orderBy("path").select("path").toLocalIterator()
+    frames = [read_table(spark, row["path"]) for row in paths]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+
+
+def timed_runs(spark: SparkSession, folder: str) -> str:
+    """Events as runs whose files tell their times by statistics, or hold them as texts."""
+    key = (spark.sparkContext.applicationId, f"{folder} by time")
+    if key in _written:
+        return _written[key]
+    root = scratch_path(spark, "timed")
+    events = table(spark, folder, "events").withColumn("day", F.col("ts").cast("date"))
+    forms = {
+        "naive": F.col("ts").cast("timestamp_ntz"),
+        "days": F.col("day"),
+        "old": F.col("ts").cast("timestamp"),
+        "texts": F.date_format("ts", "yyyy-MM-dd HH.mm"),
+        "lines": F.date_format("ts", "d/M/yyyy H:mm"),
+    }
+    for number, (run, time) in enumerate(forms.items()):
+        rows = events.where(F.col("user_id") % 5 == number)
+        rows = rows.select(time.alias("Datetime"), "value", F.lit(number).alias(f"Extra {run}"))
+        if run == "lines":
+            rows.write.option("header", "true").csv(f"{root}/{run}/{DATA_PATH}")
+        else:
+            rows.repartition(3).write.parquet(f"{root}/{run}/{DATA_PATH}")
+    _written[key] = root
+    return root
+
+
+def bounds_of_runs(spark: SparkSession, folder: str) -> DataFrame:
+    """Date bounds of each run, and of all."""
+    root = timed_runs(spark, folder)
+    found = []
+    for run in (*(row["run"] for row in list_runs(spark, root).collect()), None):
+        days = time_bounds_of_runs(spark, root, "Datetime", run, DATA_PATH)
+        texts = (F.col(c).cast("string").alias(c) for c in days.columns)
+        found.append(days.select(F.lit(run or "all").alias("run"), *texts))
+    return reduce(DataFrame.unionByName, found)
+
+
+QUERIES |= {"every_file_load": every_file, "datetime_bounds_from_footers": bounds_of_runs}
+ORACLES |= {
+    "every_file_load": f"""with {FILE_FACTS} select "Datetime", "Value", "WS", "BZ", "Property",
+  "Unit Name" from file_facts where "__run_key" in ('north', 'south')""",
+    "datetime_bounds_from_footers": """with d as (select ts::date as day,
+    case user_id % 5 when 0 then 'naive' when 1 then 'days' when 2 then 'old' when 3 then 'texts'
+      else 'lines' end as run from events)
+select run, min(day)::varchar as min_date, max(day)::varchar as max_date from d group by run
+union all select 'all', min(day)::varchar, max(day)::varchar from d""",
+}

@@ -8,7 +8,7 @@ from tracemill.sources.runs import (
     shared_folder,
     skipped_files,
 )
-from tracemill.sources.tables import load_files, load_runs, read_table
+from tracemill.sources.tables import load_files, load_runs, read_table, time_bounds_of_runs
 
 __all__ = [
     "discover_files",
@@ -20,4 +20,5 @@ __all__ = [
     "run_options",
     "shared_folder",
     "skipped_files",
+    "time_bounds_of_runs",
 ]

@@ -87,6 +87,12 @@ def data_folder(root: str, run: str, data_path: str | None) -> str:
     return inner if is_absolute(inner) else f"{base}/{inner.rstrip('/')}"
 
 
+def data_depth(data_path: str | None) -> int:
+    """How many levels below the root the data folders of runs are."""
+    inner = (data_path or "").strip()
+    return 1 + len([part for part in inner.split("/") if part not in ("", ".")])
+
+
 def is_absolute(path: str) -> bool:
     """Whether a path begins at the top of a store, with or without its scheme."""
     return re.match(r"([a-zA-Z][a-zA-Z0-9+.-]*:)?/", path) is not None

@@ -1,16 +1,19 @@
 """Reading of parquet and csv files into one tagged DataFrame.
 
-Files of one run, and of different runs, may differ in columns and types. Parquet
-folders are one read with a united schema; where types do not unite, each run's
-folder is, and only a folder whose own files disagree is read by layout. Csv files
-are one read of texts by position, and names are given by each file's header. The
-plan grows with the number of layouts, not of files.
+Files of one run, and of different runs, may differ in columns and types. A catalogue
+of their footers and headers is made first, in one job; from it the reads are planned.
+Parquet files are one read for each set of types that exclude one another, named by the
+highest folders that hold no others. Csv files are one read of texts by position, and
+names are given by each file's header. The plan grows with the number of layouts, not of
+files.
 """
 
 from __future__ import annotations
 
 import csv
+import json
 from collections.abc import Iterable, Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
@@ -21,11 +24,22 @@ from pyspark.sql import types as T
 
 from tracemill.functions.time import NTZ
 from tracemill.operators.clean import strip_names
+from tracemill.operators.profile import datetime_bounds
 from tracemill.roles import SUPPORTED_SUFFIXES, Roles, col
-from tracemill.session import durable, rows_frame
+from tracemill.session import rows_frame
+from tracemill.sources.catalogue import (
+    covers,
+    file_catalogue,
+    footer_reader,
+    group_schema,
+    layout_groups,
+    time_bounds,
+    without_bounds,
+)
 from tracemill.sources.runs import (
     any_case,
     as_list,
+    data_depth,
     files_in,
     literal,
     qualified,
@@ -84,57 +98,13 @@ def available_columns(columns: Iterable[str], requested: Sequence[str] | None) -
 
 
 def layout_reader():
-    """Function for ``mapInPandas`` that names the layout of each file.
-
-    It refers to nothing outside itself, so workers need not have this package.
-    """
-
-    def uri(path):
-        # "file:/a b" is not a valid URI for Arrow, and s3a is known as s3.
-        if path.startswith("file:"):
-            return "/" + path[len("file:") :].lstrip("/")
-        return path.replace("s3a://", "s3://", 1)
-
-    def first_line(handle):
-        line = b""
-        while b"\n" not in line:
-            block = handle.read(64 * 1024)
-            if not block:
-                break
-            line += block
-        return line.split(b"\n", 1)[0].strip(b"\r\xef\xbb\xbf").decode("utf-8", "replace")
-
-    def layout(path, suffix):
-        import pyarrow.parquet as pq
-        from pyarrow import fs
-
-        store, inner = fs.FileSystem.from_uri(uri(path))
-        if suffix == ".parquet":
-            with store.open_input_file(inner) as handle:
-                return "; ".join(f"{f.name}: {f.type}" for f in pq.read_schema(handle))
-        with store.open_input_stream(inner) as handle:
-            return first_line(handle)
-
-    def layouts(batches):
-        for batch in batches:
-            texts = [layout(*file) for file in zip(batch["path"], batch["suffix"])]
-            yield batch[["path", "suffix"]].assign(layout=texts)
-
-    return layouts
+    """Function for ``mapInPandas`` that names the layout of each file."""
+    return footer_reader()
 
 
 def file_layouts(files: DataFrame) -> DataFrame:
-    """Add to each file (``path``, ``suffix``) a text that names its layout.
-
-    Reads parquet footers and csv header lines inside tasks. Files listed by
-    Spark come in partitions by size, as for reading them. The result is
-    written to the shared folder, so that each file is opened once.
-    """
-    return durable(
-        files.select("path", "suffix").mapInPandas(
-            layout_reader(), "path string, suffix string, layout string"
-        )
-    )
+    """Add to each file (``path``, ``suffix``) a text that names its layout."""
+    return file_catalogue(files).select("path", "suffix", "layout")
 
 
 def _tagged(
@@ -218,12 +188,68 @@ def union_by_name(frames: Sequence[DataFrame], texts: Sequence[DataFrame] = ())
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), aligned)
 
 
-def _parquet(spark: SparkSession, folders: Sequence[str]) -> list[DataFrame]:
-    """All parquet files below the folders, in as few reads as their types allow.
+@dataclass(frozen=True)
+class Place:
+    """Where files lie: in ``folders``, ``depth`` levels below ``base``; without any, in a list."""
+
+    root: str
+    folders: Sequence[str] = ()
+    base: str = ""
+    depth: int = 0
+
+
+def _parquet(spark: SparkSession, known: DataFrame, place: Place) -> list[DataFrame]:
+    """The parquet files of a catalogue, in as few reads as their types allow."""
+    texts = [row["types"] for row in known.select("types").distinct().orderBy("types").collect()]
+    if None in texts:
+        return _parquet_by_schema(spark, place.folders or [r["path"] for r in known.collect()])
+    layouts = {tuple((name, kind) for name, kind in json.loads(text)): text for text in texts}
+    groups = layout_groups(list(layouts))
+    numbers = rows_frame(
+        spark,
+        [(layouts[types], i) for i, members in enumerate(groups) for types in members],
+        "types string, group int",
+    )
+    # As many rows as there are layouts.
+    files = known.join(F.broadcast(numbers), "types").select("path", "types", "group")
+    return _grouped_reads(spark, files, groups, place)
+
+
+def _grouped_reads(
+    spark: SparkSession, files: DataFrame, groups: list[list], place: Place, whole: bool = True
+) -> list[DataFrame]:
+    """One read for each group of parquet files; files of group -1 are left out.
 
-    Spark unites the columns that files have, reading footers in tasks. It refuses
-    columns of different types; then each folder is a read of its own, and the
-    files of a folder that disagree among themselves are read by layout.
+    ``whole`` says that there are no files of group -1.
+    """
+    options = {"recursiveFileLookup": "true", "pathGlobFilter": any_case(".parquet")}
+    if place.folders and whole and len(groups) == 1:
+        paths = {0: list(place.folders)}
+    elif place.folders:
+        paths = covers(files.select("path", "group"), place.base, place.depth)
+    else:
+        paths, options = {}, {}
+        for row in files.orderBy("path").toLocalIterator():
+            paths.setdefault(row["group"], []).append(row["path"])
+    frames = []
+    for number, members in enumerate(groups):
+        if number not in paths:
+            continue
+        schema = group_schema(members)
+        if schema is None:
+            # One file of each layout is enough for Spark to see the types.
+            samples = files.where(F.col("group") == number).groupBy("types").agg(F.min("path").alias("path"))
+            seen = [row["path"] for row in samples.orderBy("path").collect()]
+            schema = _read(spark, ".parquet", seen, mergeSchema="true").schema
+        frames.append(_read(spark, ".parquet", paths[number], schema, **options))
+    return frames
+
+
+def _parquet_by_schema(spark: SparkSession, places: Sequence[str]) -> list[DataFrame]:
+    """All parquet files below the folders, where only Spark's readers reach them.
+
+    Spark unites the columns that files have. It refuses columns of different types;
+    then each folder is a read of its own.
     """
     options = {
         "mergeSchema": "true",
@@ -231,19 +257,13 @@ def _parquet(spark: SparkSession, folders: Sequence[str]) -> list[DataFrame]:
         "pathGlobFilter": any_case(".parquet"),
     }
     try:
-        return [_read(spark, ".parquet", folders, **options)]
+        return [_read(spark, ".parquet", places, **options)]
     except (PySparkException, Py4JJavaError) as error:
         if "UNABLE_TO_INFER_SCHEMA" in str(error):  # a run without parquet files
             return []
-        if "CANNOT_MERGE" not in str(error):
+        if "CANNOT_MERGE" not in str(error) or len(places) < 2:
             raise
-    if len(folders) > 1:
-        return [frame for folder in folders for frame in _parquet(spark, [folder])]
-    members = file_layouts(files_in(spark, folders, folders[0]).where("suffix = '.parquet'"))
-    paths: dict[str, list[str]] = {}
-    for row in members.orderBy("path").toLocalIterator():
-        paths.setdefault(row["layout"], []).append(row["path"])
-    return [_read(spark, ".parquet", paths[layout]) for layout in sorted(paths)]
+    return [frame for place in places for frame in _parquet_by_schema(spark, [place])]
 
 
 def _csv(spark: SparkSession, layouts: DataFrame, folders: Sequence[str]) -> list[DataFrame]:
@@ -294,32 +314,24 @@ def _distinct(names: Sequence[str]) -> list[str]:
 def _load(
     spark: SparkSession,
     files: DataFrame,
-    folders: Sequence[str],
-    root: str,
+    place: Place,
     columns: Sequence[str] | None,
     roles: Roles,
     shared: tuple[str, str] | None = None,
 ) -> DataFrame:
-    """Files of both kinds, united. With ``folders`` these are read as they are."""
-    kinds = {row["suffix"] for row in files.select("suffix").distinct().collect()}
+    """Files of both kinds, united, after one look at all their footers and headers."""
+    known = file_catalogue(files)
+    kinds = {row["suffix"] for row in known.select("suffix").distinct().collect()}
     if not kinds:
         raise ValueError("no input files")
     typed: list[DataFrame] = []
     texts: list[DataFrame] = []
     if ".parquet" in kinds:
-        if folders:
-            typed = _parquet(spark, folders)
-        else:
-            rows = file_layouts(files.where("suffix = '.parquet'")).orderBy("path").collect()
-            layouts = dict.fromkeys(row["layout"] for row in rows)
-            typed = [
-                _read(spark, ".parquet", [r["path"] for r in rows if r["layout"] == layout])
-                for layout in sorted(layouts)
-            ]
+        typed = _parquet(spark, known.where("suffix = '.parquet'"), place)
     if ".csv" in kinds:
-        texts = _csv(spark, file_layouts(files.where("suffix = '.csv'")), folders)
-    typed = [_tagged(df, columns, root, roles, shared) for df in typed]
-    texts = [_tagged(df, columns, root, roles, shared) for df in texts]
+        texts = _csv(spark, known.where("suffix = '.csv'"), place.folders)
+    typed = [_tagged(df, columns, place.root, roles, shared) for df in typed]
+    texts = [_tagged(df, columns, place.root, roles, shared) for df in texts]
     return union_by_name(typed, texts)
 
 
@@ -339,7 +351,92 @@ def load_runs(
     folders = run_folders(spark, root, runs, data_path)
     shared = shared_folder(spark, root, data_path)
     files = files_in(spark, folders, root, shared)
-    return _load(spark, files, folders, qualified(spark, root), columns, roles, shared)
+    place = _place(spark, root, folders, data_path, shared)
+    return _load(spark, files, place, columns, roles, shared)
+
+
+def _place(
+    spark: SparkSession,
+    root: str,
+    folders: Sequence[str],
+    data_path: str | None,
+    shared: tuple[str, str] | None,
+) -> Place:
+    full = qualified(spark, root)
+    if shared:  # all files lie in that one folder
+        return Place(full, folders, shared[0], 0)
+    return Place(full, folders, full, data_depth(data_path))
+
+
+def time_bounds_of_runs(
+    spark: SparkSession,
+    root: str,
+    column: str,
+    runs: str | Sequence[str] | None = None,
+    data_path: str | None = None,
+    roles: Roles = Roles(),
+) -> DataFrame:
+    """First and last date of a time column as ``min_date`` and ``max_date``.
+
+    Taken from the statistics of row groups where parquet files have them for all of
+    theirs; the column itself is read only from the other files: texts, and times of a
+    kind without statistics. Texts are read in one layout per run, as in ``fact_table``.
+    Without files, or where none has the column, both dates are null.
+    """
+    folders = run_folders(spark, root, runs, data_path)
+    shared = shared_folder(spark, root, data_path)
+    known = file_catalogue(files_in(spark, folders, root, shared), [column])
+    bounds = time_bounds(known, column)
+    left = without_bounds(known, column).select("path", "suffix", "layout", "types")
+    frames = []
+    if not left.isEmpty():
+        frames = _with_column(spark, known, left, column, _place(spark, root, folders, data_path, shared))
+    for frame in frames:
+        tagged = _tagged(frame, [column, roles.run], qualified(spark, root), roles, shared)
+        days = datetime_bounds(tagged, column, roles)
+        bounds = bounds.unionByName(days.select(*(F.col(c).cast(NTZ).alias(n) for c, n in zip(days.columns, bounds.columns))))
+    return bounds.agg(
+        F.min("low").cast("date").alias("min_date"), F.max("high").cast("date").alias("max_date")
+    )
+
+
+def _with_column(
+    spark: SparkSession, known: DataFrame, left: DataFrame, column: str, place: Place
+) -> list[DataFrame]:
+    """Reads of the files of ``left`` that have the column, and of no others."""
+    frames = []
+    texts = [row["types"] for row in left.where("suffix = '.parquet'").select("types").distinct().collect()]
+    if None in texts:
+        return [
+            frame
+            for frame in _parquet_by_schema(spark, place.folders)
+            if column in map(str.strip, frame.columns)
+        ]
+    layouts = {tuple((name, kind) for name, kind in json.loads(text)): text for text in texts}
+    having = [types for types in layouts if column in (name.strip() for name, _ in types)]
+    if having:
+        # Only this column: files differ by its type alone, not by those of others.
+        cut = {types: tuple(x for x in types if x[0].strip() == column) for types in having}
+        groups = layout_groups(sorted(set(cut.values())))
+        of = {types: i for i, members in enumerate(groups) for types in members}
+        numbers = rows_frame(
+            spark, [(layouts[types], of[cut[types]]) for types in having], "types string, group int"
+        )
+        asked = left.select("path").withColumn("asked", F.lit(1))
+        files = known.where("suffix = '.parquet'").join(asked, "path", "left")
+        files = files.join(F.broadcast(numbers), "types", "left").select(
+            "path", "types", F.when(F.col("asked").isNotNull(), F.col("group")).alias("group")
+        )
+        files = files.na.fill(-1, ["group"])
+        frames += _grouped_reads(spark, files, groups, place, whole=False)
+    headed = left.where("suffix = '.csv'")
+    if not headed.isEmpty():
+        frames += [
+            frame
+            for frame in _csv(spark, headed, place.folders)
+            if column in map(str.strip, frame.columns)
+        ]
+    return frames
 
 
 def load_files(
@@ -356,4 +453,4 @@ def load_files(
     files = rows_frame(
         spark, [(path, suffix_of(path)) for path in chosen], "path string, suffix string"
     ).repartition(1 + len(chosen) // FOOTERS_PER_TASK)
-    return _load(spark, files, (), qualified(spark, root), columns, roles)
+    return _load(spark, files, Place(qualified(spark, root)), columns, roles)
