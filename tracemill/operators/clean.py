@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.functions.time import HINT, ISO, LAYOUTS, NTZ, parse_time
+from tracemill.functions.time import HINT, LAYOUTS, NTZ, parse_time
 from tracemill.functions.values import to_number
+from tracemill.operators.shapes import (
+    AmbiguousTimes,
+    Inferred,
+    Shapes,
+    candidates,
+    exact_fits,
+    shapes_by_group,
+)
 from tracemill.roles import Roles, col
 
 # Fixed value: share of rows that the hint layout has to fit.
@@ -32,56 +40,62 @@ def strip_names(df: DataFrame) -> DataFrame:
     )
 
 
-def time_layouts(df: DataFrame, column: str, per: str | None = None) -> dict[str, str | None]:
-    """The layout of a text column for each value of ``per``; see ``time_fits``."""
-    return {name: choose_layout(fits) for name, fits in time_fits(df, column, per).items()}
+class UnknownTimes(ValueError):
+    """Texts of a time column that no layout fits."""
+
+
+@dataclass(frozen=True)
+class Reading:
+    """How the times of a group are read: by a known layout, one found from shapes, or not."""
 
+    layout: str | Inferred | None
+    filled: int
 
-def time_fits(df: DataFrame, column: str, per: str | None = None) -> dict[str, dict[str, int]]:
-    """How many rows each layout fits, for each value of ``per``; it decides once.
 
-    The hint layout is taken when it fits at least 80 % of the rows (null
-    counts as a misfit), else the other layout that fits most rows, and ``None``
-    when nothing fits. ``per`` is a column of few values, such as the run;
-    without it there is one decision, under the key ``""``.
+def time_readings(df: DataFrame, column: str, per: str | None = None) -> dict[str, Reading]:
+    """The layout of a text column for each value of ``per``; it decides once.
 
-    Starts a job that reads these columns only, and a second one for the groups
-    which neither the hint nor ISO times fit well. A table repeats its times for
-    every unit and area, so each distinct text is parsed once and weighted by
-    its rows.
+    The hint layout is taken when it fits at least 80 % of the rows (null counts as a
+    misfit), else the known layout that fits most rows. Where none fits any, one is found
+    from the shapes of the texts; ``None`` when these are no times either. ``per`` is a
+    column of few values, such as the run; without it there is one decision, under the
+    key ``""``.
+
+    Starts a job that sums up shapes, and a second one for groups whose shapes leave open
+    which layout fits most: these are read in the layouts in question. Neither shuffles
+    texts. Dates that may be read in several orders raise ``AmbiguousTimes``.
     """
     group = F.coalesce(col(per).cast("string"), F.lit("")) if per else F.lit("")
     texts = df.select(group.alias("group"), col(column).alias("text"))
-    fits = {row["group"]: row.asDict() for row in layout_fits(texts, (HINT, ISO)).collect()}
-    unclear = [
-        name
-        for name, common in fits.items()
-        if not fits_hint(common) and common[ISO] < common["filled"]
-    ]
+    found = shapes_by_group(texts)
+    chosen = chosen_layouts(texts, found)
+    readings = {}
+    for name, shapes in found.items():
+        layout = chosen[name]
+        if layout is None and shapes.filled:
+            try:
+                layout = shapes.infer()
+            except AmbiguousTimes as error:
+                raise AmbiguousTimes(f"column {column!r}, {name or 'all rows'}: {error}") from None
+        readings[name] = Reading(layout, shapes.filled)
+    return readings
+
+
+def chosen_layouts(texts: DataFrame, found: dict[str, Shapes]) -> dict[str, str | None]:
+    """The known layout of each group of ``texts``, whose shapes are ``found``."""
+    chosen: dict[str, str | None] = {}
+    unclear = []
+    for name, shapes in found.items():
+        decided, layout = shapes.decide(HINT_SHARE)
+        if decided:
+            chosen[name] = layout
+        else:
+            unclear.append(name)
     if unclear:
-        rest = [layout for layout in LAYOUTS if layout not in (HINT, ISO)]
-        for row in layout_fits(texts.where(F.col("group").isin(unclear)), rest).collect():
-            fits[row["group"]] |= row.asDict()
-    return fits
-
-
-def layout_fits(texts: DataFrame, layouts: Iterable[str] = tuple(LAYOUTS)) -> DataFrame:
-    """Per ``group``: its ``rows`` of ``text``, ``filled`` ones, and how many each layout fits."""
-    text = F.col("text")
-    counted = texts.groupBy("group", "text").agg(F.count(F.lit(1)).alias("n"))
-
-    def total(condition: Column) -> Column:
-        return F.coalesce(F.sum(F.when(condition, F.col("n"))), F.lit(0))
-
-    return counted.groupBy("group").agg(
-        total(F.lit(True)).alias("rows"),
-        total(text.isNotNull()).alias("filled"),
-        *[total(parse_time(text, layout).isNotNull()).alias(layout) for layout in layouts],
-    )
-
-
-class UnknownTimes(ValueError):
-    """Texts of a time column that no layout fits."""
+        asked = list(dict.fromkeys([HINT, *candidates([found[name] for name in unclear])]))
+        fits = exact_fits(texts.where(F.col("group").isin(unclear)), asked, parse_time)
+        chosen |= {row["group"]: choose_layout(row.asDict()) for row in fits.collect()}
+    return chosen
 
 
 def fits_hint(fits: dict[str, int]) -> bool:
@@ -92,8 +106,12 @@ def choose_layout(fits: dict[str, int]) -> str | None:
     if fits_hint(fits):
         return HINT
     others = [layout for layout in LAYOUTS if layout != HINT and layout in fits]
-    best = max(others, key=fits.__getitem__)
-    return best if fits[best] else None
+    best = max(others, key=fits.__getitem__, default=None)
+    return best if best and fits[best] else None
+
+
+def read_times(text: Column, layout: str | Inferred) -> Column:
+    return layout.parse(text) if isinstance(layout, Inferred) else parse_time(text, layout)
 
 
 def with_time(
@@ -101,7 +119,7 @@ def with_time(
 ) -> DataFrame:
     """Replace a time column by its parsed form.
 
-    Times pass through, texts are parsed in the layouts of ``time_layouts``, and
+    Times pass through, texts are parsed in the layouts of ``time_readings``, and
     numbers are refused: an integer hour of the day is no point in time. Where a
     group has texts and no layout fits any of them, ``UnknownTimes`` is raised and
     names the groups; with ``strict=False`` their times are null.
@@ -111,20 +129,19 @@ def with_time(
         return df.withColumn(column, col(column).cast(NTZ))
     if not isinstance(kind, T.StringType):
         raise TypeError(f"column {column!r} of type {kind.simpleString()} holds no times")
-    groups: dict[str, list[str]] = {}
+    groups: dict[str | Inferred, list[str]] = {}
     unknown: dict[str, int] = {}
-    for name, fits in time_fits(df, column, per).items():
-        layout = choose_layout(fits)
-        if layout:
-            groups.setdefault(layout, []).append(name)
-        elif fits["filled"]:
-            unknown[name] = fits["filled"]
+    for name, reading in time_readings(df, column, per).items():
+        if reading.layout:
+            groups.setdefault(reading.layout, []).append(name)
+        elif reading.filled:
+            unknown[name] = reading.filled
     if unknown and strict:
         found = ", ".join(f"{name or 'all rows'} ({n} texts)" for name, n in sorted(unknown.items()))
         raise UnknownTimes(f"no layout fits the times of column {column!r}: {found}")
     parsed = F.lit(None).cast(NTZ)
     for layout, names in groups.items():
-        here = parse_time(col(column), layout)
+        here = read_times(col(column), layout)
         if len(groups) > 1:
             here = F.when(F.coalesce(col(per).cast("string"), F.lit("")).isin(names), here)
             here = here.otherwise(parsed)

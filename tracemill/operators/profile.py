@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracemill.operators.clean import choose_layout, layout_fits, with_time
+from tracemill.operators.clean import chosen_layouts, read_times, with_time
+from tracemill.operators.shapes import AmbiguousTimes, Inferred, Shapes, shapes_by_group
 from tracemill.roles import Roles, col
 from tracemill.session import rows_frame
 
@@ -63,8 +66,8 @@ def detect_time_columns(df: DataFrame, roles: Roles = Roles()) -> list[str]:
 
     By content: of the remaining text columns, those where more than 90 % of the
     non-null values are times. Columns with another role are no candidates. Starts
-    one job when there are such text columns; a text that comes again and again is
-    parsed once.
+    one job when there are such text columns, which shuffles shapes and no texts; columns
+    whose shapes leave it open are read in the layouts in question by a second one.
     """
     named = time_columns_by_name(df)
     texts = [
@@ -78,29 +81,52 @@ def detect_time_columns(df: DataFrame, roles: Roles = Roles()) -> list[str]:
         return named
     pairs = [F.struct(F.lit(name).alias("group"), col(name).alias("text")) for name in texts]
     values = df.select(F.inline(F.array(*pairs))).where("text is not null")
-    fits = {row["group"]: row.asDict() for row in layout_fits(values).collect()}
-    for name in texts:
-        layout = choose_layout(fits[name]) if name in fits else None
-        if layout and fits[name][layout] > TIME_SHARE * fits[name]["rows"]:
-            named.append(name)
-    return named
+    found = shapes_by_group(values)
+    # Most texts are no times in any layout, and their shapes say so.
+    likely = {name: shapes for name, shapes in found.items() if shapes.most_times() > TIME_SHARE * shapes.total}
+    layouts = {name: layout or _inferred(likely[name]) for name, layout in chosen_layouts(values, likely).items()}
+    shares = {name: _share(likely[name], layout) for name, layout in layouts.items() if layout}
+    open_ = [name for name, enough in shares.items() if enough is None]
+    if open_:
+        asked = list(dict.fromkeys(layouts[name] for name in open_))
+        reads = [
+            F.sum(F.when(read_times(F.col("text"), layout).isNotNull(), 1).otherwise(0)).alias(f"fits_{i}")
+            for i, layout in enumerate(asked)
+        ]
+        counted = values.where(F.col("group").isin(open_)).groupBy("group")
+        for row in counted.agg(F.count(F.lit(1)).alias("rows"), *reads).collect():
+            fits = row[f"fits_{asked.index(layouts[row['group']])}"]
+            shares[row["group"]] = fits > TIME_SHARE * row["rows"]
+    return named + [name for name in texts if shares.get(name)]
+
+
+def _inferred(shapes: Shapes) -> Inferred | None:
+    try:
+        return shapes.infer()
+    except AmbiguousTimes:  # times, though not in which order
+        return None
+
+
+def _share(shapes: Shapes, layout: str | Inferred) -> bool | None:
+    """Whether more than the needed share are times; ``None``: the shapes do not tell."""
+    if isinstance(layout, Inferred):
+        return None
+    return shapes.share(layout, math.floor(TIME_SHARE * shapes.total) + 1)
 
 
 def datetime_bounds(df: DataFrame, column: str, roles: Roles = Roles()) -> DataFrame:
     """First and last date as ``min_date``, ``max_date``, null when there is none.
 
-    Texts are parsed first (one job), so the bounds are those of the times; texts
-    that are no times do not count. Each distinct text is parsed once. Only this
-    column is read, and each task hands on two values.
+    Texts are read in the layout of their run, which a job finds from their shapes, so
+    the bounds are those of the times; texts that are no times do not count. Only this
+    column is read, no text is shuffled, and each task hands on two values.
     """
     if column not in df.columns:
         return df.sparkSession.range(1).select(
             F.lit(None).cast("date").alias("min_date"), F.lit(None).cast("date").alias("max_date")
         )
     per = roles.run if roles.run in df.columns else None
-    values = df.select(col(column))
-    if isinstance(df.schema[column].dataType, T.StringType):
-        values = df.select(*[col(name) for name in (column, per) if name]).distinct()
+    values = df.select(*[col(name) for name in dict.fromkeys((column, per)) if name])
     timed = with_time(values, column, per, strict=False)
     return timed.agg(
         F.min(col(column)).cast("date").alias("min_date"),
