@@ -24,7 +24,13 @@ from tracemill.sources import (
     time_bounds_of_runs,
 )
 from tracemill.sources.runs import files_of_runs
-from tracemill.streaming import new_files, read_rollup, refresh_rollup
+from tracemill.streaming import (
+    new_files,
+    read_changed,
+    read_rollup,
+    refresh_changed,
+    refresh_rollup,
+)
 
 DATA_PATH = "results/hourly"
 _written: dict[tuple[str, str], str] = {}
@@ -353,3 +359,45 @@ ORACLES |= {
 select run, min(day)::varchar as min_date, max(day)::varchar as max_date from d group by run
 union all select 'all', min(day)::varchar, max(day)::varchar from d""",
 }
+
+
+def refreshed_after_change(spark: SparkSession, folder: str) -> DataFrame:
+    """A roll-up that follows its files: some are added, some written anew, some go.
+
+    Events are dealt to eight folders. At first there are the folders 0 to 4, 4 as csv.
+    Then 5 and 6 appear, the files of 1 hold three times their values, and those of 2 and
+    4 only one kind of event: writing a folder anew removes its old files.
+    """
+    root, kept = scratch_path(spark, "changing"), scratch_path(spark, "rollup")
+    often = F.col("BZ").isin("click", "view", "error").cast("int")
+    events = event_facts(spark, folder).withColumn("part", F.col("WS").cast("int") * 2 + often)
+    layout = {"timestampNTZFormat": "yyyy-MM-dd HH:mm:ss.SSSSSS"}
+
+    def write(part: int, rows: DataFrame) -> None:
+        path = f"{root}/run_{part // 2 % 2}/{DATA_PATH}/k{part}"
+        rows = rows.where(F.col("part") == part).drop("part", "__run_key")
+        if part == 4:
+            rows.write.mode("overwrite").options(header="true", **layout).csv(path)
+        else:
+            rows.write.mode("overwrite").parquet(path)
+
+    for part in range(5):
+        write(part, events)
+    refresh_changed(spark, root, kept, data_path=DATA_PATH)
+    write(5, events)
+    write(6, events)
+    write(1, events.withColumn("Value", F.col("Value") * 3))
+    for part in (2, 4):
+        write(part, events.where("BZ = 'signup'"))
+    refresh_changed(spark, root, kept, data_path=DATA_PATH, part_bytes=100_000)
+    return read_changed(spark, kept)
+
+
+QUERIES |= {"refresh_after_change": refreshed_after_change}
+ORACLES |= {
+    "refresh_after_change": f"""with {EVENT_FACTS},
+dealt as (select *, "WS"::int * 2 + ("BZ" in ('click', 'view', 'error'))::int as part from event_facts)
+select "__run_key", "PEMMDB_TECHNOLOGY", "Property", "BZ", "WS", "Datetime",
+  coalesce(sum("Value" * case when part = 1 then 3 else 1 end), 0) as "Value"
+from dealt where part < 7 and ("BZ" = 'signup' or part not in (2, 4)) group by all""",
+}

@@ -54,6 +54,14 @@ def qualified(spark: SparkSession, path: str) -> str:
     return full.toString().rstrip("/")
 
 
+def child_names(spark: SparkSession, folder: str) -> list[str]:
+    """Names directly below a folder, none if it is not there."""
+    if not is_folder(spark, folder):
+        return []
+    entries = _file_system(spark, folder).listStatus(_hadoop_path(spark, folder))
+    return [entry.getPath().getName() for entry in entries]
+
+
 def run_names(spark: SparkSession, root: str) -> list[str]:
     """Folders directly under ``root`` that are not hidden, sorted.
 

@@ -13,7 +13,7 @@ from __future__ import annotations
 import csv
 import json
 from collections.abc import Iterable, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import reduce
 
 from py4j.protocol import Py4JJavaError
@@ -439,6 +439,53 @@ def _with_column(
     return frames
 
 
+def load_chosen(
+    spark: SparkSession,
+    root: str,
+    files: DataFrame,
+    chosen: DataFrame,
+    data_path: str | None = None,
+    roles: Roles = Roles(),
+) -> DataFrame:
+    """Some of the files of runs as one frame, tagged with file and run.
+
+    ``files`` lists all files (``path``, ``suffix``), ``chosen`` the paths of those to load.
+    Folders of which all files are chosen are named as folders, so the plan does not grow
+    with the files where whole folders are loaded.
+    """
+    shared = shared_folder(spark, root, data_path)
+    place = _place(spark, root, (), data_path, shared)
+    known = file_catalogue(files.join(chosen.select("path"), "path", "left_semi"))
+    typed: list[DataFrame] = []
+    texts: list[DataFrame] = []
+    parquet = known.where("suffix = '.parquet'")
+    layouts = {
+        tuple((name, kind) for name, kind in json.loads(row["types"])): row["types"]
+        for row in parquet.select("types").distinct().collect()
+    }
+    if layouts:
+        groups = layout_groups(list(layouts))
+        numbers = rows_frame(
+            spark,
+            [(layouts[types], i) for i, members in enumerate(groups) for types in members],
+            "types string, group int",
+        )
+        own = parquet.join(F.broadcast(numbers), "types").select("path", "types", "group")
+        marked = files.where("suffix = '.parquet'").select("path").join(own, "path", "left")
+        within = replace(place, folders=("",))
+        typed = _grouped_reads(spark, marked.na.fill(-1, ["group"]), groups, within, whole=False)
+    headed = known.where("suffix = '.csv'")
+    if not headed.isEmpty():
+        own = headed.select("path", F.lit(0).alias("group"))
+        marked = files.where("suffix = '.csv'").select("path").join(own, "path", "left")
+        texts = _csv(spark, headed, covers(marked.na.fill(-1, ["group"]), place.base, place.depth)[0])
+    if not typed and not texts:
+        raise ValueError("no input files")
+    typed = [_tagged(df, None, place.root, roles, shared) for df in typed]
+    texts = [_tagged(df, None, place.root, roles, shared) for df in texts]
+    return union_by_name(typed, texts)
+
+
 def load_files(
     spark: SparkSession,
     paths: str | Sequence[str],
