@@ -401,3 +401,32 @@ select "__run_key", "PEMMDB_TECHNOLOGY", "Property", "BZ", "WS", "Datetime",
   coalesce(sum("Value" * case when part = 1 then 3 else 1 end), 0) as "Value"
 from dealt where part < 7 and ("BZ" = 'signup' or part not in (2, 4)) group by all""",
 }
+
+
+def quoted_breaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Csv files in which areas hold line ends, quotes and commas, beside plain ones."""
+    root = scratch_path(spark, "quoted")
+    events = table(spark, folder, "events")
+    kind = F.col("event_type")
+    area = (
+        F.when(F.col("user_id") % 4 == 0, F.concat(kind, F.lit("\nnorth")))
+        .when(F.col("user_id") % 4 == 1, F.concat(F.lit('the "'), kind, F.lit('", or\n\nnot')))
+        .when(F.col("user_id") % 4 == 2, F.concat(F.lit('5" of '), kind))
+        .otherwise(kind)
+    )
+    rows = events.select("event_id", area.alias("BZ"), (F.col("user_id") % 3).alias("WS"), (F.col("user_id") % 2).alias("run"))
+    for run in (0, 1):
+        own = rows.where(F.col("run") == run).drop("run").repartition(2)
+        layout = {"header": "true", "escape": '"', "quoteAll": "true" if run else "false"}
+        own.write.options(**layout).csv(f"{root}/run_{run}/{DATA_PATH}")
+    return load_runs(spark, root, data_path=DATA_PATH).drop("__source_file")
+
+
+QUERIES |= {"csv_quoted_breaks": quoted_breaks}
+ORACLES |= {
+    "csv_quoted_breaks": """select event_id::varchar as event_id, (user_id % 3)::varchar as "WS",
+  'run_' || (user_id % 2) as "__run_key",
+  case user_id % 4 when 0 then event_type || chr(10) || 'north'
+    when 1 then 'the "' || event_type || '", or' || chr(10) || chr(10) || 'not'
+    when 2 then '5" of ' || event_type else event_type end as "BZ" from events""",
+}

@@ -18,15 +18,15 @@ from functools import reduce
 
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tracemill.functions.time import NTZ
 from tracemill.operators.clean import strip_names
 from tracemill.operators.profile import datetime_bounds
-from tracemill.roles import SUPPORTED_SUFFIXES, Roles, col
-from tracemill.session import rows_frame
+from tracemill.roles import SUPPORTED_SUFFIXES, Roles, col, quoted
+from tracemill.session import durable, rows_frame
 from tracemill.sources.catalogue import (
     covers,
     file_catalogue,
@@ -36,6 +36,7 @@ from tracemill.sources.catalogue import (
     time_bounds,
     without_bounds,
 )
+from tracemill.sources.quoted import QUOTING, csv_records, plain_path, torn_files
 from tracemill.sources.runs import (
     any_case,
     as_list,
@@ -53,7 +54,7 @@ from tracemill.sources.runs import (
 FOOTERS_PER_TASK = 64
 
 # Csv files are read as texts: what a text means is known to who asks for it.
-CSV_OPTIONS = {"header": "true"}
+CSV_OPTIONS = {"header": "true"} | QUOTING
 
 
 def suffix_of(path: str) -> str:
@@ -266,31 +267,70 @@ def _parquet_by_schema(spark: SparkSession, places: Sequence[str]) -> list[DataF
     return [frame for place in places for frame in _parquet_by_schema(spark, [place])]
 
 
-def _csv(spark: SparkSession, layouts: DataFrame, folders: Sequence[str]) -> list[DataFrame]:
+def _csv(
+    spark: SparkSession, layouts: DataFrame, folders: Sequence[str], place: Place | None = None
+) -> list[DataFrame]:
     """All csv files below the folders, or listed in ``layouts``, as texts.
 
-    With one header, that gives the names. Else all files are read by position,
-    and a column takes its text from the place that the header of the row's file
-    gives it: one read, and as many choices as there are headers.
+    Files in which a quoted text may go over a line's end are read by ``csv_records``, the
+    others by Spark's reader. ``place`` says where the files lie, if not in a list.
     """
-    headers = [row["layout"] for row in layouts.select("layout").distinct().orderBy("layout").collect()]
     options = {"recursiveFileLookup": "true", "pathGlobFilter": any_case(".csv")} if folders else {}
     places = folders or [row["path"] for row in layouts.select("path").orderBy("path").collect()]
+    torn = torn_files(spark, places, options)
+    if torn.isEmpty():
+        return [_csv_rows(spark, layouts, places, options)]
+    known = layouts.withColumn("plain", plain_path(F.col("path")))
+    known = durable(known.join(torn.select(F.col("path").alias("torn")), F.col("plain") == F.col("torn"), "left"))
+    frames = []
+    for group, rows in enumerate((known.where("torn is null"), known.where("torn is not null"))):
+        if rows.isEmpty():
+            continue
+        if place and place.folders:
+            marked = known.select("path", F.when(F.col("torn").isNull(), 0).otherwise(1).alias("group"))
+            own = covers(marked, place.base, place.depth)[group]
+        else:
+            own = [row["path"] for row in rows.select("path").orderBy("path").collect()]
+        frames.append(_csv_rows(spark, rows, own, options, records=group == 1))
+    return frames
+
+
+def _csv_rows(
+    spark: SparkSession,
+    layouts: DataFrame,
+    places: Sequence[str],
+    options: dict[str, str],
+    records: bool = False,
+) -> DataFrame:
+    """Rows of csv files with the names that their headers give.
+
+    With one header, that is all. Else all files are read by position, and a column takes
+    its text from the place that the header of the row's file gives it: one read, and as
+    many choices as there are headers.
+    """
+    headers = [row["layout"] for row in layouts.select("layout").distinct().orderBy("layout").collect()]
     named = [next(csv.reader([header])) for header in headers]
     most = max(map(len, named))
+
+    def read(names: Sequence[str]) -> DataFrame:
+        schema = T.StructType([T.StructField(name, T.StringType()) for name in names])
+        if not records:
+            return _read(spark, ".csv", places, schema, **options)
+        fields = ", ".join(f"{quoted(name)} string" for name in names)
+        found = csv_records(spark, places, options)
+        parsed = found.select(F.from_csv("text", fields, QUOTING).alias("row"), "path")
+        return parsed.select("row.*", F.struct(_escaped(F.col("path")).alias("file_path")).alias("_metadata"))
+
     if len(headers) == 1:
-        schema = T.StructType([T.StructField(name, T.StringType()) for name in _distinct(named[0])])
-        return [_read(spark, ".csv", places, schema, **options)]
-    schema = T.StructType([T.StructField(f"_c{i}", T.StringType()) for i in range(most)])
-    rows = _read(spark, ".csv", places, schema, **options)
+        return read(_distinct(named[0]))
+    rows = read([f"_c{i}" for i in range(most)])
     numbers = rows_frame(spark, [(h, i) for i, h in enumerate(headers)], "layout string, __header int")
     own = layouts.join(numbers, "layout").select(F.col("path").alias("__path"), "__header")
     # As many rows as files; each row of a file finds its header by the file's path.
-    path = F.regexp_replace(source_path(F.col("_metadata.file_path")), "^file:/+", "file:/")
+    path = plain_path(source_path(F.col("_metadata.file_path")))
     known = rows.withColumn("__at", path).withColumn("__file", F.col("_metadata"))
     known = known.join(
-        own.withColumn("__path", F.regexp_replace("__path", "^file:/+", "file:/")),
-        F.col("__at") == F.col("__path"),
+        own.withColumn("__path", plain_path(F.col("__path"))), F.col("__at") == F.col("__path")
     )
     columns = {}
     for number, names in enumerate(map(_distinct, named)):
@@ -300,7 +340,13 @@ def _csv(spark: SparkSession, layouts: DataFrame, folders: Sequence[str]) -> lis
         F.coalesce(*[F.when(F.col("__header") == n, F.col(f"_c{place}")) for n, place in where]).alias(name)
         for name, where in columns.items()
     ]
-    return [known.select(*picked, F.col("__file").alias("_metadata"))]
+    return known.select(*picked, F.col("__file").alias("_metadata"))
+
+
+def _escaped(path: Column) -> Column:
+    """A path as the reader's metadata have it, so that ``source_path`` gives it back."""
+    full = F.regexp_replace(path, "^file:/+", "file:///")
+    return F.replace(F.replace(full, F.lit("%"), F.lit("%25")), F.lit(" "), F.lit("%20"))
 
 
 def _distinct(names: Sequence[str]) -> list[str]:
@@ -329,7 +375,7 @@ def _load(
     if ".parquet" in kinds:
         typed = _parquet(spark, known.where("suffix = '.parquet'"), place)
     if ".csv" in kinds:
-        texts = _csv(spark, known.where("suffix = '.csv'"), place.folders)
+        texts = _csv(spark, known.where("suffix = '.csv'"), place.folders, place)
     typed = [_tagged(df, columns, place.root, roles, shared) for df in typed]
     texts = [_tagged(df, columns, place.root, roles, shared) for df in texts]
     return union_by_name(typed, texts)
@@ -433,7 +479,7 @@ def _with_column(
     if not headed.isEmpty():
         frames += [
             frame
-            for frame in _csv(spark, headed, place.folders)
+            for frame in _csv(spark, headed, place.folders, place)
             if column in map(str.strip, frame.columns)
         ]
     return frames
@@ -478,7 +524,8 @@ def load_chosen(
     if not headed.isEmpty():
         own = headed.select("path", F.lit(0).alias("group"))
         marked = files.where("suffix = '.csv'").select("path").join(own, "path", "left")
-        texts = _csv(spark, headed, covers(marked.na.fill(-1, ["group"]), place.base, place.depth)[0])
+        own = covers(marked.na.fill(-1, ["group"]), place.base, place.depth)[0]
+        texts = _csv(spark, headed, own, replace(place, folders=own))
     if not typed and not texts:
         raise ValueError("no input files")
     typed = [_tagged(df, None, place.root, roles, shared) for df in typed]
