@@ -27,8 +27,11 @@ _MARKS = np.array([33 <= i <= 126 and not chr(i).isalnum() and i != 39 for i in
 
 # Bytes of stretches and ids that one Python worker remembers while a task runs, and
 # how many it keeps between tasks, when other operators need the room.
-REMEMBERED = 64 << 20
-KEPT = 16 << 20
+REMEMBERED = 48 << 20
+KEPT = 8 << 20
+
+# Stretches that the library gets at once: what it makes of a text takes much room.
+CALL = 20_000
 
 
 class _Known(Remembered):
@@ -94,14 +97,10 @@ class Encoder:
         # bytes then tells which stretch it belongs to.
         follows = np.array([text[0] in _SPACES and not text[-1].isspace() for text in texts], bool)
         joined = [texts[i] for i in np.flatnonzero(follows).tolist()]
-        whole = "".join(joined)
-        sizes = np.fromiter(map(len, joined), np.int64, len(joined))
-        if not whole.isascii():
-            sizes = np.fromiter((len(text.encode()) for text in joined), np.int64, len(joined))
-        ids = np.array(self._call([whole])[0], np.uint32)
-        ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(sizes)) + 1
+        found = [self._joined(joined[at : at + CALL]) for at in range(0, len(joined), CALL)]
+        ids = np.concatenate([np.empty(0, np.uint32), *(ids for ids, _ in found)])
         counts = np.empty(len(texts), np.int64)
-        counts[follows] = np.diff(ends, prepend=0)
+        counts[follows] = np.concatenate([np.empty(0, np.int64), *(sizes for _, sizes in found)])
         if follows.all():
             return ids, counts
         found = self._call([texts[i] for i in np.flatnonzero(~follows).tolist()])
@@ -113,6 +112,16 @@ class Encoder:
         begins[order] = np.cumsum(counts[order]) - counts[order]
         return flat[ragged(begins, counts)], counts
 
+    def _joined(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of stretches that follow one another in a single call."""
+        whole = "".join(texts)
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        if not whole.isascii():
+            sizes = np.fromiter((len(text.encode()) for text in texts), np.int64, len(texts))
+        ids = np.array(self._call([whole])[0], np.uint32)
+        ends = np.searchsorted(np.cumsum(self._bytes[ids]), np.cumsum(sizes)) + 1
+        return ids, np.diff(ends, prepend=0)
+
     def _call(self, texts: list[str]) -> list[list[int]]:
         found = self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [one.ids for one in found]
