@@ -430,3 +430,40 @@ ORACLES |= {
     when 1 then 'the "' || event_type || '", or' || chr(10) || chr(10) || 'not'
     when 2 then '5" of ' || event_type else event_type end as "BZ" from events""",
 }
+
+
+def hidden_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of all files by the folder they are in, those that Spark hides included."""
+    root = scratch_path(spark, "hidden")
+    events = table(spark, folder, "events")
+    rows = events.select("event_id", F.round(F.col("value") * 100).alias("Value"), F.col("ts").cast("timestamp_ntz").alias("Datetime"))
+    places = ("plain", "_staged", "deep/.late", "_lines")
+    for number, place in enumerate(places):
+        own = rows.where(F.col("event_id") % len(places) == number)
+        path = f"{root}/run_{number % 2}/{DATA_PATH}/{place}"
+        if place == "_lines":
+            own.write.options(header="true", timestampNTZFormat="yyyy-MM-dd HH:mm:ss.SSSSSS").csv(path)
+        elif place == "_staged":
+            own.withColumn("Value", F.col("Value").cast("bigint")).write.parquet(path)
+        else:
+            own.write.parquet(path)
+    listed = discover_files(spark, root, data_path=DATA_PATH, hidden=True)
+    known = listed.groupBy("run", F.regexp_extract("path", rf"/{DATA_PATH}/(.+)/[^/]+$", 1).alias("place"))
+    known = known.agg((F.min("length") > 0).alias("filled"))
+    loaded = load_runs(spark, root, data_path=DATA_PATH, hidden=True)
+    place = F.regexp_extract("__source_file", rf"/{DATA_PATH}/(.+)/[^/]+$", 1).alias("place")
+    sums = loaded.groupBy(F.col("__run_key").alias("run"), place).agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.sum("Value").alias("total"),
+        F.max("Datetime").cast("string").alias("last"),
+    )
+    return known.join(sums, ["run", "place"], "full")
+
+
+QUERIES |= {"discover_hidden_files": hidden_files}
+ORACLES |= {
+    "discover_hidden_files": """select 'run_' || (event_id % 2) as run,
+  case event_id % 4 when 0 then 'plain' when 1 then '_staged' when 2 then 'deep/.late' else '_lines' end
+    as place, true as filled, count(*) as rows, sum(round(value * 100)) as total,
+  regexp_replace(max(ts)::varchar, '\\.?0+$', '') as last from events group by all""",
+}

@@ -170,6 +170,42 @@ def test_hidden_names_are_told(spark, root):
     assert sorted(p.rsplit("/out/", 1)[1] for p in found) == [".y.CSV", "_tmp/x.parquet"]
 
 
+def test_hidden_files_are_listed_and_loaded_when_asked_for(spark, root):
+    base = Path(root) / "DE" / "out"
+    write(base / "_tmp" / "x y.parquet", Value=[1], BZ=["_x"], WS=[7])
+    write(base / ".y.CSV", Value=[2.5], BZ=["a\nb"], More=["m"])
+    write(base / ".deep" / "plain" / "z.parquet", Value=["3"], BZ=["_z"])
+    (base / "_tmp" / "_SUCCESS").write_text("")
+    listed = discover_files(spark, root, data_path="out", hidden=True)
+    assert listed.count() == 8 and listed.columns == discover_files(spark, root).columns
+    plain = {tuple(r) for r in discover_files(spark, root, data_path="out").select("path", "run", "length").collect()}
+    assert plain < {tuple(r) for r in listed.select("path", "run", "length").collect()}
+    assert values(load_runs(spark, root, data_path="out")) == ALL
+    df = load_runs(spark, root, data_path="out", hidden=True)
+    more = [("DE", "_x", 1.0), ("DE", "a\nb", 2.5), ("DE", "_z", 3.0)]
+    assert values(df) == sorted(ALL + more)
+    assert {r["More"] for r in df.collect()} == {None, "m"}
+    (Path(root) / "h").mkdir()
+    write(Path(root) / "h" / "_only.parquet", Value=[9.0], BZ=["h"])
+    assert values(load_runs(spark, root, "h", hidden=True)) == [("h", "h", 9.0)]
+    write(Path(root) / "h" / "_nested.parquet", Value=[[9.0]])
+    with pytest.raises(ValueError, match="nested"):
+        load_runs(spark, root, "h", hidden=True)
+
+
+def test_listing_takes_a_job_a_level(spark, tmp_path):
+    from tracemill.sources.hidden import list_tree
+
+    for i in range(40):
+        write(tmp_path / "r" / f"d{i}" / "_h" / f"{i}.parquet", Value=[1.0])
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("listing", "listing")
+    found = list_tree(spark, [str(tmp_path / "r")], str(tmp_path))
+    jobs = len(tracker.getJobIdsForGroup("listing"))
+    spark.sparkContext._jsc.clearJobGroup()
+    assert found.where("hidden").count() == 40 and jobs < 20
+
+
 def test_absolute_data_path(spark, root, tmp_path):
     shared = tmp_path / "shared"
     write(shared / "deep" / "a.parquet", Value=[1.0], BZ=["S"])

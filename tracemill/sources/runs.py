@@ -176,14 +176,20 @@ def discover_files(
     root: str,
     runs: str | Sequence[str] | None = None,
     data_path: str | None = None,
+    hidden: bool = False,
 ) -> DataFrame:
     """All parquet and csv files of the chosen runs, at any depth.
 
-    Only file status is read. Spark skips names that begin with ``_`` or ``.``;
-    ``skipped_files`` tells which these are.
+    Only file status is read. Spark skips names that begin with ``_`` or ``.``; with
+    ``hidden`` these are listed, too, by tasks that share the folders out.
     """
     folders = run_folders(spark, root, runs, data_path)
-    return files_in(spark, folders, root, shared_folder(spark, root, data_path))
+    shared = shared_folder(spark, root, data_path)
+    if not hidden:
+        return files_in(spark, folders, root, shared)
+    from tracemill.sources.hidden import list_tree
+
+    return list_tree(spark, folders, root, shared).drop("hidden")
 
 
 def skipped_files(
@@ -192,22 +198,15 @@ def skipped_files(
     runs: str | Sequence[str] | None = None,
     data_path: str | None = None,
 ) -> DataFrame:
-    """Parquet and csv files that loading leaves out, since Spark hides their names.
+    """Parquet and csv files that loading leaves out unless it is asked for them.
 
-    Column ``path``: a part of it below the run's data folder begins with ``_`` or
-    ``.``. Walks the folders' listing on the driver and keeps hidden files only;
-    meant for a look at what is there, loading does not need it.
+    Column ``path``: a part of it below the run's data folder begins with ``_`` or ``.``.
     """
-    hidden = []
-    for folder in run_folders(spark, root, runs, data_path):
-        base = qualified(spark, folder)
-        files = _file_system(spark, folder).listFiles(_hadoop_path(spark, folder), True)
-        while files.hasNext():
-            path = files.next().getPath().toString()
-            parts = path[len(base) :].strip("/").split("/")
-            if path.lower().endswith(SUPPORTED_SUFFIXES) and any(p[0] in "_." for p in parts):
-                hidden.append((path,))
-    return rows_frame(spark, hidden, "path string")
+    from tracemill.sources.hidden import list_tree
+
+    folders = run_folders(spark, root, runs, data_path)
+    found = list_tree(spark, folders, root, shared_folder(spark, root, data_path))
+    return found.where("hidden").select("path")
 
 
 def files_in(

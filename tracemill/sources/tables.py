@@ -36,6 +36,7 @@ from tracemill.sources.catalogue import (
     time_bounds,
     without_bounds,
 )
+from tracemill.sources.hidden import hidden_frames, list_tree
 from tracemill.sources.quoted import QUOTING, csv_records, plain_path, torn_files
 from tracemill.sources.runs import (
     any_case,
@@ -364,11 +365,16 @@ def _load(
     columns: Sequence[str] | None,
     roles: Roles,
     shared: tuple[str, str] | None = None,
+    unseen: DataFrame | None = None,
 ) -> DataFrame:
-    """Files of both kinds, united, after one look at all their footers and headers."""
+    """Files of both kinds, united, after one look at all their footers and headers.
+
+    ``unseen`` are files that Spark's readers do not see.
+    """
     known = file_catalogue(files)
     kinds = {row["suffix"] for row in known.select("suffix").distinct().collect()}
-    if not kinds:
+    hidden = hidden_frames(spark, unseen) if unseen is not None else ([], [])
+    if not kinds and not any(hidden):
         raise ValueError("no input files")
     typed: list[DataFrame] = []
     texts: list[DataFrame] = []
@@ -376,8 +382,8 @@ def _load(
         typed = _parquet(spark, known.where("suffix = '.parquet'"), place)
     if ".csv" in kinds:
         texts = _csv(spark, known.where("suffix = '.csv'"), place.folders, place)
-    typed = [_tagged(df, columns, place.root, roles, shared) for df in typed]
-    texts = [_tagged(df, columns, place.root, roles, shared) for df in texts]
+    typed = [_tagged(df, columns, place.root, roles, shared) for df in typed + hidden[0]]
+    texts = [_tagged(df, columns, place.root, roles, shared) for df in texts + hidden[1]]
     return union_by_name(typed, texts)
 
 
@@ -388,17 +394,21 @@ def load_runs(
     columns: Sequence[str] | None = None,
     data_path: str | None = None,
     roles: Roles = Roles(),
+    hidden: bool = False,
 ) -> DataFrame:
     """All files of the chosen runs as one frame, tagged with file and run.
 
     Only folders of chosen runs are listed. Starts small jobs that read footers and
-    headers; the data itself is read lazily.
+    headers; the data itself is read lazily. ``hidden`` asks for files, too, whose names,
+    or folders below the run's own, begin with ``_`` or ``.``: Spark leaves these out, and
+    they may be what a job that writes has not finished.
     """
     folders = run_folders(spark, root, runs, data_path)
     shared = shared_folder(spark, root, data_path)
     files = files_in(spark, folders, root, shared)
     place = _place(spark, root, folders, data_path, shared)
-    return _load(spark, files, place, columns, roles, shared)
+    unseen = list_tree(spark, folders, root, shared).where("hidden") if hidden else None
+    return _load(spark, files, place, columns, roles, shared, unseen)
 
 
 def _place(
