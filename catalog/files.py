@@ -467,3 +467,16 @@ ORACLES |= {
     as place, true as filled, count(*) as rows, sum(round(value * 100)) as total,
   regexp_replace(max(ts)::varchar, '\\.?0+$', '') as last from events group by all""",
 }
+
+
+def remembered_traces(spark: SparkSession, folder: str) -> DataFrame:
+    """Traces over files whose layouts an earlier load has found."""
+    root, memory = run_root(spark, folder), scratch_path(spark, "memory")
+    load_facts(spark, root, SPECS[:1], DATA_PATH, memory=memory)
+    load_facts(spark, root, SPECS, DATA_PATH, memory=memory)
+    facts = load_facts(spark, root, SPECS, DATA_PATH, memory=memory)
+    return with_steps(evaluate(facts, SPECS).points).select("trace_id", "time", "value")
+
+
+QUERIES |= {"file_traces_remembered": remembered_traces}
+ORACLES |= {"file_traces_remembered": ORACLES["file_traces"]}

@@ -67,7 +67,11 @@ def time_readings(df: DataFrame, column: str, per: str | None = None) -> dict[st
     """
     group = F.coalesce(col(per).cast("string"), F.lit("")) if per else F.lit("")
     texts = df.select(group.alias("group"), col(column).alias("text"))
-    found = shapes_by_group(texts)
+    return readings_of(texts, shapes_by_group(texts), column)
+
+
+def readings_of(texts: DataFrame, found: dict[str, Shapes], column: str) -> dict[str, Reading]:
+    """The layout of each group of ``texts`` (``group``, ``text``), whose shapes are ``found``."""
     chosen = chosen_layouts(texts, found)
     readings = {}
     for name, shapes in found.items():
@@ -115,14 +119,19 @@ def read_times(text: Column, layout: str | Inferred) -> Column:
 
 
 def with_time(
-    df: DataFrame, column: str, per: str | None = None, strict: bool = True
+    df: DataFrame,
+    column: str,
+    per: str | None = None,
+    strict: bool = True,
+    readings: dict[str, Reading] | None = None,
 ) -> DataFrame:
     """Replace a time column by its parsed form.
 
     Times pass through, texts are parsed in the layouts of ``time_readings``, and
     numbers are refused: an integer hour of the day is no point in time. Where a
     group has texts and no layout fits any of them, ``UnknownTimes`` is raised and
-    names the groups; with ``strict=False`` their times are null.
+    names the groups; with ``strict=False`` their times are null. ``readings`` are known
+    layouts; without them a job finds these.
     """
     kind = df.schema[column].dataType
     if isinstance(kind, (T.TimestampNTZType, T.TimestampType, T.DateType)):
@@ -131,7 +140,9 @@ def with_time(
         raise TypeError(f"column {column!r} of type {kind.simpleString()} holds no times")
     groups: dict[str | Inferred, list[str]] = {}
     unknown: dict[str, int] = {}
-    for name, reading in time_readings(df, column, per).items():
+    if readings is None:
+        readings = time_readings(df, column, per)
+    for name, reading in readings.items():
         if reading.layout:
             groups.setdefault(reading.layout, []).append(name)
         elif reading.filled:
@@ -161,12 +172,18 @@ def with_number(df: DataFrame, column: str) -> DataFrame:
     return numeric.where(col(column).isNotNull())
 
 
-def fact_table(df: DataFrame, roles: Roles = Roles(), strict: bool = True) -> DataFrame:
+def fact_table(
+    df: DataFrame,
+    roles: Roles = Roles(),
+    strict: bool = True,
+    readings: dict[str, Reading] | None = None,
+) -> DataFrame:
     """Rows with a valid time, parsed times and numeric values.
 
     Runs may write their times in different layouts. A run whose times fit no
     layout at all is an error, unless ``strict`` is off: then its rows are dropped.
+    ``readings`` are the runs' layouts where they are known.
     """
     per = roles.run if roles.run in df.columns else None
-    clean = with_number(with_time(df, roles.time, per, strict), roles.value)
+    clean = with_number(with_time(df, roles.time, per, strict, readings), roles.value)
     return clean.where(col(roles.time).isNotNull())

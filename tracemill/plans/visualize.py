@@ -16,6 +16,7 @@ from tracemill.plans.traces import TraceSpec
 from tracemill.roles import Roles
 from tracemill.session import durable
 from tracemill.sources import discover_files, load_files, load_runs
+from tracemill.sources.memory import remembered_readings
 
 # The kinds of plot.
 MODES = ("line", "stacked_area", "duration_curve", "density")
@@ -36,13 +37,15 @@ def load_facts(
     data_path: str | None = None,
     roles: Roles = Roles(),
     unit_detail: bool = False,
+    memory: str | None = None,
 ) -> DataFrame:
     """The facts that the traces need, ready for ``evaluate``.
 
     Only the runs that traces name are listed and read; without any run, the
     files that traces name as scenarios; without those, everything. For unit
     detail the frame is cut to the columns that traces may ask for; otherwise
-    other time columns matter too, and Spark itself reads only what is used.
+    other time columns matter too, and Spark itself reads only what is used. ``memory``
+    is a folder in which the layouts of time texts are kept for later loads.
     """
     columns = [*roles.plot_columns, roles.unit] if unit_detail else None
     runs = sorted({spec.run for spec in specs if spec.run})
@@ -54,7 +57,12 @@ def load_facts(
         if paths:
             return fact_table(load_files(spark, paths, root, columns, roles), roles)
     loaded = load_runs(spark, root, runs or None, columns, data_path, roles)
-    return fact_table(loaded, roles)
+    readings = None
+    if memory:
+        readings = remembered_readings(
+            spark, root, loaded, roles.time, memory, runs or None, data_path, roles
+        )
+    return fact_table(loaded, roles, readings=readings)
 
 
 def load_index(
