@@ -15,6 +15,7 @@ from tracemill.operators.profile import (
     detect_time_columns,
     filled_counts,
     schema_profile,
+    wide_profile,
 )
 from tracemill.session import rows_frame
 
@@ -165,6 +166,43 @@ def profile(spark: SparkSession, folder: str) -> DataFrame:
     return found.withColumn("examples", examples)
 
 
+WIDE = ("id", "l_comment_like", "l_quantity", "none", "nothing", "l_shipdate")
+
+
+def wide(spark: SparkSession, folder: str) -> DataFrame:
+    """A column of one value per row beside others, one of nulls, and one that is missing."""
+    key = F.concat_ws("-", "l_orderkey", "l_linenumber")
+    rows = table(spark, folder, "lineitem").select(
+        key.alias("id"),
+        F.when(F.col("l_linenumber") > 1, F.concat(F.lit("é"), F.reverse(key))).alias("l_comment_like"),
+        "l_quantity",
+        F.lit(None).cast("string").alias("none"),
+        F.col("l_shipdate").cast("date").cast("string").alias("l_shipdate"),
+    )
+    found = wide_profile(rows, WIDE)
+    return found.withColumn("examples", F.coalesce(F.array_join("examples", ","), F.lit("")))
+
+
+def _wide_sql() -> str:
+    values = {
+        "id": "l_orderkey || '-' || l_linenumber",
+        "l_comment_like": "case when l_linenumber > 1 then 'é' || reverse(l_orderkey || '-' || l_linenumber) end",
+        "l_quantity": "l_quantity::varchar",
+        "none": "null::varchar",
+        "nothing": "null::varchar",
+        "l_shipdate": "l_shipdate::date::varchar",
+    }
+    parts = [
+        f"""select {i} as ordinal, '{name}' as "column", {name == 'nothing'} as missing,
+  count(*) as rows, count(distinct v) as distinct_values,
+  coalesce((select string_agg(v, ',' order by v) from (select distinct v from t{i}
+    where v is not null order by v limit 10)), '') as examples from t{i}"""
+        for i, name in enumerate(WIDE)
+    ]
+    made = (f"t{i} as (select {values[name]} as v from lineitem)" for i, name in enumerate(WIDE))
+    return f"with {', '.join(made)} {' union all '.join(parts)}"
+
+
 def _profile_sql() -> str:
     parts = [
         "select 0 as ordinal, 'Scenario' as \"column\", true as missing,"
@@ -193,6 +231,7 @@ QUERIES = {name: formatted_times(pattern) for name, (pattern, _) in FORMATS.item
     "schema_profile": schema,
     "time_column_detect": time_columns,
     "column_profile": profile,
+    "column_profile_wide": wide,
 }
 _SCHEMA = [
     ("l_orderkey", "bigint", False, True),
@@ -246,4 +285,5 @@ select 0 as ordinal, 'day_hour' as "column", filled from share
 union all select 1, 'seen', filled from share
 union all select 2, 'code', filled from share where half > 0.9""",
     "column_profile": _profile_sql(),
+    "column_profile_wide": _wide_sql(),
 }

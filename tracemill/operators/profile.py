@@ -134,13 +134,107 @@ def datetime_bounds(df: DataFrame, column: str, roles: Roles = Roles()) -> DataF
     )
 
 
+# The texts that a task keeps of a column.
+_LEAST = "ordinal int, value string"
+
+
+def wide_profile(df: DataFrame, columns: Sequence[str], examples: int = 10) -> DataFrame:
+    """What ``column_profile`` gives, for columns that may have a value per row.
+
+    Columns are summed up one by one, not by their combinations. The first examples are
+    the least texts of every task, so at most ``examples`` rows a task and column move.
+    Distinct values are counted by ranges of a 128-bit hash: what moves of a value is its
+    hash, once for each task that has it, and no task holds more than a range.
+    """
+    spark = df.sparkSession
+    asked = rows_frame(
+        spark,
+        [(i, name, name not in df.columns) for i, name in enumerate(columns)],
+        "ordinal int, column string, missing boolean",
+    )
+    total = df.agg(F.count(F.lit(1)).alias("rows"))
+    present = [(i, name) for i, name in enumerate(columns) if name in df.columns]
+    texts = df.select(*[col(name).cast("string").alias(f"c{i}") for i, name in present])
+    counts = _distinct_counts(texts, [i for i, _ in present])
+    least = least_values(texts, [i for i, _ in present], examples)
+    shown = least.groupBy("ordinal").agg(
+        F.slice(F.array_sort(F.collect_set("value")), 1, examples).alias("examples")
+    )
+    return (
+        asked.crossJoin(F.broadcast(total))  # one row
+        .join(counts, "ordinal", "left")
+        .join(shown, "ordinal", "left")
+        .select(
+            "ordinal",
+            "column",
+            "missing",
+            "rows",
+            F.coalesce("distinct_values", F.lit(0)).alias("distinct_values"),
+            F.when(F.size("examples") > 0, F.col("examples")).alias("examples"),
+        )
+    )
+
+
+def _distinct_counts(texts: DataFrame, ordinals: Sequence[int]) -> DataFrame:
+    """Distinct non-null values of each column by the hashes of their texts."""
+    hashes = [
+        F.struct(
+            F.lit(i).alias("ordinal"),
+            F.xxhash64(f"c{i}").alias("one"),
+            F.xxhash64(F.concat(F.lit("2"), F.col(f"c{i}"))).alias("two"),
+            F.col(f"c{i}").isNotNull().alias("filled"),
+        )
+        for i in ordinals
+    ]
+    if not hashes:
+        return rows_frame(texts.sparkSession, [], "ordinal int, distinct_values bigint")
+    rows = texts.select(F.inline(F.array(*hashes))).where("filled")
+    return (
+        rows.select("ordinal", "one", "two")
+        .distinct()
+        .groupBy("ordinal")
+        .agg(F.count(F.lit(1)).alias("distinct_values"))
+    )
+
+
+def least_values(texts: DataFrame, ordinals: Sequence[int], examples: int) -> DataFrame:
+    """The least texts of each column ``c<ordinal>`` in every task: ``ordinal``, ``value``."""
+    numbers = list(ordinals)
+
+    def least(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        held = {i: pa.array([], pa.string()) for i in numbers}
+        for batch in batches:
+            for place, i in enumerate(numbers):
+                found = batch.column(place).drop_null()
+                if len(held[i]) == examples and examples:
+                    found = found.filter(pc.less(found, held[i][-1]))
+                if not len(found):
+                    continue
+                both = pa.concat_arrays([held[i], pc.unique(found).cast(pa.string())])
+                both = pc.unique(both)
+                # Texts sort by their bytes, as Spark has them.
+                held[i] = both.take(pc.array_sort_indices(both))[:examples]
+        for i, values in held.items():
+            if len(values):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([i] * len(values), pa.int32()), values], ["ordinal", "value"]
+                )
+
+    if not numbers:
+        return rows_frame(texts.sparkSession, [], _LEAST)
+    return texts.mapInArrow(least, _LEAST)
+
+
 def column_profile(df: DataFrame, columns: Sequence[str], examples: int = 10) -> DataFrame:
     """One row per column: rows of the table, distinct values, first examples.
 
     Missing columns are listed with ``missing`` set. One pass counts the rows of
     each combination of values, far fewer than rows in a table of time series;
     everything else works on those counts. It is meant for dimensions: a column
-    with a value per row makes that many combinations. ``examples`` says how many of
+    with a value per row makes that many combinations, and is for ``wide_profile``. ``examples`` says how many of
     the first values in text order are shown, by a ranking that Spark cuts off in
     each task.
     """
