@@ -2,12 +2,13 @@
 
 import random
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from helpers import EDGES, SCHEMA, frame
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from tracemill.llm.arrow_text import text_blocks
@@ -85,6 +86,33 @@ def test_files_of_edge_cases(spark, tmp_path):
     assert [r[0] for r in ids] == [k for k, _ in wanted]
 
 
+def test_one_id_may_fill_several_parts(spark, tmp_path):
+    """A third of all rows are without an id, another third has one id."""
+    ids = F.when(F.col("id") % 3 == 0, F.lit(None)).when(F.col("id") % 3 == 1, 7).otherwise(F.col("id"))
+    docs = spark.range(0, 6000, 1, 4).select(ids.alias("doc_id"), F.concat(F.lit("row "), "id").alias("text"))
+    folder = str(tmp_path / "hot")
+    small = "spark.sql.adaptive.coalescePartitions.enabled"  # parts of a few rows would be united
+    spark.conf.set(small, "false")
+    try:
+        manifest = write_tokens(docs, TOKENIZER, folder).collect()
+    finally:
+        spark.conf.set(small, "true")
+    assert max(part.documents for part in manifest) < 2000 and len(manifest) > 3
+    rows = sorted(read_tokens(spark, folder).collect(), key=lambda r: r.start)
+    assert [r.start for r in rows] == [sum(n) for n in _before([r.n_tokens for r in rows])]
+    keys = [(r.doc_id is not None, r.doc_id or 0) for r in rows]
+    assert keys == sorted(keys) and sum(not known for known, _ in keys) == 2000
+    wanted = Counter(crc(ids) for _, ids in expected([(r.doc_id, r.text) for r in docs.collect()]))
+    assert Counter(r.ids_crc32 for r in rows) == wanted
+
+
+def _before(counts):
+    total = 0
+    for count in counts:
+        yield (total,)
+        total += count
+
+
 def test_no_documents(spark, tmp_path):
     docs = spark.createDataFrame([], SCHEMA)
     write_tokens(docs, TOKENIZER, str(tmp_path / "none"))

@@ -30,6 +30,7 @@ from tracemill.llm.arrow_text import text_blocks
 from tracemill.llm.stored import texts_of
 from tracemill.llm.tokens import encoder
 from tracemill.session import scratch_path
+from tracemill.sources.runs import qualified
 
 BLOCK_BYTES = 4 << 20
 NO_ID = -(1 << 63)
@@ -52,20 +53,21 @@ def write_tokens(
 ) -> DataFrame:
     """Write the ids of all documents below ``folder``; returns the manifest.
 
-    ``folder`` is an address that all executors reach. Documents are dealt by
-    ranges of their ids and sorted in each part; equal ids stay in any order, all
-    of them are written. A null id comes first and is written as the smallest
+    ``folder`` is an address that all executors reach; without a scheme it is of the
+    session's default store. Documents are dealt by ranges of their ids and sorted in
+    each part. Equal ids, or many without one, are dealt by their places in the table, so
+    they may fill several parts; all of them are written. A null id comes first and is written as the smallest
     64-bit number. A null text is empty: its document has the end id alone.
     ``wide`` asks for 32-bit ids also where 16 bits would do. The manifest is
     written too, as Parquet, at ``<folder>/manifest``.
     """
     spark = docs.sparkSession
-    if folder.startswith("/"):
-        folder = f"file://{folder}"
+    folder = address(spark, folder)
+    place = F.monotonically_increasing_id().alias("place")
     ordered = (
-        texts_of(docs, F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-        .repartitionByRange("id")
-        .sortWithinPartitions("id")
+        texts_of(docs, F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"), place)
+        .repartitionByRange("id", "place")
+        .sortWithinPartitions("id", "place")
     )
     path = f"{folder.rstrip('/')}/manifest"
     ordered.mapInArrow(
@@ -74,6 +76,12 @@ def write_tokens(
     return read_manifest(spark, folder)
 
 
+def address(spark: SparkSession, folder: str) -> str:
+    """A folder with its scheme, as Arrow takes it."""
+    full = qualified(spark, folder)
+    return f"file:///{full[5:].lstrip('/')}" if full.startswith("file:") else full
+
+
 def read_manifest(spark: SparkSession, folder: str) -> DataFrame:
     """Parts of a written corpus with their bases; one row per part."""
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
@@ -89,8 +97,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
     ``n_tokens``, with the end id; ``ids_crc32``, the checksum of its ids as 32-bit
     little-endian numbers. A corpus without documents gives no row.
     """
-    if folder.startswith("/"):
-        folder = f"file://{folder}"
+    folder = address(spark, folder)
     manifest = read_manifest(spark, folder)
     return manifest.select("name", "wide", "base").repartition("name").mapInArrow(
         lambda batches: _read_parts(batches, folder),
