@@ -47,8 +47,10 @@ _PIECE, _TRAINER, _NORMALIZER = 1, 2, 3
 _KIND_OF_MODEL, _BLANK_AFTER, _BYTE_FALLBACK = 3, 24, 35
 _CHARSMAP, _BLANK_BEFORE, _FEWER_BLANKS, _ESCAPED = 2, 3, 4, 5
 
+NEVER = float("-inf")
+
 # What one Python worker remembers, and pairs of pieces whose merging it knows.
-REMEMBERED_BYTES = 48 << 20
+REMEMBERED_BYTES = 96 << 20
 PAIRS = 1 << 20
 # A batch of ids handed on is closed beyond so many.
 BATCH_IDS = 1 << 20
@@ -149,7 +151,9 @@ class PieceEncoder:
             plain = pair.replace(BLANK, " ")
             if plain.isascii():
                 self._cut[ord(plain[0]), ord(plain[1])] = False
-        self._fits: dict[int, bool] = {}
+        # By a piece (-1: none), the pieces that may or may not follow it.
+        self._fits: dict[int, dict[int, bool]] = {}
+        self._pairs = 0
         self._known = Remembered(REMEMBERED_BYTES)
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -169,18 +173,19 @@ class PieceEncoder:
 
     def _encoded(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         ids: list[int] = []
-        sizes = np.empty(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            before = len(ids)
-            self.pieces_of(text.replace(" ", BLANK), ids)
-            sizes[i] = len(ids) - before
-        return np.array(ids, np.uint32), sizes
+        ends = []
+        letters, backtrack = self._letters, self._backtrack
+        for text in texts:
+            text = text.replace(" ", BLANK)
+            if letters.issuperset(text):
+                backtrack(text, ids)
+            else:
+                self.pieces_of(text, ids)
+            ends.append(len(ids))
+        return np.array(ids, np.uint32), np.diff(np.array(ends, np.int64), prepend=0)
 
     def pieces_of(self, text: str, out: list[int]) -> None:
         """Add the ids of a text whose blanks are signs already."""
-        if self._letters.issuperset(text):
-            self._backtrack(text, out)
-            return
         for run in self._runs.findall(text):
             if run[0] in self._letters:
                 self._backtrack(run, out)
@@ -190,16 +195,15 @@ class PieceEncoder:
     def _backtrack(self, text: str, out: list[int]) -> None:
         size, longest, find = len(text), self._longest, self._automaton.iter_long
         sizes, shorter, fits = self._size, self._shorter, self._fits
-        open_ = bytearray(b"\xff") * (size // 8 + 1)  # a bit a place: not failed yet
-        base, place = len(out), 0
+        failed = None  # a bit a place, made when the first place fails
+        base, place, before = len(out), 0, -1
+        row = fits.setdefault(before, {})
         piece = next(find(text[:longest]))[1]
         while True:
-            before = out[-1] if len(out) > base else -1
             while piece >= 0:
                 end = place + sizes[piece]
-                if open_[end >> 3] >> (end & 7) & 1:
-                    pair = (before + 1) << 32 | piece
-                    fit = fits.get(pair)
+                if failed is None or not failed[end >> 3] >> (end & 7) & 1:
+                    fit = row.get(piece)
                     if fit is None:
                         fit = self._merges_to(before, piece)
                     if fit:
@@ -207,27 +211,65 @@ class PieceEncoder:
                 piece = shorter[piece]
             if piece >= 0:
                 out.append(piece)
-                place = end
-                if place == size:
+                if end == size:
                     return
+                place, before = end, piece
+                row = fits.get(piece)
+                if row is None:
+                    row = fits[piece] = {}
                 piece = next(find(text[place : place + longest]))[1]
             else:
-                open_[place >> 3] &= ~(1 << (place & 7))
+                if failed is None:
+                    failed = bytearray(size // 8 + 1)
+                failed[place >> 3] |= 1 << (place & 7)
                 if len(out) == base:
                     raise ValueError("no pieces make up the text")
                 taken = out.pop()
                 place -= sizes[taken]
                 piece = shorter[taken]
+                before = out[-1] if len(out) > base else -1
+                row = fits[before]
 
     def _merges_to(self, before: int, piece: int) -> bool:
         """Whether two pieces come out again if their text is merged; ``before`` may be none."""
-        pair = [before, piece] if before >= 0 else [piece]
-        fit = self.merged("".join(self._text[x] for x in pair)) == pair
-        if len(self._fits) >= PAIRS:
-            self._fits.clear()
-        self._fits[(before + 1) << 32 | piece] = fit
+        row = self._fits.setdefault(before, {})
+        fit = row.get(piece)
+        if fit is None:
+            if self._pairs >= PAIRS:
+                for own in self._fits.values():  # rows are held by who reads them
+                    own.clear()
+                self._pairs = 0
+            fit = row[piece] = self._stay_apart(self._text[before] if before >= 0 else "", self._text[piece])
+            self._pairs += 1
         return fit
 
+    def _stay_apart(self, left: str, right: str) -> bool:
+        """Whether merging two pieces' text makes the pieces, and nothing over their border."""
+        number, score = self._number, self._score
+        parts, border = list(left + right), len(left)
+
+        def of(i: int) -> float:
+            found = number.get(parts[i] + parts[i + 1])
+            return NEVER if found is None else score[found]
+
+        scores = [of(i) for i in range(len(parts) - 1)]
+        while scores:
+            best = max(scores)
+            if best == NEVER:
+                break
+            i = scores.index(best)  # of equals the leftmost
+            if i == border - 1:
+                return False
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del scores[i]
+            if i < border:
+                border -= 1
+            if i:
+                scores[i - 1] = of(i - 1)
+            if i < len(scores):
+                scores[i] = of(i)
+        return len(parts) == (2 if left else 1)
+
     def merged(self, text: str) -> list[int]:
         """Pieces of a short text by merging: the best score first, then from the left."""
         parts, number, score = list(text), self._number, self._score
