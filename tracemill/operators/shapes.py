@@ -32,7 +32,7 @@ SHORT, LONG, HALF, FRACTION, WEEKDAY = "@", "#", "%", "f", "~"
 RUNS = {14: "S", 12: "I", 8: "D", 6: "X", 4: "Y"}
 ONE_OR_TWO = "n"
 NOTHING, ODD = "", "?"
-MOST_SIGNS, MOST_LETTERS = 30, 70
+MOST_SIGNS, MOST_RAW, MOST_LETTERS = 30, 45, 70
 
 _WEEKDAY = "(?i)^(" + "|".join(f"{d[:3]}({d[3:]})?" for d in _DAYS) + r")[.,]? +"
 _MAY_BE = r"(?i)^\s*([+-]?\d|" + "|".join(_MONTHS) + ")"
@@ -42,37 +42,48 @@ def without_weekday(text: Column) -> Column:
     return F.when(text.rlike(_WEEKDAY), F.regexp_replace(text, _WEEKDAY, "")).otherwise(text)
 
 
-def time_shape(text: Column) -> Column:
-    """The shape of a text; null stays null."""
+def raw_shape(text: Column) -> Column:
+    """A text with names as signs and all digits as 0, if it may be a time; null stays null.
+
+    What is done with every text; ``shape_of`` does the rest with what is left of them.
+    """
+    lettered = text.rlike("[A-Za-z]")
     plain = without_weekday(text)
     named = F.regexp_replace(plain, "(?i)(" + "|".join(_LONG_MONTHS) + ")(?![a-z])", LONG)
     named = F.regexp_replace(named, "(?i)(" + "|".join(_MONTHS) + ")(?![a-z])", SHORT)
     named = F.regexp_replace(named, r"(?i)(?<=[0-9 ])[ap]m$", HALF)
-    marked = F.when(plain.rlike("[A-Za-z]"), named).otherwise(plain)
-    signs = F.translate(marked, "123456789", "000000000")
-    signs = F.regexp_replace(signs, "(?<=:0{1,2}[.,])0{1,6}(?!0)", FRACTION)
-    for size, sign in RUNS.items():
-        signs = F.regexp_replace(signs, f"(?<!0)0{{{size}}}(?!0)", sign)
-    signs = F.regexp_replace(signs, "(?<!0)0{1,2}(?!0)", ONE_OR_TWO)
-    allowed = f"^[{SHORT}{LONG}{HALF}{FRACTION}{''.join(RUNS.values())}{ONE_OR_TWO}T ,./:-]+$"
-    general = (
-        F.when(~plain.rlike("^[0-9A-Za-z ,./:+-]*$") | (F.length(signs) > MOST_SIGNS), ODD)
-        .when(
-            signs.rlike(allowed) & ~marked.rlike("[A-SU-Za-z]"),
-            F.when(text.rlike(_WEEKDAY), F.concat(F.lit(WEEKDAY), signs)).otherwise(signs),
-        )
-        .otherwise(ODD)
-    )
+    signs = F.when(text.rlike(_WEEKDAY), F.concat(F.lit(WEEKDAY), _zeros(named))).otherwise(_zeros(named))
+    known = plain.rlike("^[0-9A-Za-z ,./:-]*$") & ~named.rlike("[A-SU-Za-z]")
+    with_names = F.when(known & (F.length(signs) <= MOST_RAW), signs).otherwise(ODD)
+    bare = F.when(text.rlike("^[0-9 ,./:-]+$") & (F.length(text) <= MOST_RAW), _zeros(text)).otherwise(ODD)
     return (
         F.when(text.isNull(), F.lit(None).cast("string"))
-        # What most columns have, without the work of the general way.
-        .when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2} \d{1,2}\.\d{1,2}$"), "Y-n-n n.n")
-        .when(text.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), "Y-n-n")
-        .when(~plain.rlike(_MAY_BE) | (F.length(text) > MOST_LETTERS), NOTHING)
-        .otherwise(general)
+        .when(F.length(text) > MOST_LETTERS, NOTHING)
+        .when(lettered, F.when(plain.rlike(_MAY_BE), with_names).otherwise(NOTHING))
+        .otherwise(F.when(text.rlike(_MAY_BE), bare).otherwise(NOTHING))
     )
 
 
+def _zeros(text: Column) -> Column:
+    return F.translate(text, "123456789", "000000000")
+
+
+def shape_of(raw: Column) -> Column:
+    """The shape of a text by its ``raw_shape``: digits by the length of their run."""
+    signs = F.regexp_replace(raw, "(?<=:0{1,2}[.,])0{1,6}(?!0)", FRACTION)
+    for size, sign in RUNS.items():
+        signs = F.regexp_replace(signs, f"(?<!0)0{{{size}}}(?!0)", sign)
+    signs = F.regexp_replace(signs, "(?<!0)0{1,2}(?!0)", ONE_OR_TWO)
+    allowed = f"^[{WEEKDAY}{SHORT}{LONG}{HALF}{FRACTION}{''.join(RUNS.values())}{ONE_OR_TWO}T ,./:-]+$"
+    whole = signs.rlike(allowed) & (F.length(signs) <= MOST_SIGNS)
+    return F.when(raw.isNull() | raw.isin(NOTHING, ODD), raw).when(whole, signs).otherwise(ODD)
+
+
+def time_shape(text: Column) -> Column:
+    """The shape of a text; null stays null."""
+    return shape_of(raw_shape(text))
+
+
 # Orders of a date's fields: which of the numbers in a text are its day and its month, and
 # where the clock begins. With a name of a month there is no number for it.
 ORDERS = {"ymd": (2, 1, 3), "dmy": (0, 1, 3), "mdy": (1, 0, 3), "named": (0, None, 2)}
@@ -84,11 +95,19 @@ def shape_counts(texts: DataFrame) -> DataFrame:
 
     One pass, and partial sums in every task: what is shuffled is shapes, not texts.
     """
+    counted = _raw_counts(texts)
+    names = [name for name in counted.columns if name not in ("group", "shape")]
+    return counted.groupBy("group", "shape").agg(*[F.sum(name).alias(name) for name in names])
+
+
+def _raw_counts(texts: DataFrame) -> DataFrame:
+    """``shape_counts`` by raw shapes, of which some make one shape."""
     text, numbers = F.col("text"), F.col("numbers")
     read = F.transform(F.regexp_extract_all(text, F.lit(r"(\d+)"), F.lit(1)), lambda x: x.try_cast("int"))
-    rows = texts.select("group", time_shape(text).alias("shape"), "text")
+    rows = texts.select("group", raw_shape(text).alias("raw_shape"), "text")
+    none = F.col("raw_shape").isNull() | F.col("raw_shape").isin(NOTHING, ODD)
     rows = rows.select(
-        "group", "shape", F.when(F.col("shape").isin(NOTHING, ODD), F.array().cast("array<int>")).otherwise(read).alias("numbers")
+        "group", "raw_shape", F.when(none, F.array().cast("array<int>")).otherwise(read).alias("numbers")
     )
 
     def at(place: int | None, low: int, high: int) -> Column:
@@ -108,7 +127,8 @@ def shape_counts(texts: DataFrame) -> DataFrame:
             F.sum(F.when(may, 1).otherwise(0)).alias(f"may_{order}"),
             F.sum(F.when(sure, 1).otherwise(0)).alias(f"sure_{order}"),
         ]
-    return rows.groupBy("group", "shape").agg(F.count(F.lit(1)).alias("n"), *sums)
+    counted = rows.groupBy("group", "raw_shape").agg(F.count(F.lit(1)).alias("n"), *sums)
+    return counted.withColumn("shape", shape_of(F.col("raw_shape"))).drop("raw_shape")
 
 
 # The shapes that layouts read, and the order of their fields.
@@ -336,10 +356,17 @@ def shapes_by_group(texts: DataFrame) -> dict[str, Shapes]:
     What comes to the driver is one row per group and shape, and there are only so many
     shapes: their length and their signs are bounded.
     """
-    found: dict[str, Shapes] = {}
-    for row in shape_counts(texts).collect():
-        found.setdefault(row["group"], Shapes()).rows.append(row.asDict())
-    return found
+    found: dict[str, dict] = {}
+    for row in _raw_counts(texts).collect():
+        counts = row.asDict()
+        group, shape = counts.pop("group"), counts.pop("shape")
+        same = found.setdefault(group, {}).setdefault(shape, dict.fromkeys(counts, 0))
+        for name, n in counts.items():
+            same[name] += n
+    return {
+        group: Shapes([{"shape": shape} | counts for shape, counts in shapes.items()])
+        for group, shapes in found.items()
+    }
 
 
 def exact_fits(texts: DataFrame, layouts: Iterable[str | Inferred], parse) -> DataFrame:
