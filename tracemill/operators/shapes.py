@@ -55,12 +55,16 @@ def raw_shape(text: Column) -> Column:
     signs = F.when(text.rlike(_WEEKDAY), F.concat(F.lit(WEEKDAY), _zeros(named))).otherwise(_zeros(named))
     known = plain.rlike("^[0-9A-Za-z ,./:-]*$") & ~named.rlike("[A-SU-Za-z]")
     with_names = F.when(known & (F.length(signs) <= MOST_RAW), signs).otherwise(ODD)
-    bare = F.when(text.rlike("^[0-9 ,./:-]+$") & (F.length(text) <= MOST_RAW), _zeros(text)).otherwise(ODD)
     return (
         F.when(text.isNull(), F.lit(None).cast("string"))
         .when(F.length(text) > MOST_LETTERS, NOTHING)
-        .when(lettered, F.when(plain.rlike(_MAY_BE), with_names).otherwise(NOTHING))
-        .otherwise(F.when(text.rlike(_MAY_BE), bare).otherwise(NOTHING))
+        # What most columns of times have: digits and marks, told by one pattern.
+        .when(
+            text.rlike("^[0-9][0-9 ,./:-]*$"),
+            F.when(F.length(text) <= MOST_RAW, _zeros(text)).otherwise(ODD),
+        )
+        .when(plain.rlike(_MAY_BE), F.when(lettered, with_names).otherwise(ODD))
+        .otherwise(NOTHING)
     )
 
 
