@@ -7,6 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tracemill.operators import joins
 from tracemill.sources import load_runs
 from tracemill.sources.quoted import csv_records, ends_inside, torn_files
 
@@ -96,3 +97,36 @@ def test_headers_with_breaks(spark, tmp_path):
     put(tmp_path / "r" / "x.csv", [["1", "2"]], ("Value", "name\nof area"))
     df = load_runs(spark, str(tmp_path))
     assert df.columns[:2] == ["Value", "name\nof area"] and [tuple(r)[:2] for r in df.collect()] == [("1", "2")]
+
+
+@pytest.mark.parametrize("bound", [joins.BROADCAST_BYTES, -1])
+@pytest.mark.parametrize("torn", [False, True])
+def test_rows_of_a_file_do_not_meet_in_one_task(spark, tmp_path, monkeypatch, torn, bound):
+    rows = [[str(i), "DE\nnorth" if torn and i % 3 == 0 else "DE", "n", f"{i % 7}.5"] for i in range(2000)]
+    put(tmp_path / "r" / "x.csv", rows)
+    put(tmp_path / "q" / "y.csv", [row[::-1] for row in rows], ("Value", "note", "BZ", "id"))
+    put(tmp_path / "q" / "z.csv", [["-1", "FR\nsouth" if torn else "FR"]], ("id", "BZ"))
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", bound)
+    settings = {
+        "spark.sql.files.maxPartitionBytes": "4k",
+        "spark.sql.files.openCostInBytes": "0",
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.shuffle.partitions": "32",
+    }
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        df = load_runs(spark, str(tmp_path))
+        found = sorted((r["__run_key"], r["id"], r["BZ"], r["note"], r["Value"]) for r in df.collect())
+        tasks = df.groupBy("__source_file", F.spark_partition_id().alias("task")).count().collect()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+    south = ("q", "-1", "FR\nsouth" if torn else "FR", None, None)
+    assert found == sorted([(run, *row) for run in "qr" for row in rows] + [south], key=lambda row: row[:2])
+    for name in ("x.csv", "y.csv"):
+        shares = [row["count"] for row in tasks if row["__source_file"].endswith(name)]
+        assert len(shares) > 3 and max(shares) < 1000, (name, shares)

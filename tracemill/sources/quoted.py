@@ -84,10 +84,11 @@ def torn_files(spark: SparkSession, places: Sequence[str], options: dict[str, st
 
 
 def csv_records(spark: SparkSession, places: Sequence[str], options: dict[str, str]) -> DataFrame:
-    """Records of csv files without their headers: ``path``, ``text``.
+    """Records of csv files without their headers: ``path``, ``start``, ``text``.
 
-    Two passes over the files; a record ends where a line ends outside quotes. Empty
-    lines between records are none.
+    ``start`` is the offset of the share of the file in which a record begins. Two passes
+    over the files; a record ends where a line ends outside quotes. Empty lines between
+    records are none.
     """
     lines = _lines(spark, places, options)
     maps = durable(
@@ -120,7 +121,8 @@ def csv_records(spark: SparkSession, places: Sequence[str], options: dict[str, s
     records = whole.unionByName(torn.select("path", "opened", "place", "text"))
     header = (F.col("opened") == 0) & (F.col("place") == 0)
     text = F.regexp_replace("text", r"\r$", "")
-    return records.where(~header).select("path", text.alias("text")).where("text != ''")
+    found = records.where(~header).select("path", F.col("opened").alias("start"), text.alias("text"))
+    return found.where("text != ''")
 
 
 def _share_maps(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

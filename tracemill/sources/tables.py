@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from tracemill.functions.time import NTZ
 from tracemill.operators.clean import strip_names
+from tracemill.operators.joins import lookup_join
 from tracemill.operators.profile import datetime_bounds
 from tracemill.roles import SUPPORTED_SUFFIXES, Roles, col, quoted
 from tracemill.session import durable, rows_frame
@@ -54,6 +55,9 @@ from tracemill.sources.runs import (
 # Files whose layout one task reads, when they are given as a list.
 FOOTERS_PER_TASK = 64
 
+# A csv file in the lookup of headers: path, number of the header.
+_FILE_BYTES = 512
+
 # Csv files are read as texts: what a text means is known to who asks for it.
 CSV_OPTIONS = {"header": "true"} | QUOTING
 
@@ -319,20 +323,26 @@ def _csv_rows(
             return _read(spark, ".csv", places, schema, **options)
         fields = ", ".join(f"{quoted(name)} string" for name in names)
         found = csv_records(spark, places, options)
-        parsed = found.select(F.from_csv("text", fields, QUOTING).alias("row"), "path")
-        return parsed.select("row.*", F.struct(_escaped(F.col("path")).alias("file_path")).alias("_metadata"))
+        parsed = found.select(F.from_csv("text", fields, QUOTING).alias("row"), "path", "start")
+        seen = F.struct(_escaped(F.col("path")).alias("file_path"), F.col("start").alias("file_block_start"))
+        return parsed.select("row.*", seen.alias("_metadata"))
 
     if len(headers) == 1:
         return read(_distinct(named[0]))
-    rows = read([f"_c{i}" for i in range(most)])
+    positions = [f"_c{i}" for i in range(most)]
+    rows = read(positions)
     numbers = rows_frame(spark, [(h, i) for i, h in enumerate(headers)], "layout string, __header int")
-    own = layouts.join(numbers, "layout").select(F.col("path").alias("__path"), "__header")
-    # As many rows as files; each row of a file finds its header by the file's path.
-    path = plain_path(source_path(F.col("_metadata.file_path")))
-    known = rows.withColumn("__at", path).withColumn("__file", F.col("_metadata"))
-    known = known.join(
-        own.withColumn("__path", plain_path(F.col("__path"))), F.col("__at") == F.col("__path")
+    own = layouts.join(numbers, "layout").select(plain_path(F.col("path")).alias("__at"), "__header")
+    # As many rows as files; each row of a file finds its header by the file's path. A few
+    # large files are few keys: by these alone, all rows of a file would meet in one task.
+    known = rows.withColumns(
+        {
+            "__at": plain_path(source_path(F.col("_metadata.file_path"))),
+            "__start": F.col("_metadata.file_block_start"),
+            "__file": F.col("_metadata"),
+        }
     )
+    known = lookup_join(known, durable(own), ["__at"], ["__start", *positions], _FILE_BYTES)
     columns = {}
     for number, names in enumerate(map(_distinct, named)):
         for place, name in enumerate(names):
